@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import injection as R
-from .text import IGNORE_CASE, contains_any, text_or_empty
+from .text import IGNORE_CASE, contains_any, folded, text_or_empty
 
 
 def base64_payload(text: Column) -> Column:
@@ -25,10 +25,31 @@ def base64_payload(text: Column) -> Column:
     return F.when(contains_any(text, R.MIME_MARKS), F.lit(False)).otherwise(F.exists(runs, is_order))
 
 
-def patterns_found(text: Column) -> Column:
-    """Names of the matching patterns in list order."""
+# Words one of which must occur before the regex is tried; substring tests are far cheaper.
+HINTS = {
+    "ignore_instructions": ("ignore",),
+    "ignore_all_rules": ("ignore",),
+    "system_prompt": ("prompt", "message"),
+    "output_reveal": ("number",),
+    "data_exfiltration": ("number",),
+    "forget_instructions": ("forget",),
+    "role_override": ("now",),
+    "act_as": ("act",),
+    "disregard": ("disregard", "override", "bypass", "circumvent", "disable"),
+    "do_not_redact": ("not",),
+}
+
+
+def patterns_found(text: Column, low: Column | None = None) -> Column:
+    """Names of the matching patterns in list order; ``low`` is ``folded(text)`` where it is at hand."""
     safe = text_or_empty(text)
-    names = [F.when(safe.rlike(IGNORE_CASE + regex), F.lit(name)) for name, regex in R.PATTERNS]
+    low = folded(safe) if low is None else text_or_empty(low)
+    names = []
+    for name, regex in R.PATTERNS:
+        hint = low.contains(HINTS[name][0])
+        for word in HINTS[name][1:]:
+            hint = hint | low.contains(word)
+        names.append(F.when(hint & safe.rlike(IGNORE_CASE + regex), F.lit(name)))
     names.append(F.when(base64_payload(safe), F.lit(R.BASE64)))
     return F.array_compact(F.array(*names))
 

@@ -32,6 +32,11 @@ def all_groups(text: Column, pattern: str, group: int = 1, flags: str = IGNORE_C
     return F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(group))
 
 
+def folded(text: Column) -> Column:
+    """Lower case, with the two letters that only case-folding regexes see as s and i."""
+    return F.replace(F.replace(F.lower(text), F.lit("\u017f"), F.lit("s")), F.lit("\u0131"), F.lit("i"))
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

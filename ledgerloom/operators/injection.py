@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import injection as I
+from ..functions.text import folded
 from .anomalies import anomaly_rows
 from .shaping import computed_once
 
 
 def injection_scan(df: DataFrame, column: str) -> DataFrame:
     """Adds ``patterns_found``, ``is_suspicious`` and ``risk_level``."""
-    found = computed_once(df, df.columns, {"patterns_found": I.patterns_found(F.col(column))})
+    low = df.withColumn("_low", folded(F.col(column)))
+    found = computed_once(low, df.columns, {"patterns_found": I.patterns_found(F.col(column), F.col("_low"))})
     return found.withColumn("is_suspicious", F.size("patterns_found") > 0).withColumn(
         "risk_level", I.risk_level(F.col("patterns_found"))
     )

@@ -2,51 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pii import fold_digits
-from ..functions.text import collapse_spaces, strip
+from ..functions.text import collapse_spaces, folded, strip
 from ..rules import pii as R
 from .shaping import computed_once, is_small, salted_join
 
-# A pattern can only match where its cheap condition holds on the original text:
-# no pass adds an @, a ://, or a digit run that was not there before.
-GATES = {
-    "digit": lambda t: t.rlike(r"(?U)\d"),
-    "digits": lambda t: t.rlike(r"(?U)\d[\d\-]"),
-    "dots": lambda t: t.rlike(r"(?U)\d\.\d"),
-    "at": lambda t: t.contains("@"),
-    "url": lambda t: t.contains("://"),
-}
-STAGES = {
-    **{p.name: p for p in R.PATTERNS},
-    **{p.name: p for p in R.ENTITIES},
-    **{p.name: p for p in R.LEAKS},
+# A pattern can only match where its cheap condition holds. A condition with
+# ``fixed`` True is tested once per pass on the text that enters it: no stage adds
+# a digit run or a keyword that its pattern could use. The others are plain
+# substring tests on the text of the stage itself.
+GATES: dict[str, tuple[bool, Callable[[Column], Column]]] = {
+    "long_run": (True, lambda t: t.rlike(r"(?U)[\d(\-][\d\s\-.()]{8,}[\d\-]")),
+    "five_digits": (True, lambda t: t.rlike(r"(?U)\d{5}")),
+    "dots": (True, lambda t: t.rlike(r"(?U)\d\.\d{1,3}\.\d")),
+    "iban": (True, lambda t: t.rlike(r"(?U)[A-Z]{2}\d{2} ?[A-Z0-9]{4}")),
+    "ssn": (False, lambda t: t.contains("-")),
+    "at": (False, lambda t: t.contains("@")),
+    "url": (False, lambda t: t.contains("://")),
+    "stars": (False, lambda t: t.contains("*-*")),
+    "plus": (False, lambda t: t.contains("+")),
 }
 
 
-def _gate(p: R.Pattern) -> str:
-    if p.name == "CREDIT_CARD":
-        return "digit"
-    return p.gate
+def _any_word(text: Column, words: tuple[str, ...]) -> Column:
+    hit = text.contains(words[0])
+    for word in words[1:]:
+        hit = hit | text.contains(word)
+    return hit
 
 
 def _card_numbers(text: Column, regex: str) -> Column:
     """Digit runs of card length whose check digit is right."""
     runs = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    return F.array_distinct(F.filter(runs, lambda m: F.luhn_check(F.regexp_replace(m, r"[ \-]", ""))))
+    return F.array_distinct(F.filter(runs, lambda m: F.call_function("luhn_check", F.regexp_replace(m, r"[ \-]", ""))))
 
 
 def _replaced(text: Column, p: R.Pattern) -> Column:
-    if p.name == "CREDIT_CARD":
+    if p.name == "entity_CREDIT_CARD":
         return F.aggregate(_card_numbers(text, p.regex), text, lambda acc, m: F.replace(acc, m, F.lit(p.replacement)))
     return F.regexp_replace(text, p.regex, p.replacement)
 
 
 def _matches(text: Column, p: R.Pattern) -> Column:
     """Whole matches of ``p`` in order."""
-    if p.name == "CREDIT_CARD":
+    if p.name == "entity_CREDIT_CARD":
         cards = _card_numbers(text, p.regex)
         runs = F.regexp_extract_all(text, F.lit(p.regex), F.lit(0))
         return F.filter(runs, lambda m: F.array_contains(cards, m))
@@ -54,7 +58,7 @@ def _matches(text: Column, p: R.Pattern) -> Column:
 
 
 def _count(text: Column, p: R.Pattern) -> Column:
-    if p.name == "CREDIT_CARD":
+    if p.name == "entity_CREDIT_CARD":
         return F.size(_matches(text, p))
     return F.regexp_count(text, F.lit(p.regex))
 
@@ -71,7 +75,7 @@ def _offsets(text: Column, p: R.Pattern, matches: Column) -> Column:
 def _details(text: Column, p: R.Pattern) -> Column:
     """One struct per match: pattern, original, replacement, start, end."""
     matches = _matches(text, p)
-    if p.name == "CREDIT_CARD":
+    if p.name == "entity_CREDIT_CARD":
         starts = F.transform(matches, lambda m: F.instr(text, m) - 1)
     else:
         starts = _offsets(text, p, matches)
@@ -87,18 +91,32 @@ def _details(text: Column, p: R.Pattern) -> Column:
     )
 
 
-def _run_stages(df: DataFrame, column: str, patterns: tuple[R.Pattern, ...]) -> tuple[DataFrame, list[str]]:
+def _run_stages(
+    df: DataFrame, column: str, passes: list[tuple[R.Pattern, ...]]
+) -> tuple[DataFrame, list[str]]:
     """Add one column per stage; returns the frame and the names, the source text first."""
-    for gate in sorted({_gate(p) for p in patterns} - {"none"}):
-        df = df.withColumn(f"_gate_{gate}", GATES[gate](F.col(column)))
     names = [column]
-    for i, p in enumerate(patterns):
-        before = F.col(names[-1])
-        after = _replaced(before, p)
-        if _gate(p) != "none":
-            after = F.when(F.col(f"_gate_{_gate(p)}"), after).otherwise(before)
-        names.append(f"_stage_{i}")
-        df = df.withColumn(names[-1], after)
+    for number, patterns in enumerate(passes):
+        entering = F.col(names[-1])
+        if number == 0 and any(isinstance(p.gate, tuple) for ps in passes for p in ps):
+            df = df.withColumn("_folded", folded(entering))
+        flags = {}
+        for p in patterns:
+            if isinstance(p.gate, tuple):
+                flags[f"_g{number}_{p.name}"] = _any_word(F.col("_folded"), p.gate)
+            elif GATES[p.gate][0]:
+                flags[f"_g{number}_{p.gate}"] = GATES[p.gate][1](entering)
+        df = df.withColumns(flags)
+        for p in patterns:
+            before = F.col(names[-1])
+            if isinstance(p.gate, tuple):
+                open_gate = F.col(f"_g{number}_{p.name}")
+            elif GATES[p.gate][0]:
+                open_gate = F.col(f"_g{number}_{p.gate}")
+            else:
+                open_gate = GATES[p.gate][1](before)
+            names.append(f"_stage_{len(names)}")
+            df = df.withColumn(names[-1], F.when(open_gate, _replaced(before, p)).otherwise(before))
     return df, names
 
 
@@ -113,7 +131,7 @@ def _stage_count(names: list[str], i: int, p: R.Pattern) -> Column:
 def apply_patterns(df: DataFrame, column: str, patterns: tuple[R.Pattern, ...], out: str = "clean_text") -> DataFrame:
     """The given stages only: adds ``out`` and ``n_<pattern>`` per stage."""
     keep = df.columns
-    staged, names = _run_stages(df, column, patterns)
+    staged, names = _run_stages(df, column, [patterns])
     computed = {out: F.col(names[-1])}
     for i, p in enumerate(patterns):
         computed[f"n_{p.name}"] = _stage_count(names, i, p)
@@ -130,17 +148,18 @@ def redact_entities(df: DataFrame, column: str, out: str = "clean_text") -> Data
     return apply_patterns(df, column, R.ENTITIES, out)
 
 
+def _issues(text: Column, p: R.Pattern) -> Column:
+    return F.transform(_matches(text, p), lambda m: F.concat(F.lit(f"{p.name}: '"), m, F.lit("'")))
+
+
 def validate(df: DataFrame, column: str) -> DataFrame:
     """Pass 3: adds ``clean_text``, ``fixes``, ``is_valid`` and ``issues`` ('rule: match' texts)."""
     keep = df.columns
-    staged, names = _run_stages(df, column, R.LEAKS)
+    staged, names = _run_stages(df, column, [R.LEAKS])
     counts = [_stage_count(names, i, p) for i, p in enumerate(R.LEAKS)]
     fixes = sum(counts[1:], counts[0])
     issues = [
-        F.when(
-            _changed(names, i),
-            F.transform(_matches(F.col(names[i]), p), lambda m, p=p: F.concat(F.lit(f"{p.name}: '"), m, F.lit("'"))),
-        ).otherwise(F.array().cast("array<string>"))
+        F.when(_changed(names, i), _issues(F.col(names[i]), p)).otherwise(F.array().cast("array<string>"))
         for i, p in enumerate(R.LEAKS)
     ]
     return computed_once(
@@ -174,12 +193,12 @@ def redact(
     text = "_text"
     source = F.col(column)
     df = df.withColumn(text, fold_digits(source) if fold_width else source)
-    patterns = R.PATTERNS + (R.ENTITIES if entities else ()) + R.LEAKS
-    staged, names = _run_stages(df, text, patterns)
+    later = (R.ENTITIES if entities else ()) + R.LEAKS
+    patterns = R.PATTERNS + later
+    staged, names = _run_stages(df, text, [R.PATTERNS, later])
     found = len(patterns) - len(R.LEAKS)
     # Counts are plain columns first: every later expression reads them by name.
-    for i, p in enumerate(patterns):
-        staged = staged.withColumn(f"_n_{i}", _stage_count(names, i, p))
+    staged = staged.withColumns({f"_n_{i}": _stage_count(names, i, p) for i, p in enumerate(patterns)})
     n = [F.col(f"_n_{i}") for i in range(len(patterns))]
     total = lambda cols: sum(cols[1:], cols[0])
     fixes = F.coalesce(total(n[found:]), F.lit(0))
@@ -278,10 +297,10 @@ def redaction_stats(redacted: DataFrame) -> DataFrame:
         F.count("*").alias("total_mails"),
         F.sum(F.when(valid, F.col("redaction_count")).otherwise(0)).alias("total_redactions"),
         F.count_if(~valid).alias("failed_mails"),
-        *[by_type(t).alias(f"_t_{t}") for t in types],
+        *[by_type(t).alias(f"_t_{i}") for i, t in enumerate(types)],
         *[by_pass(p).alias(f"_p_{p}") for p in passes],
     )
-    typed = F.array(*[F.struct(F.lit(t).alias("key"), F.col(f"_t_{t}").alias("value")) for t in types])
+    typed = F.array(*[F.struct(F.lit(t).alias("key"), F.col(f"_t_{i}").alias("value")) for i, t in enumerate(types)])
     return row.select(
         "total_mails",
         "total_redactions",

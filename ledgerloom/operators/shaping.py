@@ -21,6 +21,16 @@ def computed_once(df: DataFrame, keep: list[str], computed: dict[str, Column]) -
     return df.select(*keep, F.inline(F.array(row)))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash the rows over all cores when the table has fewer files than there are cores.
+
+    Meant for narrow rows before expensive per-row work; a table of many files is
+    left as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that every executor can reach.
 

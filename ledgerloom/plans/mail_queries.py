@@ -134,7 +134,7 @@ def raw_messages(spark, sf_dir) -> DataFrame:
 
 def _raw_body(max_chars: int | None) -> str:
     html = "concat('<html><body><p>', replace(body, chr(10), '</p><p>'), '</p></body></html>')"
-    return f"CASE WHEN seq % 5 IN (1, 3) THEN {O.html_to_text(html, max_chars)} ELSE {O.truncated('body', max_chars)} END"
+    return f"CASE WHEN seq % 5 = 2 AND body = '' THEN 'This is the old part' WHEN seq % 5 IN (1, 3) THEN {O.html_to_text(html, max_chars)} ELSE {O.truncated('body', max_chars)} END"
 
 
 @query("SRC5_mime_text", MAIL + f"SELECT id, {_raw_body(1500)} AS body FROM mail")

@@ -51,16 +51,16 @@ PASS1 = {
     ),
 }
 ENTITIES = {
-    "IBAN_CODE": ("[IBAN_REDACTED]", rf"(^|[^\[{W}])[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?($|[^{W}\]])", r"\1[IBAN_REDACTED]\2", "g", 2),
-    "IP_ADDRESS": ("[IP_REDACTED]", rf"(^|[^\[{W}.])(?:{OCTET}\.){{3}}{OCTET}($|[^{W}\].]|\.$|\.[^0-9])", r"\1[IP_REDACTED]\2", "g", 2),
-    "US_SSN": ("[SSN_REDACTED]", rf"(^|[^\[{W}\-])[0-8]\d{{2}}[\- ]\d{{2}}[\- ]\d{{4}}($|[^{W}\]\-])", r"\1[SSN_REDACTED]\2", "g", 2),
-    "US_ITIN": ("[SSN_REDACTED]", rf"(^|[^\[{W}\-])9\d{{2}}[\- ](?:5\d|6[0-5]|7\d|8[0-8]|9[0-24-9])[\- ]\d{{4}}($|[^{W}\]\-])", r"\1[SSN_REDACTED]\2", "g", 2),
-    "US_PASSPORT": ("[PASSPORT_REDACTED]", rf"(passport(?:\s+(?:number|no\.?|#))?[\s#:]*)(?:[A-Z]\d{{8}}|\d{{9}})($|[^{W}\]])", r"\1[PASSPORT_REDACTED]\2", "gi", 2),
-    "US_DRIVER_LICENSE": ("[LICENSE_REDACTED]", rf"((?:driver'?s?\s+licen[cs]e|licen[cs]e\s+(?:number|no\.?|#)|DL)[\s#:]*)[A-Z]\d{{6,8}}($|[^{W}\]])", r"\1[LICENSE_REDACTED]\2", "gi", 2),
-    "MEDICAL_LICENSE": ("[LICENSE_REDACTED]", rf"((?:DEA|medical\s+licen[cs]e)[\s#:]*)[A-Z]{{2}}\d{{7}}($|[^{W}\]])", r"\1[LICENSE_REDACTED]\2", "gi", 2),
-    "US_BANK_NUMBER": ("[ACCT_REDACTED]", rf"((?:bank|checking|savings|debit)(?:\s+(?:account|acct))?(?:\s+(?:number|no\.?|#))?[\s#:]+)\d{{8,17}}($|[^{W}\]])", r"\1[ACCT_REDACTED]\2", "gi", 2),
-    "EMAIL_ADDRESS": ("[EMAIL_REDACTED]", rf"(^|[^\[{W}.])[{W}.+\-]+@[{W}\-]+(?:\.[{W}\-]+)+($|[^{W}\]])", r"\1[EMAIL_REDACTED]\2", "g", 2),
-    "PHONE_NUMBER": ("[PHONE_REDACTED]", rf"(^|[^\[{W}])\+\d{{1,3}}[ .\-]?\(?\d{{1,4}}\)?(?:[ .\-]?\d{{2,4}}){{2,4}}($|[^{W}\]])", r"\1[PHONE_REDACTED]\2", "g", 2),
+    "entity_IBAN_CODE": ("[IBAN_REDACTED]", rf"(^|[^\[{W}])[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?($|[^{W}\]])", r"\1[IBAN_REDACTED]\2", "g", 2),
+    "entity_IP_ADDRESS": ("[IP_REDACTED]", rf"(^|[^\[{W}.])(?:{OCTET}\.){{3}}{OCTET}($|[^{W}\].]|\.$|\.[^0-9])", r"\1[IP_REDACTED]\2", "g", 2),
+    "entity_US_SSN": ("[SSN_REDACTED]", rf"(^|[^\[{W}\-])[0-8]\d{{2}}[\- ]\d{{2}}[\- ]\d{{4}}($|[^{W}\]\-])", r"\1[SSN_REDACTED]\2", "g", 2),
+    "entity_US_ITIN": ("[SSN_REDACTED]", rf"(^|[^\[{W}\-])9\d{{2}}[\- ](?:5\d|6[0-5]|7\d|8[0-8]|9[0-24-9])[\- ]\d{{4}}($|[^{W}\]\-])", r"\1[SSN_REDACTED]\2", "g", 2),
+    "entity_US_PASSPORT": ("[PASSPORT_REDACTED]", rf"(passport(?:\s+(?:number|no\.?|#))?[\s#:]*)(?:[A-Z]\d{{8}}|\d{{9}})($|[^{W}\]])", r"\1[PASSPORT_REDACTED]\2", "gi", 2),
+    "entity_US_DRIVER_LICENSE": ("[LICENSE_REDACTED]", rf"((?:driver'?s?\s+licen[cs]e|licen[cs]e\s+(?:number|no\.?|#)|DL)[\s#:]*)[A-Z]\d{{6,8}}($|[^{W}\]])", r"\1[LICENSE_REDACTED]\2", "gi", 2),
+    "entity_MEDICAL_LICENSE": ("[LICENSE_REDACTED]", rf"((?:DEA|medical\s+licen[cs]e)[\s#:]*)[A-Z]{{2}}\d{{7}}($|[^{W}\]])", r"\1[LICENSE_REDACTED]\2", "gi", 2),
+    "entity_US_BANK_NUMBER": ("[ACCT_REDACTED]", rf"((?:bank|checking|savings|debit)(?:\s+(?:account|acct))?(?:\s+(?:number|no\.?|#))?[\s#:]+)\d{{8,17}}($|[^{W}\]])", r"\1[ACCT_REDACTED]\2", "gi", 2),
+    "entity_EMAIL_ADDRESS": ("[EMAIL_REDACTED]", rf"(^|[^\[{W}.])[{W}.+\-]+@[{W}\-]+(?:\.[{W}\-]+)+($|[^{W}\]])", r"\1[EMAIL_REDACTED]\2", "g", 2),
+    "entity_PHONE_NUMBER": ("[PHONE_REDACTED]", rf"(^|[^\[{W}])\+\d{{1,3}}[ .\-]?\(?\d{{1,4}}\)?(?:[ .\-]?\d{{2,4}}){{2,4}}($|[^{W}\]])", r"\1[PHONE_REDACTED]\2", "g", 2),
 }
 LEAK = "[UNKNOWN_PII_REDACTED]"
 LEAKS = {
@@ -118,7 +118,7 @@ def redacted(source: str, column: str, name: str) -> str:
     fixes = " + ".join(f"n_{k}" for k in LEAKS)
     return (
         stages(source, column, ALL_PASSES, f"{name}_st")
-        + f",\n{name} AS (SELECT *, t_last AS clean_text, {found} AS redaction_count, {fixes} AS fixes, ({fixes}) = 0 AS is_valid FROM {name}_st)"
+        + f",\n{name} AS MATERIALIZED (SELECT *, t_last AS clean_text, {found} AS redaction_count, {fixes} AS fixes, ({fixes}) = 0 AS is_valid FROM {name}_st)"
     )
 
 
@@ -317,7 +317,7 @@ def extracted_ctes(source: str = "clean", name: str = "extracted") -> str:
     return (
         f"{name}_a AS (SELECT * FROM {source} WHERE {text} <> '' AND NOT {is_promotional('subject', text)} AND NOT {marketing_footer(text)}),\n"
         f"{name}_b AS (SELECT *, {merchant('sender', 'subject', text)} AS merchant, list_max({amounts(text, 'subject')}) AS amount FROM {name}_a),\n"
-        f"{name} AS (SELECT id AS email_id, seq, subject, merchant, amount, coalesce({body_date(text)}, {header_date('date', V.MAIL_AS_OF)}) AS date,"
+        f"{name} AS MATERIALIZED (SELECT id AS email_id, seq, subject, merchant, amount, coalesce({body_date(text)}, {header_date('date', V.MAIL_AS_OF)}) AS date,"
         f" {payment_method(text)} AS payment_method_type FROM {name}_b WHERE merchant IS NOT NULL AND NOT {promo_merchant('merchant')}"
         f" AND amount IS NOT NULL AND (amount <= 500 OR {has_confirmation('subject', text)}))"
     )
@@ -325,7 +325,7 @@ def extracted_ctes(source: str = "clean", name: str = "extracted") -> str:
 
 def ledger_ctes() -> str:
     return extracted_ctes() + (
-        f",\nledger AS (SELECT sha256(concat_ws('|', email_id, merchant, AMOUNT_TEXT, date)) AS id, strptime(date, '%Y-%m-%d') AS date,"
+        f",\nledger AS MATERIALIZED (SELECT sha256(concat_ws('|', email_id, merchant, AMOUNT_TEXT, date)) AS id, strptime(date, '%Y-%m-%d') AS date,"
         f" merchant, amount, {category('merchant', 'subject')} AS category, {is_subscription('merchant', 'subject')} AS is_subscription,"
         " email_id AS source_email_id, 0.8::DOUBLE AS confidence, subject, payment_method_type, seq FROM extracted)"
     ).replace("AMOUNT_TEXT", "cast(amount as varchar)")

@@ -102,14 +102,14 @@ _ENT = (
     + O.stages("carded", "text", O.ENTITIES, "st")
     + "\nSELECT doc_id, t_last AS clean_text, "
     + " + ".join(f"n_{k}" for k in O.ENTITIES)
-    + " AS n_other, n_IP_ADDRESS AS n_ip, n_cards > 0 AS has_card FROM st",
+    + " AS n_other, n_entity_IP_ADDRESS AS n_ip, n_cards > 0 AS has_card FROM st",
 )
 def _(spark, sf_dir):
     out = RD.redact_entities(_docs(spark, sf_dir), "text")
-    others = [F.col(f"n_{p.name}") for p in P.ENTITIES if p.name != "CREDIT_CARD"]
+    others = [F.col(f"n_{p.name}") for p in P.ENTITIES if p.name != "entity_CREDIT_CARD"]
     return out.select(
         "doc_id", "clean_text", sum(others[1:], others[0]).cast("bigint").alias("n_other"),
-        F.col("n_IP_ADDRESS").cast("bigint").alias("n_ip"), (F.col("n_CREDIT_CARD") > 0).alias("has_card"),
+        F.col("n_entity_IP_ADDRESS").cast("bigint").alias("n_ip"), (F.col("n_entity_CREDIT_CARD") > 0).alias("has_card"),
     )
 
 
@@ -206,8 +206,8 @@ def _plain(text: str) -> str:
     "RED19_redaction_example",
     CLEAN
     + f",\nfirst_mail AS (SELECT seq, {_plain('body')} AS o, {_plain('clean_text')} AS r, redaction_count,"
-    r" '[ACCT_REDACTED]' AS unused, instr(" + _plain("clean_text") + ", '[CARD_****') AS tag_at,"
-    rf" regexp_extract(body, '{O.CARD}') AS v FROM clean WHERE seq = (SELECT min(seq) FROM clean WHERE redaction_count > 0)),\n"
+    f" instr({_plain('clean_text')}, '[CARD_****') AS tag_at, regexp_extract(body, {O.q(O.CARD)}) AS v"
+    " FROM clean WHERE seq = (SELECT min(seq) FROM clean WHERE redaction_count > 0)),\n"
     "cut AS (SELECT *, greatest(tag_at - 101, 0) AS rs, least(length(r), tag_at - 1 + 15 + 100) AS re,"
     " greatest(instr(o, v) - 101, 0) AS os, least(length(o), instr(o, v) - 1 + length(v) + 100) AS oe FROM first_mail)\n"
     "SELECT seq, concat(CASE WHEN os > 0 THEN '...' ELSE '' END, substr(o, os + 1, oe - os), CASE WHEN oe < length(o) THEN '...' ELSE '' END,"

@@ -12,7 +12,7 @@ class Pattern(NamedTuple):
     name: str
     regex: str
     replacement: str
-    gate: str  # which cheap necessary condition must hold: digits, at, url or none
+    gate: str | tuple[str, ...]  # cheap necessary condition: a named test, or words one of which must occur
 
 
 # --- fixed values: pass 1 patterns in the order they are applied ---------------
@@ -26,27 +26,27 @@ PATTERNS = (
         r"|3[47]\d{2}[\s\-]?\d{6}[\s\-]?\d(\d{4})"
         r"|(?:6011|65\d{2})[\s\-]?\d{4}[\s\-]?\d{4}[\s\-]?(\d{4}))(?!\d)",
         "[CARD_****$1$2$3$4]",
-        "digits",
+        "long_run",
     ),
-    Pattern("ssn", r"(?U)\b\d{3}\-\d{2}\-\d{4}\b|\*{3}\-\*{2}\-\d{4}\b", "[SSN_REDACTED]", "digits"),
-    Pattern("routing_number", r"(?iU)((?:routing|aba|transit)[\s#:]*)\d{9}\b", "$1[ROUTING_REDACTED]", "digits"),
+    Pattern("ssn", r"(?U)\b\d{3}\-\d{2}\-\d{4}\b|\*{3}\-\*{2}\-\d{4}\b", "[SSN_REDACTED]", "ssn"),
+    Pattern("routing_number", r"(?iU)((?:routing|aba|transit)[\s#:]*)\d{9}\b", "$1[ROUTING_REDACTED]", ("routing", "aba", "transit")),
     Pattern(
         "account_number",
         r"(?iU)((?:account|acct|acct\.)[\s#:]*(?:number[\s#:]*|num[\s#:]*|no[\s#:]*)?)\d{8,17}\b",
         "$1[ACCT_REDACTED]",
-        "digits",
+        ("account", "acct"),
     ),
     Pattern(
         "generic_long_number",
         r"(?iU)((?:order|confirmation|reference|tracking|transaction|member|policy|claim|invoice)[\s#:]*)[\d\-]{10,}\b",
         "$1[NUMBER_REDACTED]",
-        "none",
+        "long_run",
     ),
     Pattern(
         "phone_number",
         r"(?U)\b1[\-\.]?\(?\d{3}\)?[\s\-\.]?\d{3}[\s\-\.]?\d{4}\b|\(?\d{3}\)?[\s\-\.]?\d{3}[\s\-\.]?\d{4}\b",
         "[PHONE_REDACTED]",
-        "digits",
+        "long_run",
     ),
     Pattern(
         "secure_url",
@@ -60,7 +60,7 @@ PATTERNS = (
         r"(?U)\b\d{1,6}\s+[A-Za-z0-9\.\s]{2,40}(?:,?\s*(?:Apt|Suite|Ste|Unit|#)\s*[A-Za-z0-9]+)?"
         r",?\s*[A-Za-z\s]{2,30},?\s*[A-Z]{2}\s+\d{5}(?:\-\d{4})?\b",
         "[ADDRESS_REDACTED]",
-        "digits",
+        "five_digits",
     ),
 )
 
@@ -77,41 +77,41 @@ LEAKS = (
         "long_number",
         r"(?U)(?<![\[$,#])\b(?=\d{6})(?<!\$[\d,]{1,200}\.)(?!(?<=\[[\w*]{0,200})\d+[\w*]*\])\d{6,}\b(?!\])",
         LEAK_TAG,
-        "digits",
+        "five_digits",
     ),
-    Pattern("ssn_like", r"(?U)(?<!\[)\b\d{3}\-\d{2}\-\d{4}\b(?!\])", LEAK_TAG, "digits"),
-    Pattern("partial_ssn", r"(?U)\*+\-\*+\-\d{4}", LEAK_TAG, "digits"),
+    Pattern("ssn_like", r"(?U)(?<!\[)\b\d{3}\-\d{2}\-\d{4}\b(?!\])", LEAK_TAG, "long_run"),
+    Pattern("partial_ssn", r"(?U)\*+\-\*+\-\d{4}", LEAK_TAG, "stars"),
     Pattern(
         "email_like",
         r"(?U)(?<!\[)\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b(?!\])",
         LEAK_TAG,
         "at",
     ),
-    Pattern("phone_like", r"(?U)(?<!\[)\(?\d{3}\)?[\s\-\.]\d{3}[\s\-\.]\d{4}(?!\])", LEAK_TAG, "digits"),
+    Pattern("phone_like", r"(?U)(?<!\[)\(?\d{3}\)?[\s\-\.]\d{3}[\s\-\.]\d{4}(?!\])", LEAK_TAG, "long_run"),
 )
 
 # --- structured entity rules of pass 2 (tags are fixed values) ------------------
 # The guard (?<![\[\w.-]) / (?![\w\]-]) keeps them out of existing tags and words.
 ENTITIES = (
+    Pattern("entity_IBAN_CODE", r"(?U)(?<![\[\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w\]])", "[IBAN_REDACTED]", "iban"),
     Pattern(
-        "CREDIT_CARD",
+        "entity_CREDIT_CARD",
         r"(?U)(?<![\[\w.\-*])\d(?:[ \-]?\d){12,18}(?![\w\]\-])",
         "[CARD_REDACTED]",
-        "digits",
+        "long_run",
     ),
-    Pattern("IBAN_CODE", r"(?U)(?<![\[\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w\]])", "[IBAN_REDACTED]", "digits"),
     Pattern(
-        "IP_ADDRESS",
+        "entity_IP_ADDRESS",
         r"(?U)(?<![\[\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w\]]|\.\d)",
         "[IP_REDACTED]",
         "dots",
     ),
-    Pattern("US_SSN", r"(?U)(?<![\[\w\-])(?!000|666|9)\d{3}[\- ](?!00)\d{2}[\- ](?!0000)\d{4}(?![\w\]\-])", "[SSN_REDACTED]", "digits"),
-    Pattern("US_ITIN", r"(?U)(?<![\[\w\-])9\d{2}[\- ](?:5\d|6[0-5]|7\d|8[0-8]|9[0-24-9])[\- ]\d{4}(?![\w\]\-])", "[SSN_REDACTED]", "digits"),
-    Pattern("US_PASSPORT", r"(?iU)(passport(?:\s+(?:number|no\.?|#))?[\s#:]*)(?:[A-Z]\d{8}|\d{9})(?![\w\]])", "$1[PASSPORT_REDACTED]", "digits"),
-    Pattern("US_DRIVER_LICENSE", r"(?iU)((?:driver'?s?\s+licen[cs]e|licen[cs]e\s+(?:number|no\.?|#)|DL)[\s#:]*)[A-Z]\d{6,8}(?![\w\]])", "$1[LICENSE_REDACTED]", "digits"),
-    Pattern("MEDICAL_LICENSE", r"(?iU)((?:DEA|medical\s+licen[cs]e)[\s#:]*)[A-Z]{2}\d{7}(?![\w\]])", "$1[LICENSE_REDACTED]", "digits"),
-    Pattern("US_BANK_NUMBER", r"(?iU)((?:bank|checking|savings|debit)(?:\s+(?:account|acct))?(?:\s+(?:number|no\.?|#))?[\s#:]+)\d{8,17}(?![\w\]])", "$1[ACCT_REDACTED]", "digits"),
-    Pattern("EMAIL_ADDRESS", r"(?U)(?<![\[\w.])[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+(?![\w\]])", "[EMAIL_REDACTED]", "at"),
-    Pattern("PHONE_NUMBER", r"(?U)(?<![\[\w])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?![\w\]])", "[PHONE_REDACTED]", "digits"),
+    Pattern("entity_US_SSN", r"(?U)(?<![\[\w\-])(?!000|666|9)\d{3}[\- ](?!00)\d{2}[\- ](?!0000)\d{4}(?![\w\]\-])", "[SSN_REDACTED]", "long_run"),
+    Pattern("entity_US_ITIN", r"(?U)(?<![\[\w\-])9\d{2}[\- ](?:5\d|6[0-5]|7\d|8[0-8]|9[0-24-9])[\- ]\d{4}(?![\w\]\-])", "[SSN_REDACTED]", "long_run"),
+    Pattern("entity_US_PASSPORT", r"(?iU)(passport(?:\s+(?:number|no\.?|#))?[\s#:]*)(?:[A-Z]\d{8}|\d{9})(?![\w\]])", "$1[PASSPORT_REDACTED]", ("passport",)),
+    Pattern("entity_US_DRIVER_LICENSE", r"(?iU)((?:driver'?s?\s+licen[cs]e|licen[cs]e\s+(?:number|no\.?|#)|DL)[\s#:]*)[A-Z]\d{6,8}(?![\w\]])", "$1[LICENSE_REDACTED]", ("licen", "dl")),
+    Pattern("entity_MEDICAL_LICENSE", r"(?iU)((?:DEA|medical\s+licen[cs]e)[\s#:]*)[A-Z]{2}\d{7}(?![\w\]])", "$1[LICENSE_REDACTED]", ("dea", "medical")),
+    Pattern("entity_US_BANK_NUMBER", r"(?iU)((?:bank|checking|savings|debit)(?:\s+(?:account|acct))?(?:\s+(?:number|no\.?|#))?[\s#:]+)\d{8,17}(?![\w\]])", "$1[ACCT_REDACTED]", ("bank", "checking", "savings", "debit")),
+    Pattern("entity_EMAIL_ADDRESS", r"(?U)(?<![\[\w.])[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+(?![\w\]])", "[EMAIL_REDACTED]", "at"),
+    Pattern("entity_PHONE_NUMBER", r"(?U)(?<![\[\w])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?![\w\]])", "[PHONE_REDACTED]", "plus"),
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,10 +34,12 @@ def read_blocklist(spark: SparkSession, path: str) -> DataFrame:
     except (AnalysisException, PySparkException) as e:
         logger.warning("blocklist %s cannot be read, nothing is blocked: %s", path, str(e).splitlines()[0])
         return spark.createDataFrame([], BLOCKLIST)
-    entries = F.flatten(F.array(*[
-        F.transform(F.coalesce(name, F.array().cast("array<string>")), lambda v, kind=kind: F.struct(F.lit(kind).alias("kind"), F.lower(v).alias("value")))
-        for name, kind in KINDS
-    ]))
+
+    def listed(name: str, kind: str) -> Column:
+        values = F.coalesce(name, F.array().cast("array<string>"))
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), F.lower(v).alias("value")))
+
+    entries = F.flatten(F.array(*[listed(name, kind) for name, kind in KINDS]))
     return config.select(F.inline(entries))
 
 

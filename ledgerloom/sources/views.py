@@ -9,6 +9,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.shaping import computed_once, spread
 
 MAIL_AS_OF = "2001-08-02 00:00:00"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
@@ -164,12 +167,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mail view: seq, id, kind, sender, sender_name, sender_email, subject, date, body."""
     orders, customer, nation = (_table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(
+    joined = spread(orders, "o_orderkey").join(customer, orders.o_custkey == customer.c_custkey).join(
         nation, customer.c_nationkey == nation.n_nationkey
     )
-    filled = joined.selectExpr(*mail_base("spark")).selectExpr(
-        "*", f"{_by_kind(0)} AS sender", f"{_by_kind(1)} AS subject", f"{_by_kind(2)} AS body"
-    )
+    base = joined.selectExpr(*mail_base("spark"))
+    texts = {name: F.expr(_by_kind(i)) for i, name in enumerate(("sender", "subject", "body"))}
+    filled = computed_once(base, ["seq", "id", "kind", "date_kind", "d_iso", "d_rfc"], texts)
     columns = [c.replace("strpos(sender, '<')", "instr(sender, '<')") for c in mail_columns()]
     return filled.selectExpr(*columns)
 
@@ -253,8 +256,6 @@ _SUB_BASE = "SELECT event_id, ts, concat('user_', cast(user_id as string)) AS me
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored subscriptions: one per user and rounded amount, from the first half of ``events``."""
     base = _sub_base(spark, sf_dir).where(f"ts < timestamp_ntz'{SUBSCRIPTION_SPLIT}'")
-    from pyspark.sql import functions as F
-
     grouped = base.groupBy("merchant", "amount").agg(
         F.expr("concat('s-', cast(min(event_id) as string))").alias("id"),
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.min("ts").alias("created_at"),
