@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ..rules import categories, extraction, injection, pii
-from .text import IGNORE_CASE, quoted_alternation
-
-
-def _quote(text: str) -> str:
-    return "r'" + text + "'" if "'" not in text else 'r"' + text + '"'
+from .text import IGNORE_CASE, quoted_alternation, sql_literal
 
 
 def _redact(expression: str) -> str:
     for p in pii.PATTERNS + pii.LEAKS:
-        expression = f"regexp_replace({expression}, {_quote(p.regex)}, '{p.replacement}')"
+        expression = f"regexp_replace({expression}, {sql_literal(p.regex)}, '{p.replacement}')"
     return f"coalesce({expression}, '{pii.REDACTION_ERROR}')"
 
 
@@ -22,7 +18,7 @@ def _risk() -> str:
     regexes = dict(injection.PATTERNS)
 
     def any_of(names: tuple[str, ...]) -> str:
-        tests = [f"x RLIKE {_quote(IGNORE_CASE + regexes[n])}" for n in names if n in regexes]
+        tests = [f"x RLIKE {sql_literal(IGNORE_CASE + regexes[n])}" for n in names if n in regexes]
         return " OR ".join(tests)
 
     return f"CASE WHEN {any_of(injection.HIGH_RISK)} THEN 'high' WHEN {any_of(injection.MEDIUM_RISK)} THEN 'medium' ELSE 'none' END"
@@ -30,9 +26,9 @@ def _risk() -> str:
 
 def _category() -> str:
     text = "lower(concat(coalesce(merchant, ''), ' ', coalesce(context, '')))"
-    whens = [f"WHEN {text} RLIKE {_quote(IGNORE_CASE + p)} THEN '{name}'" for p, name in categories.PRIORITY_PATTERNS]
+    whens = [f"WHEN {text} RLIKE {sql_literal(IGNORE_CASE + p)} THEN '{name}'" for p, name in categories.PRIORITY_PATTERNS]
     whens += [
-        f"WHEN {text} RLIKE {_quote(quoted_alternation(words))} THEN '{name}'"
+        f"WHEN {text} RLIKE {sql_literal(quoted_alternation(words))} THEN '{name}'"
         for name, words in categories.CATEGORY_KEYWORDS
     ]
     return "CASE " + " ".join(whens) + f" ELSE '{categories.DEFAULT_CATEGORY}' END"

@@ -15,6 +15,11 @@ def quoted_alternation(words: Iterable[str]) -> str:
     return "|".join(rf"\Q{w}\E" for w in words)
 
 
+def sql_literal(text: str) -> str:
+    """``text`` as a raw SQL string literal, so that regexes keep their backslashes."""
+    return f"r'{text}'" if "'" not in text else f'r"{text}"'
+
+
 def contains_any(text: Column, words: Iterable[str]) -> Column:
     return text.rlike(quoted_alternation(words))
 

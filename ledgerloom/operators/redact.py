@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pii import fold_digits
-from ..functions.text import collapse_spaces, folded, strip
+from ..functions.text import collapse_spaces, folded, sql_literal, strip
 from ..rules import pii as R
 from .shaping import computed_once, is_small, salted_join
 
@@ -16,78 +14,59 @@ from .shaping import computed_once, is_small, salted_join
 # ``fixed`` True is tested once per pass on the text that enters it: no stage adds
 # a digit run or a keyword that its pattern could use. The others are plain
 # substring tests on the text of the stage itself.
-GATES: dict[str, tuple[bool, Callable[[Column], Column]]] = {
-    "long_run": (True, lambda t: t.rlike(r"(?U)[\d(\-][\d\s\-.()]{8,}[\d\-]")),
-    "five_digits": (True, lambda t: t.rlike(r"(?U)\d{5}")),
-    "dots": (True, lambda t: t.rlike(r"(?U)\d\.\d{1,3}\.\d")),
-    "iban": (True, lambda t: t.rlike(r"(?U)[A-Z]{2}\d{2} ?[A-Z0-9]{4}")),
-    "ssn": (False, lambda t: t.contains("-")),
-    "at": (False, lambda t: t.contains("@")),
-    "url": (False, lambda t: t.contains("://")),
-    "stars": (False, lambda t: t.contains("*-*")),
-    "plus": (False, lambda t: t.contains("+")),
+#
+# The stages are written as SQL text: one expression per stage instead of dozens
+# of Column calls, which keeps the plan quick to build.
+GATES: dict[str, tuple[bool, str]] = {
+    "long_run": (True, r"{t} RLIKE r'(?U)[\d(\-][\d\s\-.()]{{8,}}[\d\-]'"),
+    "five_digits": (True, r"{t} RLIKE r'(?U)\d{{5}}'"),
+    "dots": (True, r"{t} RLIKE r'(?U)\d\.\d{{1,3}}\.\d'"),
+    "iban": (True, r"{t} RLIKE r'(?U)[A-Z]{{2}}\d{{2}} ?[A-Z0-9]{{4}}'"),
+    "ssn": (False, "contains({t}, '-')"),
+    "at": (False, "contains({t}, '@')"),
+    "url": (False, "contains({t}, '://')"),
+    "stars": (False, "contains({t}, '*-*')"),
+    "plus": (False, "contains({t}, '+')"),
 }
+CARD_NUMBER = "entity_CREDIT_CARD"  # the one rule that also looks at the check digit
 
 
-def _any_word(text: Column, words: tuple[str, ...]) -> Column:
-    hit = text.contains(words[0])
-    for word in words[1:]:
-        hit = hit | text.contains(word)
-    return hit
-
-
-def _card_numbers(text: Column, regex: str) -> Column:
-    """Digit runs of card length whose check digit is right."""
-    runs = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    return F.array_distinct(F.filter(runs, lambda m: F.call_function("luhn_check", F.regexp_replace(m, r"[ \-]", ""))))
-
-
-def _replaced(text: Column, p: R.Pattern) -> Column:
-    if p.name == "entity_CREDIT_CARD":
-        return F.aggregate(_card_numbers(text, p.regex), text, lambda acc, m: F.replace(acc, m, F.lit(p.replacement)))
-    return F.regexp_replace(text, p.regex, p.replacement)
+def _matches(text: str, p: R.Pattern) -> str:
+    """Whole matches of ``p`` in order, as SQL."""
+    found = f"regexp_extract_all({text}, {sql_literal(p.regex)}, 0)"
+    if p.name == CARD_NUMBER:
+        return f"filter({found}, m -> luhn_check(regexp_replace(m, r'[ \\-]', '')))"
+    return found
 
 
-def _matches(text: Column, p: R.Pattern) -> Column:
-    """Whole matches of ``p`` in order."""
-    if p.name == "entity_CREDIT_CARD":
-        cards = _card_numbers(text, p.regex)
-        runs = F.regexp_extract_all(text, F.lit(p.regex), F.lit(0))
-        return F.filter(runs, lambda m: F.array_contains(cards, m))
-    return F.regexp_extract_all(text, F.lit(p.regex), F.lit(0))
+def _replaced(text: str, p: R.Pattern) -> str:
+    if p.name == CARD_NUMBER:
+        return f"aggregate(array_distinct({_matches(text, p)}), {text}, (acc, m) -> replace(acc, m, '{p.replacement}'))"
+    return f"regexp_replace({text}, {sql_literal(p.regex)}, '{p.replacement}')"
 
 
-def _count(text: Column, p: R.Pattern) -> Column:
-    if p.name == "entity_CREDIT_CARD":
-        return F.size(_matches(text, p))
-    return F.regexp_count(text, F.lit(p.regex))
+def _count(text: str, p: R.Pattern) -> str:
+    if p.name == CARD_NUMBER:
+        return f"size({_matches(text, p)})"
+    return f"regexp_count({text}, {sql_literal(p.regex)})"
 
 
-def _offsets(text: Column, p: R.Pattern, matches: Column) -> Column:
-    """Start of every match in the text before this stage."""
-    gaps = F.split(text, p.regex, -1)
-    lengths = lambda parts: F.aggregate(parts, F.lit(0), lambda acc, s: acc + F.length(s))
-    return F.transform(
-        matches, lambda m, k: lengths(F.slice(gaps, F.lit(1), k + 1)) + lengths(F.slice(matches, F.lit(1), k))
-    )
-
-
-def _details(text: Column, p: R.Pattern) -> Column:
-    """One struct per match: pattern, original, replacement, start, end."""
-    matches = _matches(text, p)
-    if p.name == "entity_CREDIT_CARD":
-        starts = F.transform(matches, lambda m: F.instr(text, m) - 1)
+def _details(text: str, p: R.Pattern) -> str:
+    """One struct per match; offsets refer to the text before this stage."""
+    found = _matches(text, p)
+    if p.name == CARD_NUMBER:
+        start = f"instr({text}, m) - 1"
+        shown = f"'{p.replacement}'"
     else:
-        starts = _offsets(text, p, matches)
-    return F.transform(
-        F.arrays_zip(matches.alias("m"), starts.alias("s")),
-        lambda z: F.struct(
-            F.lit(p.name).alias("pattern"),
-            z["m"].alias("original"),
-            _replaced(z["m"], p).alias("replacement"),
-            z["s"].cast("int").alias("start"),
-            (z["s"] + F.length(z["m"])).cast("int").alias("end"),
-        ),
+        size = "0, (acc, s) -> acc + length(s)"
+        start = (
+            f"aggregate(slice(split({text}, {sql_literal(p.regex)}, -1), 1, k + 1), {size})"
+            f" + aggregate(slice({found}, 1, k), {size})"
+        )
+        shown = _replaced("m", p)
+    return (
+        f"transform({found}, (m, k) -> named_struct('pattern', '{p.name}', 'original', m, 'replacement', {shown},"
+        f" 'start', {start}, 'end', {start} + length(m)))"
     )
 
 
@@ -97,35 +76,36 @@ def _run_stages(
     """Add one column per stage; returns the frame and the names, the source text first."""
     names = [column]
     for number, patterns in enumerate(passes):
-        entering = F.col(names[-1])
         if number == 0 and any(isinstance(p.gate, tuple) for ps in passes for p in ps):
-            df = df.withColumn("_folded", folded(entering))
+            df = df.withColumn("_folded", folded(F.col(column)))
         flags = {}
         for p in patterns:
             if isinstance(p.gate, tuple):
-                flags[f"_g{number}_{p.name}"] = _any_word(F.col("_folded"), p.gate)
+                flags[f"_g{number}_{p.name}"] = " OR ".join(f"contains(_folded, '{w}')" for w in p.gate)
             elif GATES[p.gate][0]:
-                flags[f"_g{number}_{p.gate}"] = GATES[p.gate][1](entering)
-        df = df.withColumns(flags)
+                flags[f"_g{number}_{p.gate}"] = GATES[p.gate][1].format(t=names[-1])
+        df = df.withColumns({name: F.expr(test) for name, test in flags.items()})
         for p in patterns:
-            before = F.col(names[-1])
+            before = names[-1]
             if isinstance(p.gate, tuple):
-                open_gate = F.col(f"_g{number}_{p.name}")
+                gate = f"_g{number}_{p.name}"
             elif GATES[p.gate][0]:
-                open_gate = F.col(f"_g{number}_{p.gate}")
+                gate = f"_g{number}_{p.gate}"
             else:
-                open_gate = GATES[p.gate][1](before)
+                gate = GATES[p.gate][1].format(t=before)
             names.append(f"_stage_{len(names)}")
-            df = df.withColumn(names[-1], F.when(open_gate, _replaced(before, p)).otherwise(before))
+            df = df.withColumn(names[-1], F.expr(f"CASE WHEN {gate} THEN {_replaced(before, p)} ELSE {before} END"))
     return df, names
 
 
-def _changed(names: list[str], i: int) -> Column:
-    return F.col(names[i + 1]) != F.col(names[i])
+def _stage_count(names: list[str], i: int, p: R.Pattern) -> Column:
+    """Matches of stage ``i``; counted only where the stage changed the text."""
+    return F.expr(f"CASE WHEN {names[i + 1]} != {names[i]} THEN {_count(names[i], p)} ELSE 0 END")
 
 
-def _stage_count(names: list[str], i: int, p: R.Pattern) -> Column:
-    return F.when(_changed(names, i), _count(F.col(names[i]), p)).otherwise(F.lit(0))
+def _stage_details(names: list[str], i: int, p: R.Pattern) -> str:
+    none = "cast(array() AS array<struct<pattern:string,original:string,replacement:string,start:int,end:int>>)"
+    return f"CASE WHEN {names[i + 1]} != {names[i]} THEN {_details(names[i], p)} ELSE {none} END"
 
 
 def apply_patterns(df: DataFrame, column: str, patterns: tuple[R.Pattern, ...], out: str = "clean_text") -> DataFrame:
@@ -148,20 +128,17 @@ def redact_entities(df: DataFrame, column: str, out: str = "clean_text") -> Data
     return apply_patterns(df, column, R.ENTITIES, out)
 
 
-def _issues(text: Column, p: R.Pattern) -> Column:
-    return F.transform(_matches(text, p), lambda m: F.concat(F.lit(f"{p.name}: '"), m, F.lit("'")))
-
-
 def validate(df: DataFrame, column: str) -> DataFrame:
     """Pass 3: adds ``clean_text``, ``fixes``, ``is_valid`` and ``issues`` ('rule: match' texts)."""
     keep = df.columns
     staged, names = _run_stages(df, column, [R.LEAKS])
     counts = [_stage_count(names, i, p) for i, p in enumerate(R.LEAKS)]
     fixes = sum(counts[1:], counts[0])
-    issues = [
-        F.when(_changed(names, i), _issues(F.col(names[i]), p)).otherwise(F.array().cast("array<string>"))
+    issues = ", ".join(
+        f"CASE WHEN {names[i + 1]} != {names[i]} THEN transform({_matches(names[i], p)}, m -> concat('{p.name}: ', m))"
+        " ELSE cast(array() AS array<string>) END"
         for i, p in enumerate(R.LEAKS)
-    ]
+    )
     return computed_once(
         staged,
         keep,
@@ -169,7 +146,7 @@ def validate(df: DataFrame, column: str) -> DataFrame:
             "clean_text": F.col(names[-1]),
             "fixes": fixes,
             "is_valid": fixes == 0,
-            "issues": F.flatten(F.array(*issues)),
+            "issues": F.expr(f"flatten(array({issues}))"),
         },
     )
 
@@ -199,31 +176,24 @@ def redact(
     found = len(patterns) - len(R.LEAKS)
     # Counts are plain columns first: every later expression reads them by name.
     staged = staged.withColumns({f"_n_{i}": _stage_count(names, i, p) for i, p in enumerate(patterns)})
-    n = [F.col(f"_n_{i}") for i in range(len(patterns))]
-    total = lambda cols: sum(cols[1:], cols[0])
-    fixes = F.coalesce(total(n[found:]), F.lit(0))
-    entries = F.array(*[F.struct(F.lit(p.name).alias("key"), n[i].alias("value")) for i, p in enumerate(patterns[:found])])
-    by_pass = [F.lit("regex"), F.coalesce(total(n[: len(R.PATTERNS)]), F.lit(0))]
-    by_pass += [F.lit("entities"), F.coalesce(total(n[len(R.PATTERNS) : found]), F.lit(0)) if entities else F.lit(0)]
-    by_pass += [F.lit("validation"), fixes]
+    total = lambda first, last: "coalesce(" + " + ".join(f"_n_{i}" for i in range(first, last)) + ", 0)" if last > first else "0"
+    first_pass, every = len(R.PATTERNS), len(patterns)
+    fixes = F.expr(total(found, every))
+    entries = ", ".join(f"named_struct('key', '{p.name}', 'value', _n_{i})" for i, p in enumerate(patterns[:found]))
+    by_pass = f"map('regex', {total(0, first_pass)}, 'entities', {total(first_pass, found)}, 'validation', {total(found, every)})"
     error = F.col(text).isNull()
     computed = {
         "clean_text": F.coalesce(F.col(names[-1]), F.lit(R.REDACTION_ERROR)),
-        "redaction_count": F.coalesce(total(n), F.lit(0)).cast("bigint"),
-        "by_type": F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0)),
-        "by_pass": F.create_map(*by_pass),
+        "redaction_count": F.expr(total(0, every)).cast("bigint"),
+        "by_type": F.expr(f"map_from_entries(filter(array({entries}), e -> e.value > 0))"),
+        "by_pass": F.expr(by_pass),
         "fixes": fixes,
         "is_valid": ~error & (fixes == 0),
         "redaction_error": error,
     }
     if details:
-        none = F.array().cast("array<struct<pattern:string,original:string,replacement:string,start:int,end:int>>")
-        computed["redaction_details"] = F.flatten(
-            F.array(*[
-                F.when(_changed(names, i), _details(F.col(names[i]), p)).otherwise(none)
-                for i, p in enumerate(patterns[:found])
-            ])
-        )
+        parts = ", ".join(_stage_details(names, i, p) for i, p in enumerate(patterns[:found]))
+        computed["redaction_details"] = F.expr(f"flatten(array({parts}))")
     return computed_once(staged, keep, computed)
 
 
