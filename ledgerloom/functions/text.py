@@ -66,3 +66,12 @@ def first_long_enough(candidates: Iterable[Column], longer_than: int, cut: int)
 
 def money(amount: Column) -> Column:
     return F.format_string("%.2f", amount)
+
+
+def money_sum(amount: Column) -> Column:
+    """Sum of a DOUBLE amount, added up exactly.
+
+    Floating sums depend on the order of the rows, so a repeated task could give
+    another last digit; decimals do not.
+    """
+    return F.sum(amount.cast("decimal(20,4)")).cast("double")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import money
+from ..functions.text import money, money_sum
 from .shaping import sums_before
 
 COLUMNS = ["id", "type", "severity", "description", "transaction_ids", "recommended_action", "resolved", "created_at"]
@@ -42,7 +42,7 @@ def spikes(txn: DataFrame, factor: float = 3.0, block: str = "HOUR") -> DataFram
         history.where(F.col("rows_before") > 0)
         .withColumn("average", average)
         .where(F.col("amount") > F.lit(factor) * F.col("average"))
-        .select("seq", "id", "merchant", "date", "amount", "average")
+        .select("seq", "id", "merchant", "date", "amount", "average", "sum_before", "rows_before")
     )
 
 
@@ -75,10 +75,10 @@ def category_spikes(txn: DataFrame, as_of: str, days: int = 7, factor: float = 2
     sums = (
         txn.where(F.col("date") < end)
         .groupBy("category", period.alias("periods_back"))
-        .agg(F.sum("amount").alias("total"))
+        .agg(money_sum(F.col("amount")).alias("total"))
     )
     earlier = W.partitionBy("category").orderBy(F.desc("periods_back")).rowsBetween(W.unboundedPreceding, -1)
-    return sums.withColumn("mean_before", F.avg("total").over(earlier)).where(
+    return sums.withColumn("mean_before", (F.sum(F.col("total").cast("decimal(24,4)")).over(earlier).cast("double") / F.count("total").over(earlier))).where(
         F.col("total") > F.lit(factor) * F.col("mean_before")
     )
 

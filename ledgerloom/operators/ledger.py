@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import money_sum
 from ..schemas import ANOMALIES, AUDIT_LOG, SUBSCRIPTIONS, TRANSACTIONS
 
 
@@ -153,7 +154,7 @@ def spending_by_category(txn: DataFrame, as_of: str, days: int = 30) -> DataFram
     return (
         txn.where(F.col("date") >= _days_before(as_of, days))
         .groupBy("category")
-        .agg(F.round(F.sum("amount"), 2).alias("total"))
+        .agg(F.round(money_sum(F.col("amount")), 2).alias("total"))
         .orderBy(F.desc("total"), "category")
     )
 
@@ -179,7 +180,7 @@ def spending_trend(txn: DataFrame, as_of: str, weeks: int = 4) -> DataFrame:
     sums = (
         txn.where((F.col("date") < _instant(as_of)) & (F.col("date") >= _days_before(as_of, 7 * weeks)))
         .groupBy(week.alias("week"))
-        .agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
+        .agg(F.count("*").alias("n"), money_sum(F.col("amount")).alias("total"))
     )
     calendar = txn.sparkSession.range(weeks).withColumnRenamed("id", "week")
     back = lambda extra: F.date_format(_instant(as_of) - F.make_dt_interval((F.col("week") + extra).cast("int") * 7), "yyyy-MM-dd")
@@ -199,8 +200,8 @@ def spending_trend(txn: DataFrame, as_of: str, weeks: int = 4) -> DataFrame:
 def _history(amount: Column) -> list[Column]:
     return [
         F.count("*").alias("count"),
-        F.round(F.coalesce(F.sum(amount), F.lit(0.0)), 2).alias("total"),
-        F.round(F.coalesce(F.avg(amount), F.lit(0.0)), 2).alias("average"),
+        F.round(F.coalesce(money_sum(amount), F.lit(0.0)), 2).alias("total"),
+        F.round(F.coalesce(money_sum(amount) / F.count(amount), F.lit(0.0)), 2).alias("average"),
         F.max("date").alias("last_seen"),
     ]
 
@@ -220,13 +221,13 @@ def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def ledger_total(txn: DataFrame) -> DataFrame:
-    return txn.agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("amount"), F.lit(0.0)), 2).alias("total"))
+    return txn.agg(F.count("*").alias("n"), F.round(F.coalesce(money_sum(F.col("amount")), F.lit(0.0)), 2).alias("total"))
 
 
 def period_change(txn: DataFrame, as_of: str, days: int) -> DataFrame:
     """This period against the one before, in one pass over both."""
     start, before = _days_before(as_of, days), _days_before(as_of, 2 * days)
-    part = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("amount"))), F.lit(0.0))
+    part = lambda cond: F.coalesce(money_sum(F.when(cond, F.col("amount"))), F.lit(0.0))
     sums = txn.where((F.col("date") >= before) & (F.col("date") < _instant(as_of))).agg(
         part(F.col("date") >= start).alias("now"), part(F.col("date") < start).alias("prev")
     )

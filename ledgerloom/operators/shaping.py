@@ -69,19 +69,21 @@ def sums_before(df: DataFrame, keys: list[str], block: str, order: list[str], va
     that only span one block, so a hot key is spread over many tasks.
     """
     block_keys = [*keys, block]
-    totals = df.groupBy(*block_keys).agg(F.sum(value).alias("_sum"), F.count(value).alias("_rows"))
+    exact = F.col(value).cast("decimal(20,4)")  # decimals add up alike in any order
+    zero = F.lit(0).cast("decimal(30,4)")
+    totals = df.groupBy(*block_keys).agg(F.sum(exact).alias("_sum"), F.count(value).alias("_rows"))
     earlier = W.partitionBy(*keys).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
     bases = totals.select(
         *block_keys,
-        F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_base_sum"),
+        F.coalesce(F.sum("_sum").over(earlier), zero).alias("_base_sum"),
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base_rows"),
     )
     inside = W.partitionBy(*block_keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return (
-        df.withColumn("_sum", F.coalesce(F.sum(value).over(inside), F.lit(0.0)))
+        df.withColumn("_sum", F.coalesce(F.sum(exact).over(inside), zero))
         .withColumn("_rows", F.count(value).over(inside))
         .join(bases, block_keys)
-        .withColumn("sum_before", F.col("_base_sum") + F.col("_sum"))
+        .withColumn("sum_before", (F.col("_base_sum") + F.col("_sum")).cast("double"))
         .withColumn("rows_before", F.col("_base_rows") + F.col("_rows"))
         .drop("_sum", "_rows", "_base_sum", "_base_rows")
     )

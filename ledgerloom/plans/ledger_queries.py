@@ -227,17 +227,21 @@ def _(spark, sf_dir):
     return L.spending_trend(V.txn(spark, sf_dir), E_AS_OF, weeks=6)
 
 
-_HISTORY = "count(*) AS count, round(coalesce(sum(amount), 0), 2) AS total, round(coalesce(avg(amount), 0), 2) AS average, strftime(max(date), '%Y-%m-%d %H:%M:%S.%f') AS last_seen"
+_HISTORY = "count(*) AS count, round(coalesce(sum(amount), 0), 2) AS total, round(coalesce(cast(sum(cast(amount as decimal(20,4))) as double) / count(*), 0), 2) AS average, strftime(max(date), '%Y-%m-%d %H:%M:%S.%f') AS last_seen"
+
+
+def _history(df):
+    return df.withColumn("last_seen", stamp("last_seen"))
 
 
 @query("AGG4_merchant_history", TXN + f"SELECT 'User_12' AS merchant, {_HISTORY} FROM txn WHERE merchant ILIKE '%User_12%'")
 def _(spark, sf_dir):
-    return L.merchant_history(V.txn(spark, sf_dir), "User_12").withColumn("last_seen", stamp("last_seen"))
+    return _history(L.merchant_history(V.txn(spark, sf_dir), "User_12"))
 
 
 @query("AGG5_merchant_history_all", TXN + f"SELECT merchant, {_HISTORY} FROM txn GROUP BY merchant")
 def _(spark, sf_dir):
-    return L.merchant_history_all(V.txn(spark, sf_dir)).withColumn("last_seen", stamp("last_seen"))
+    return _history(L.merchant_history_all(V.txn(spark, sf_dir)))
 
 
 _STATS = (
@@ -287,14 +291,15 @@ def _(spark, sf_dir):
 
 def _spike_cte(source: str) -> str:
     return (
-        f"hist AS (SELECT *, avg(amount) OVER (PARTITION BY merchant ORDER BY date, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS average FROM {source}),\n"
-        "spikes AS (SELECT * FROM hist WHERE amount > 3 * average)"
+        f"hist AS (SELECT *, cast(sum(cast(amount as decimal(20,4))) OVER w as double) AS sum_before, count(*) OVER w AS rows_before FROM {source}"
+        " WINDOW w AS (PARTITION BY merchant ORDER BY date, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),\n"
+        "spikes AS (SELECT * FROM hist WHERE rows_before > 0 AND amount > 3 * (sum_before / rows_before))"
     )
 
 
-@query("ANO1_spike", TXN.rstrip() + f",\n{_spike_cte('txn')}\nSELECT id, merchant, amount, round(average, 4) AS average FROM spikes")
+@query("ANO1_spike", TXN.rstrip() + f",\n{_spike_cte('txn')}\nSELECT id, merchant, amount, round(sum_before, 2) AS sum_before, rows_before FROM spikes")
 def _(spark, sf_dir):
-    return A.spikes(V.txn(spark, sf_dir)).select("id", "merchant", "amount", F.round("average", 4).alias("average"))
+    return A.spikes(V.txn(spark, sf_dir)).select("id", "merchant", "amount", F.round("sum_before", 2).alias("sum_before"), "rows_before")
 
 
 _NEW = "news AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY merchant ORDER BY date, seq) AS rn FROM {0}) WHERE rn = 1)"
@@ -320,20 +325,20 @@ def _(spark, sf_dir):
 
 def _cat_spike(source: str, as_of: str, days: int, factor: float) -> str:
     return (
-        f"per AS (SELECT category, (date_diff('microsecond', date, TIMESTAMP '{as_of}') - 1) // {days * 86_400_000_000} AS periods_back, sum(amount) AS total"
+        f"per AS (SELECT category, (date_diff('microsecond', date, TIMESTAMP '{as_of}') - 1) // {days * 86_400_000_000} AS periods_back, cast(sum(cast(amount as decimal(20,4))) as double) AS total"
         f" FROM {source} WHERE date < TIMESTAMP '{as_of}' GROUP BY 1, 2),\n"
-        "cat AS (SELECT * FROM (SELECT *, avg(total) OVER (PARTITION BY category ORDER BY periods_back DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mean_before FROM per)"
+        "cat AS (SELECT * FROM (SELECT *, cast(sum(cast(total as decimal(24,4))) OVER w as double) / count(*) OVER w AS mean_before FROM per WINDOW w AS (PARTITION BY category ORDER BY periods_back DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
         f" WHERE total > {factor} * mean_before)"
     )
 
 
 @query(
     "ANO4_category_spike",
-    TXO.rstrip() + f",\n{_cat_spike('txo', ORDERS_AS_OF, 30, 1.1)}\nSELECT category, periods_back, round(total, 2) AS total, round(mean_before, 2) AS mean_before FROM cat",
+    TXO.rstrip() + f",\n{_cat_spike('txo', ORDERS_AS_OF, 30, 1.1)}\nSELECT category, periods_back, round(total, 2) AS total, floor(mean_before * 100 + 0.5) AS mean_cents FROM cat",
 )
 def _(spark, sf_dir):
     return A.category_spikes(V.txn_orders(spark, sf_dir), ORDERS_AS_OF, 30, 1.1).select(
-        "category", "periods_back", F.round("total", 2).alias("total"), F.round("mean_before", 2).alias("mean_before")
+        "category", "periods_back", F.round("total", 2).alias("total"), F.floor(F.col("mean_before") * 100 + 0.5).cast("double").alias("mean_cents")
     )
 
 
@@ -394,22 +399,22 @@ def _(spark, sf_dir):
 # --- table writes ---------------------------------------------------------------------------------------------
 
 
-_REVISED = "batch AS (SELECT cast(l_orderkey as varchar) AS id, round(sum(l_extendedprice * (1 - l_discount)), 2) AS amount FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey)"
+_REVISED = "batch AS (SELECT cast(l_orderkey as varchar) AS id, cast(sum(cast(l_extendedprice as decimal(12,2))) as double) AS amount FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey)"
 
 
 def revised_orders(spark, sf_dir):
-    """Batch of corrected amounts: returned items summed per order."""
+    """Batch of corrected amounts: prices of returned items summed per order."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'R'")
-    amount = F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2)
+    amount = F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).cast("double")
     return items.groupBy("l_orderkey").agg(amount.alias("amount")).select(
         F.col("l_orderkey").cast("string").alias("id"), "amount", F.lit(1).alias("load_seq")
     )
 
 
-@query("SNK1_upsert_transactions", TXO.rstrip() + f",\n{_REVISED}\nSELECT id, round(coalesce(b.amount, t.amount), 1) AS amount FROM txo t FULL JOIN batch b USING (id)")
+@query("SNK1_upsert_transactions", TXO.rstrip() + f",\n{_REVISED}\nSELECT id, coalesce(b.amount, t.amount) AS amount FROM txo t FULL JOIN batch b USING (id)")
 def _(spark, sf_dir):
     stored = V.txn_orders(spark, sf_dir).select("id", "amount", F.lit(0).alias("load_seq"))
-    return L.upsert(stored, revised_orders(spark, sf_dir)).select("id", F.round("amount", 1).alias("amount"))
+    return L.upsert(stored, revised_orders(spark, sf_dir)).select("id", "amount")
 
 
 @query("SNK2_replace_transactions", TXN + f"SELECT 0 AS first_old, (SELECT count(*) FROM txn) AS second_old, count(*) AS n_rows, round(sum(amount), 2) AS total FROM txn WHERE date >= {_since(7)}")

@@ -87,13 +87,19 @@ def _(spark, sf_dir):
     return rows.groupBy("id", "pattern").agg(F.count("*").alias("n"))
 
 
-_ENT = (
-    "WITH runs AS (SELECT doc_id, text, list_distinct(list_filter(list_transform("
-    rf"regexp_extract_all(text, '(?:^|[^\[{O.W}.\-*])([0-9](?:[ \-]?[0-9]){{12,18}})', 1), lambda m: m), lambda m: "
-    + O.luhn("regexp_replace(m, '[ \\-]', '', 'g')")
-    + ")) AS cards FROM documents),\n"
-    "carded AS (SELECT doc_id, list_reduce(cards, lambda acc, m: replace(acc, m, '[CARD_REDACTED]'), text) AS text, len(cards) AS n_cards FROM runs),\n"
-)
+def _cards(text: str) -> str:
+    runs = rf"regexp_extract_all({text}, '(?:^|[^\[{O.W}.\-*])([0-9](?:[ \-]?[0-9]){{12,18}})(?:$|[^{O.W}\]\-])', 1)"
+    return f"list_distinct(list_filter({runs}, lambda m: " + O.luhn("regexp_replace(m, '[ \\-]', '', 'g')") + "))"
+
+
+def _carded(source: str, name: str) -> str:
+    return (
+        f"{name}_c AS (SELECT *, {_cards('text')} AS cards FROM {source}),\n"
+        f"{name} AS (SELECT doc_id, list_reduce(cards, lambda acc, m: replace(acc, m, '[CARD_REDACTED]'), text) AS text, n_cards + len(cards) AS n_cards FROM {name}_c),\n"
+    )
+
+
+_ENT = "WITH docs AS (SELECT doc_id, text, 0 AS n_cards FROM documents),\n" + _carded("docs", "once") + _carded("once", "carded")
 
 
 @query(
