@@ -72,13 +72,14 @@ def _undated_successors(rows: DataFrame) -> DataFrame:
 
 def first_later_matches(txn: DataFrame) -> DataFrame:
     """For each row the first later row (by ``seq``) with the same merchant in any
-    case, an amount within 0.01 and a time within 24 hours or unknown.
+    case, an amount within 0.01 and a time within 24 hours or unknown. A row
+    without a merchant or with amount 0 has no match of its own.
 
     Columns: seq, id, dup_seq, dup_id, amount, hours (NULL when a time is unknown).
     """
     known = F.col("micros").isNotNull()
     rows = (
-        txn.where((F.col("merchant") != "") & (F.col("amount") != 0))
+        txn.where((F.col("merchant") != "") & F.col("amount").isNotNull())
         .select(
             F.lower("merchant").alias("key"), F.col("seq").cast("bigint").alias("seq"), "id", "amount",
             _micros(F.col("date")).alias("micros"),
@@ -96,7 +97,7 @@ def first_later_matches(txn: DataFrame) -> DataFrame:
     apart = F.abs(F.col("i.micros") - F.col("j.micros"))
     close = F.abs(F.col("i.amount") - F.col("j.amount")) <= TOLERANCE
     return (
-        pairs.where(close & (apart.isNull() | (apart <= MICROS)))
+        pairs.where((F.col("i.amount") != 0) & close & (apart.isNull() | (apart <= MICROS)))
         .select(F.col("i.seq").alias("seq"), "i", "j")
         .groupBy("seq")
         .agg(F.min_by(F.struct("i", "j"), F.col("j.seq")).alias("p"))

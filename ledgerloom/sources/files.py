@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,12 +27,16 @@ def read_mail_json(spark: SparkSession, path: str, lines: bool = False) -> DataF
 
 def read_blocklist(spark: SparkSession, path: str) -> DataFrame:
     """(kind, value) rows in lower case; empty when the file is missing or bad, so nothing is blocked."""
-    schema = T.StructType([T.StructField(name, T.ArrayType(T.StringType())) for name, _ in KINDS])
+    fields = [T.StructField(name, T.ArrayType(T.StringType())) for name, _ in KINDS]
+    schema = T.StructType([*fields, T.StructField("_bad", T.StringType())])
     try:
-        config = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-        config.agg(*[F.count(name) for name, _ in KINDS]).collect()
-    except (AnalysisException, PySparkException) as e:
-        logger.warning("blocklist %s cannot be read, nothing is blocked: %s", path, str(e).splitlines()[0])
+        reader = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad")
+        config = reader.json(path)
+        bad = config.agg(F.count("_bad"), *[F.count(name) for name, _ in KINDS]).first()[0]
+    except AnalysisException:
+        bad = 1
+    if bad:
+        logger.warning("blocklist %s cannot be read, nothing is blocked", path)
         return spark.createDataFrame([], BLOCKLIST)
 
     def listed(name: str, kind: str) -> Column:
