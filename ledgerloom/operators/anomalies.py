@@ -30,13 +30,13 @@ def anomaly_rows(
     )
 
 
-def spikes(txn: DataFrame, factor: float = 3.0, block: str = "HOUR") -> DataFrame:
+def spikes(txn: DataFrame, factor: float = 3.0, block: str = "MINUTE") -> DataFrame:
     """Transactions above ``factor`` times the merchant's average so far.
 
     ``block`` is the time unit that cuts a merchant's rows for the running sums.
     """
-    blocks = txn.withColumn("_hour", F.date_trunc(block, F.col("date")))
-    history = sums_before(blocks, ["merchant"], "_hour", ["date", "seq"], "amount")
+    blocks = txn.withColumn("_block_start", F.date_trunc(block, F.col("date")))
+    history = sums_before(blocks, ["merchant"], "_block_start", ["date", "seq"], "amount")
     average = F.col("sum_before") / F.col("rows_before")
     return (
         history.where(F.col("rows_before") > 0)

@@ -29,7 +29,7 @@ def _here() -> Column:
     return F.struct("seq", "id", "amount", "micros")
 
 
-def _pairs(rows: DataFrame, cells: list[str], ask: Column, offer: Column) -> DataFrame:
+def _pairs(rows: DataFrame, cells: list[str], ask: Column, offer: Column, rare: bool = False) -> DataFrame:
     """(latest offering row before it, asking row) in every cell both come near to.
 
     Each row asks in all its cells but offers itself in its own cell only. The
@@ -37,6 +37,7 @@ def _pairs(rows: DataFrame, cells: list[str], ask: Column, offer: Column) -> Dat
     is paired with at most one row per cell: the pairs grow linearly. Nothing is
     missed, because two offering rows of one cell always match each other: the
     first later match of ``i`` can have no other row of i's cell in between.
+    With ``rare`` offers only the cells that hold one are looked at.
     """
     probes = rows.where(ask | offer)
     own = offer
@@ -47,6 +48,9 @@ def _pairs(rows: DataFrame, cells: list[str], ask: Column, offer: Column) -> Dat
     probes = probes.select(
         *keys, F.when(own, _here()).alias("_point"), ask.alias("_ask"), "seq", "id", "amount", "micros"
     )
+    if rare:
+        offered = rows.where(offer).select("key", *[F.col(f"{name}_own").alias(f"_{name}") for name in cells]).distinct()
+        probes = probes.join(offered, keys, "left_semi")
     found = last_before(probes, keys, "seq", "_point").where(F.col("_ask") & F.col("found").isNotNull())
     return found.select(F.col("found").alias("i"), _here().alias("j"))
 
@@ -91,7 +95,7 @@ def first_later_matches(txn: DataFrame) -> DataFrame:
     )
     pairs = (
         _pairs(rows, ["amount", "time"], known, known)
-        .unionByName(_pairs(rows, ["amount"], F.lit(True), ~known))
+        .unionByName(_pairs(rows, ["amount"], F.lit(True), ~known, rare=True))
         .unionByName(_undated_successors(rows))
     )
     apart = F.abs(F.col("i.micros") - F.col("j.micros"))

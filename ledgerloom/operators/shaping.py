@@ -22,13 +22,13 @@ def computed_once(df: DataFrame, keep: list[str], computed: dict[str, Column]) -
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash the rows over all cores when the table has fewer files than there are cores.
+    """Hash the rows over all cores when the scan has fewer splits than there are cores.
 
-    Meant for narrow rows before expensive per-row work; a table of many files is
-    left as it is read.
+    For a small table before expensive per-row work; a table of many splits is
+    left as it is read, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

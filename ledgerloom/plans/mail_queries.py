@@ -18,7 +18,7 @@ from ..operators import injection as I
 from ..operators import ledger as L
 from ..operators import mail as MO
 from ..operators.redact import redaction_stats
-from ..operators.shaping import computed_once, shared_dir
+from ..operators.shaping import computed_once, shared_dir, spread
 from ..rules import extraction as R
 from ..sources import files
 from ..sources import views as V
@@ -177,25 +177,25 @@ _BASIC = "regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'
 
 @query("SRC9_html_to_text_basic", f"SELECT page_id, left({_BASIC}, 1500) AS text FROM pages")
 def _(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id")
     return pages.select("page_id", M.html_to_text_basic(F.col("html")).alias("text"))
 
 
 @query("SRC9_html_to_text_basic_whole", f"SELECT page_id, {_BASIC} AS text FROM pages")
 def _(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id")
     return pages.select("page_id", M.html_to_text_basic(F.col("html"), None).alias("text"))
 
 
 @query("SRC10_html_to_text", f"SELECT page_id, {O.html_to_text('html', 1500)} AS text FROM pages")
 def _(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id")
     return pages.select("page_id", M.html_to_text(F.col("html")).alias("text"))
 
 
 @query("SRC10_html_to_text_whole", f"SELECT page_id, {O.html_to_text('html', None)} AS text FROM pages")
 def _(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id")
     return pages.select("page_id", M.html_to_text(F.col("html"), None).alias("text"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import redact as RD
+from ..operators.shaping import spread
 from ..rules import pii as P
 from ..sources import views as V
 from . import oracle as O
@@ -14,7 +15,11 @@ from .scan import staged_mail
 
 
 def _docs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
+
+
+def _pages(spark, sf_dir):
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id")
 
 
 def _one(name: str) -> tuple[P.Pattern, ...]:
@@ -69,7 +74,7 @@ def _(spark, sf_dir):
 
 @query("RED11_redact_regex_pages", "WITH " + _chain_sql("pages", "page_id", "html", O.PASS1))
 def _(spark, sf_dir):
-    return _counted(RD.redact_regex(spark.read.parquet(f"{sf_dir}/pages.parquet"), "html"), "page_id", P.PATTERNS)
+    return _counted(RD.redact_regex(_pages(spark, sf_dir), "html"), "page_id", P.PATTERNS)
 
 
 @query("RED11_redact_regex_mail", f"WITH {V.mail_cte()},\n" + _chain_sql("mail", "id", "body", O.PASS1))
