@@ -20,6 +20,8 @@ from .shaping import computed_once, is_small, salted_join
 GATES: dict[str, tuple[bool, str]] = {
     "long_run": (True, r"{t} RLIKE r'(?U)[\d(\-][\d\s\-.()]{{8,}}[\d\-]'"),
     "five_digits": (True, r"{t} RLIKE r'(?U)\d{{5}}'"),
+    "card": (True, r"{t} RLIKE r'(?U)\d{{4}}[\s\-]?\d{{4,6}}[\s\-]?\d{{4}}'"),
+    "zip": (True, r"{t} RLIKE r'(?U)[A-Z]{{2}}\s+\d{{5}}'"),
     "dots": (True, r"{t} RLIKE r'(?U)\d\.\d{{1,3}}\.\d'"),
     "iban": (True, r"{t} RLIKE r'(?U)[A-Z]{{2}}\d{{2}} ?[A-Z0-9]{{4}}'"),
     "ssn": (False, "contains({t}, '-')"),
@@ -76,23 +78,21 @@ def _run_stages(
     """Add one column per stage; returns the frame and the names, the source text first."""
     names = [column]
     for number, patterns in enumerate(passes):
-        if number == 0 and any(isinstance(p.gate, tuple) for ps in passes for p in ps):
+        if number == 0 and any(p.words for ps in passes for p in ps):
             df = df.withColumn("_folded", folded(F.col(column)))
         flags = {}
         for p in patterns:
-            if isinstance(p.gate, tuple):
-                flags[f"_g{number}_{p.name}"] = " OR ".join(f"contains(_folded, '{w}')" for w in p.gate)
-            elif GATES[p.gate][0]:
+            if GATES[p.gate][0]:
                 flags[f"_g{number}_{p.gate}"] = GATES[p.gate][1].format(t=names[-1])
+            if p.words:
+                flags[f"_w_{p.name}"] = " OR ".join(f"contains(_folded, '{w}')" for w in p.words)
         df = df.withColumns({name: F.expr(test) for name, test in flags.items()})
         for p in patterns:
             before = names[-1]
-            if isinstance(p.gate, tuple):
-                gate = f"_g{number}_{p.name}"
-            elif GATES[p.gate][0]:
-                gate = f"_g{number}_{p.gate}"
-            else:
-                gate = GATES[p.gate][1].format(t=before)
+            fixed, test = GATES[p.gate]
+            gate = f"_g{number}_{p.gate}" if fixed else test.format(t=before)
+            if p.words:
+                gate += f" AND _w_{p.name}"
             names.append(f"_stage_{len(names)}")
             df = df.withColumn(names[-1], F.expr(f"CASE WHEN {gate} THEN {_replaced(before, p)} ELSE {before} END"))
     return df, names

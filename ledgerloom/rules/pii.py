@@ -12,7 +12,8 @@ class Pattern(NamedTuple):
     name: str
     regex: str
     replacement: str
-    gate: str | tuple[str, ...]  # cheap necessary condition: a named test, or words one of which must occur
+    gate: str  # cheap necessary condition, a name in operators.redact.GATES
+    words: tuple[str, ...] = ()  # and one of these words must occur
 
 
 # --- fixed values: pass 1 patterns in the order they are applied ---------------
@@ -26,21 +27,21 @@ PATTERNS = (
         r"|3[47]\d{2}[\s\-]?\d{6}[\s\-]?\d(\d{4})"
         r"|(?:6011|65\d{2})[\s\-]?\d{4}[\s\-]?\d{4}[\s\-]?(\d{4}))(?!\d)",
         "[CARD_****$1$2$3$4]",
-        "long_run",
+        "card",
     ),
     Pattern("ssn", r"(?U)\b\d{3}\-\d{2}\-\d{4}\b|\*{3}\-\*{2}\-\d{4}\b", "[SSN_REDACTED]", "ssn"),
-    Pattern("routing_number", r"(?iU)((?:routing|aba|transit)[\s#:]*)\d{9}\b", "$1[ROUTING_REDACTED]", ("routing", "aba", "transit")),
+    Pattern("routing_number", r"(?iU)((?:routing|aba|transit)[\s#:]*)\d{9}\b", "$1[ROUTING_REDACTED]", "five_digits", ("routing", "aba", "transit")),
     Pattern(
         "account_number",
         r"(?iU)((?:account|acct|acct\.)[\s#:]*(?:number[\s#:]*|num[\s#:]*|no[\s#:]*)?)\d{8,17}\b",
         "$1[ACCT_REDACTED]",
-        ("account", "acct"),
+        "five_digits", ("account", "acct"),
     ),
     Pattern(
         "generic_long_number",
         r"(?iU)((?:order|confirmation|reference|tracking|transaction|member|policy|claim|invoice)[\s#:]*)[\d\-]{10,}\b",
         "$1[NUMBER_REDACTED]",
-        "long_run",
+        "long_run", ("order", "confirmation", "reference", "tracking", "transaction", "member", "policy", "claim", "invoice"),
     ),
     Pattern(
         "phone_number",
@@ -60,7 +61,7 @@ PATTERNS = (
         r"(?U)\b\d{1,6}\s+[A-Za-z0-9\.\s]{2,40}(?:,?\s*(?:Apt|Suite|Ste|Unit|#)\s*[A-Za-z0-9]+)?"
         r",?\s*[A-Za-z\s]{2,30},?\s*[A-Z]{2}\s+\d{5}(?:\-\d{4})?\b",
         "[ADDRESS_REDACTED]",
-        "five_digits",
+        "zip",
     ),
 )
 
@@ -108,10 +109,10 @@ ENTITIES = (
     ),
     Pattern("entity_US_SSN", r"(?U)(?<![\[\w\-])(?!000|666|9)\d{3}[\- ](?!00)\d{2}[\- ](?!0000)\d{4}(?![\w\]\-])", "[SSN_REDACTED]", "long_run"),
     Pattern("entity_US_ITIN", r"(?U)(?<![\[\w\-])9\d{2}[\- ](?:5\d|6[0-5]|7\d|8[0-8]|9[0-24-9])[\- ]\d{4}(?![\w\]\-])", "[SSN_REDACTED]", "long_run"),
-    Pattern("entity_US_PASSPORT", r"(?iU)(passport(?:\s+(?:number|no\.?|#))?[\s#:]*)(?:[A-Z]\d{8}|\d{9})(?![\w\]])", "$1[PASSPORT_REDACTED]", ("passport",)),
-    Pattern("entity_US_DRIVER_LICENSE", r"(?iU)((?:driver'?s?\s+licen[cs]e|licen[cs]e\s+(?:number|no\.?|#)|DL)[\s#:]*)[A-Z]\d{6,8}(?![\w\]])", "$1[LICENSE_REDACTED]", ("licen", "dl")),
-    Pattern("entity_MEDICAL_LICENSE", r"(?iU)((?:DEA|medical\s+licen[cs]e)[\s#:]*)[A-Z]{2}\d{7}(?![\w\]])", "$1[LICENSE_REDACTED]", ("dea", "medical")),
-    Pattern("entity_US_BANK_NUMBER", r"(?iU)((?:bank|checking|savings|debit)(?:\s+(?:account|acct))?(?:\s+(?:number|no\.?|#))?[\s#:]+)\d{8,17}(?![\w\]])", "$1[ACCT_REDACTED]", ("bank", "checking", "savings", "debit")),
+    Pattern("entity_US_PASSPORT", r"(?iU)(passport(?:\s+(?:number|no\.?|#))?[\s#:]*)(?:[A-Z]\d{8}|\d{9})(?![\w\]])", "$1[PASSPORT_REDACTED]", "five_digits", ("passport",)),
+    Pattern("entity_US_DRIVER_LICENSE", r"(?iU)((?:driver'?s?\s+licen[cs]e|licen[cs]e\s+(?:number|no\.?|#)|DL)[\s#:]*)[A-Z]\d{6,8}(?![\w\]])", "$1[LICENSE_REDACTED]", "five_digits", ("licen", "dl")),
+    Pattern("entity_MEDICAL_LICENSE", r"(?iU)((?:DEA|medical\s+licen[cs]e)[\s#:]*)[A-Z]{2}\d{7}(?![\w\]])", "$1[LICENSE_REDACTED]", "five_digits", ("dea", "medical")),
+    Pattern("entity_US_BANK_NUMBER", r"(?iU)((?:bank|checking|savings|debit)(?:\s+(?:account|acct))?(?:\s+(?:number|no\.?|#))?[\s#:]+)\d{8,17}(?![\w\]])", "$1[ACCT_REDACTED]", "five_digits", ("bank", "checking", "savings", "debit")),
     Pattern("entity_EMAIL_ADDRESS", r"(?U)(?<![\[\w.])[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+(?![\w\]])", "[EMAIL_REDACTED]", "at"),
     Pattern("entity_PHONE_NUMBER", r"(?U)(?<![\[\w])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?![\w\]])", "[PHONE_REDACTED]", "plus"),
 )
