@@ -158,8 +158,8 @@ def _(spark, sf_dir):
     "AGG14_audit_report",
     EVENTS.rstrip()
     + f",\np AS (SELECT * FROM audit_events WHERE {_PERIOD})\n"
-    "SELECT 7 AS period_days, count(*) AS total_actions, count_if(action = 'email_processed') AS emails_processed, sum(redactions_applied) AS total_redactions,"
-    " count_if(action = 'anomaly_detected') AS anomalies_found, count_if(level = 'CRITICAL') AS security_events, sum(security_flags) AS total_security_flags,"
+    "SELECT 7 AS period_days, count(*) AS total_actions, cast(count_if(action = 'email_processed') as bigint) AS emails_processed, cast(sum(redactions_applied) as bigint) AS total_redactions,"
+    " cast(count_if(action = 'anomaly_detected') as bigint) AS anomalies_found, cast(count_if(level = 'CRITICAL') as bigint) AS security_events, cast(sum(security_flags) as bigint) AS total_security_flags,"
     " (SELECT string_agg(concat(action, '=', n), ';' ORDER BY action) FROM (SELECT action, count(*) AS n FROM p GROUP BY 1)) AS actions_breakdown, true AS chain_integrity FROM p",
 )
 def _(spark, sf_dir):

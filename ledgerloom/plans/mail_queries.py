@@ -527,7 +527,7 @@ def _(spark, sf_dir):
 
 PIPELINE_COLUMNS = (
     "(SELECT count(*) FROM reasons) AS fetched, (SELECT count(*) FROM reasons WHERE reason <> '') AS blocked,"
-    " (SELECT sum(redaction_count) FROM clean) AS redacted, 0 AS failed_closed,"
+    " (SELECT cast(sum(redaction_count) as bigint) FROM clean) AS redacted, 0 AS failed_closed,"
     f" (SELECT count(*) FROM (SELECT {O.patterns_found('clean_text')} AS found FROM clean) WHERE len(found) > 0) AS injections,"
     " (SELECT count(*) FROM extracted) AS extracted"
 )
@@ -540,8 +540,8 @@ def _(spark, sf_dir):
 
 
 _STATS_SQL = (
-    "count(*) AS total_checks, count_if(reason <> '') AS blocked_count, count_if(reason = 'sender') AS blocked_by_sender,"
-    " count_if(reason = 'domain') AS blocked_by_domain, count_if(reason = 'subject') AS blocked_by_subject,"
+    "count(*) AS total_checks, cast(count_if(reason <> '') as bigint) AS blocked_count, cast(count_if(reason = 'sender') as bigint) AS blocked_by_sender,"
+    " cast(count_if(reason = 'domain') as bigint) AS blocked_by_domain, cast(count_if(reason = 'subject') as bigint) AS blocked_by_subject,"
     " round(count_if(reason <> '') * 100.0::DOUBLE / count(*), 1) AS block_rate"
 )
 

@@ -235,7 +235,7 @@ def _(spark, sf_dir):
 
 @query(
     "FLT14_fail_closed",
-    MAIL + "SELECT count_if(body <> '') AS passed, count_if(body = '') AS withheld FROM mail",
+    MAIL + "SELECT cast(count_if(body <> '') as bigint) AS passed, cast(count_if(body = '') as bigint) AS withheld FROM mail",
 )
 def _(spark, sf_dir):
     empty_is_error = F.nullif(F.col("body"), F.lit(""))
@@ -245,17 +245,17 @@ def _(spark, sf_dir):
 
 
 _BY_TYPE = "\nUNION ALL ".join(
-    f"SELECT '{k}' AS type, sum(n_{k}) AS n FROM clean WHERE is_valid HAVING sum(n_{k}) > 0" for k in (*O.PASS1, *O.ENTITIES)
+    f"SELECT '{k}' AS type, cast(sum(n_{k}) as bigint) AS n FROM clean WHERE is_valid HAVING sum(n_{k}) > 0" for k in (*O.PASS1, *O.ENTITIES)
 )
 
 
 @query(
     "AGG10_redaction_stats",
     CLEAN
-    + "\nSELECT count(*) AS total_mails, sum(CASE WHEN is_valid THEN redaction_count ELSE 0 END) AS total_redactions, count_if(NOT is_valid) AS failed_mails,"
-    + " sum(CASE WHEN is_valid THEN " + " + ".join(f"n_{k}" for k in O.PASS1) + " ELSE 0 END) AS by_regex,"
-    + " sum(CASE WHEN is_valid THEN " + " + ".join(f"n_{k}" for k in O.ENTITIES) + " ELSE 0 END) AS by_entities,"
-    + " sum(CASE WHEN is_valid THEN n_phone_number ELSE 0 END) AS phones FROM clean",
+    + "\nSELECT count(*) AS total_mails, cast(sum(CASE WHEN is_valid THEN redaction_count ELSE 0 END) as bigint) AS total_redactions, cast(count_if(NOT is_valid) as bigint) AS failed_mails,"
+    + " cast(sum(CASE WHEN is_valid THEN " + " + ".join(f"n_{k}" for k in O.PASS1) + " ELSE 0 END) as bigint) AS by_regex,"
+    + " cast(sum(CASE WHEN is_valid THEN " + " + ".join(f"n_{k}" for k in O.ENTITIES) + " ELSE 0 END) as bigint) AS by_entities,"
+    + " cast(sum(CASE WHEN is_valid THEN n_phone_number ELSE 0 END) as bigint) AS phones FROM clean",
 )
 def _(spark, sf_dir):
     return RD.redaction_stats(clean(spark, sf_dir)).select(
