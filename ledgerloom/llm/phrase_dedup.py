@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .registry import query, table
-from .repeats import pieces_of, repeated_runs, span_lists, with_runs
+from .repeats import pieces_of, repeated_runs, span_lists, unzipped, with_runs
 from .rolling import SPACES, merged, word_batches
 from .storage import keyed, row_type, unpacked
 
@@ -28,7 +28,7 @@ SHARD_BYTES = 1 << 21  # text of one shard, and of one automaton's patterns
 PATTERN_WORDS = 2048  # longer passages become overlapping patterns
 
 
-def remove_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, gram: int = 8) -> DataFrame:
+def remove_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, gram: int = 8, block: int = 8) -> DataFrame:
     """The columns of ``docs`` without the text, and n_words, n_removed, removed (array of word ranges [start, end)), kept."""
 
     def pieces(texts):
@@ -38,13 +38,13 @@ def remove_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     yield from pieces_of(hashes[lo:hi], i + j, width)
 
     rows = keyed(docs, id_col, text_col)
-    runs = repeated_runs(rows, pieces, width, gram, keep_first=False)
-    rows = with_runs(rows, runs).select("_row", "_text", "spans")
+    runs = repeated_runs(rows, pieces, width, gram, block, keep_first=False)
+    rows = with_runs(rows, runs).select("_row", "_zip", "spans")
 
     def locate(batches):
         for batch in batches:
             spans = span_lists(batch.column(2), width)
-            texts = batch.column(1).to_pylist()
+            texts = [t.decode() for t in unzipped(batch.column(1))]
             found = [x for lo, hi in _shards(texts) for x in _located(texts[lo:hi], spans[lo:hi], width)]
             out = [batch.column(0), *(pa.array([x[i] for x in found], pa.int64()) for i in (0, 1))]
             out += [pa.array([x[2] for x in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([x[3] for x in found], pa.string())]

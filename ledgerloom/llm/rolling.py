@@ -141,9 +141,9 @@ def segments(codes: np.ndarray, doc_lo: np.ndarray, doc_hi: np.ndarray, width: i
     The anchor of a window is its ``k``-gram of least hash, so it depends on the
     window's content alone: equal windows have equal anchors at the same place.
     ``doc_lo``/``doc_hi`` bound the texts inside ``codes`` (at most 2**20 codes).
-    Returns (text, first window, windows, anchor hash, hash of all codes of the run).
+    Returns (text, first window, windows, distance of the anchor, anchor hash, hash of all codes of the run).
     """
-    empty = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, U, U))
+    empty = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U, U))
     windows = np.maximum(doc_hi - doc_lo - width + 1, 0)
     if not windows.sum():
         return empty
@@ -163,13 +163,7 @@ def segments(codes: np.ndarray, doc_lo: np.ndarray, doc_hi: np.ndarray, width: i
     lo, anchor, of = at[first], anchor[first], of[first]
     whole = b1.spans(p1, lo, lo + n - 1 + width)
     whole = mix(whole ^ mix(n.astype(U) * U(1024) + (anchor - lo).astype(U)))
-    return of, lo - doc_lo[of], n, grams[anchor], whole
-
-
-def window_hashes(codes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hash of the windows that start at ``at``."""
-    b0, b1 = base(0), base(1)
-    return b0.spans(b0.prefix(codes), at, at + width), b1.spans(b1.prefix(codes), at, at + width)
+    return of, lo - doc_lo[of], n, anchor - lo, grams[anchor], whole
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

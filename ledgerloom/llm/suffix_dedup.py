@@ -18,17 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .registry import query, table
-from .repeats import pieces_of, repeated_runs, span_lists, with_runs
+from .repeats import pieces_of, repeated_runs, span_lists, unzipped, with_runs
 from .rolling import BYTE_CODES
 from .storage import keyed, row_type, unpacked
 
 RESULTS = ["n_bytes", "n_removed", "removed", "kept"]
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, gram: int = 32) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, gram: int = 24, block: int = 16) -> DataFrame:
     """The columns of ``docs`` without the text, and n_bytes, n_removed, removed (array of [start, end)), kept (binary).
 
-    ``gram`` is the length of an anchor, at most ``width``.
+    ``gram`` is the length of an anchor, ``block`` the windows of a block; width - gram < 127, block < width.
     """
 
     def pieces(texts):
@@ -37,12 +37,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield from pieces_of(_Coded(text), i, width)
 
     rows = keyed(docs, id_col, text_col)
-    runs = repeated_runs(rows, pieces, width, gram, keep_first=True)
-    rows = with_runs(rows, runs).select("_row", "_text", "spans")
+    runs = repeated_runs(rows, pieces, width, gram, block, keep_first=True)
+    rows = with_runs(rows, runs).select("_row", "_zip", "spans")
 
     def cut(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            texts = unzipped(batch.column(1))
             removed, kept, gone = [], [], []
             for text, (lo, hi) in zip(texts, span_lists(batch.column(2), width)):
                 at = np.stack((np.append(0, hi), np.append(lo, len(text))), axis=1)
