@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from . import phrase_dedup, suffix_dedup  # noqa: F401
+from . import language, phrase_dedup, suffix_dedup, toxicity  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
