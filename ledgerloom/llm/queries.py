@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from . import language, packing, phrase_dedup, suffix_dedup, toxicity  # noqa: F401
+from . import language, near_dedup, packing, phrase_dedup, suffix_dedup, toxicity  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -50,3 +50,7 @@ def unpacked(rows: DataFrame, columns: list[str], text_col: str, results: list[s
 
 def row_type(rows: DataFrame) -> str:
     return rows.schema["_row"].dataType.simpleString()
+
+
+def shown_id(column: str = "_id"):
+    return F.when(F.col(column) != F.lit(NO_ID), F.col(column))
