@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from . import decontamination, language, near_dedup, packing, phrase_dedup, suffix_dedup, toxicity  # noqa: F401
+from . import decontamination, language, near_dedup, packing, phrase_dedup, suffix_dedup, toxicity, vector_dedup  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
