@@ -1,4 +1,15 @@
 """Imports every module that registers queries."""
 
-from . import decontamination, language, near_dedup, packing, phrase_dedup, suffix_dedup, toxicity, vector_dedup  # noqa: F401
+from . import (  # noqa: F401
+    chat_windows,
+    decontamination,
+    hilbert_shards,
+    language,
+    near_dedup,
+    packing,
+    phrase_dedup,
+    suffix_dedup,
+    toxicity,
+    vector_dedup,
+)
 from .registry import QUERIES, SQL  # noqa: F401
