@@ -10,7 +10,8 @@ some k log k darts.
 
 Texts with equal words are one class, which is compared once. In each bucket of a
 band, members meet three leaders, then, where the bucket still has members of
-several groups, all members of other groups; every pair is checked exactly.
+several groups, all members of other groups: as pairs in small buckets, block by
+block within tasks in large ones. Every pair is checked exactly.
 
 Words are runs of letters, digits and characters beyond ASCII, whatever their case.
 Texts of fewer words than a shingle are one shingle. Nulls, empty texts and texts
@@ -33,6 +34,9 @@ from .repeats import squeezed, unzipped
 from .rolling import PLAIN_WORDS, U, base, mix, word_batches
 from .storage import keyed, shown_id, stored, unpacked
 
+FEW = 8  # members of a bucket that are paired as rows; those of larger ones meet within tasks
+BLOCK = 256  # members on one side of a task
+
 #: Ends of the layers of ranks; a unit is hit by one dart a rank on average.
 LAYERS = [2.0**i for i in range(-6, 16)]
 
@@ -148,6 +152,68 @@ def _checked(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) ->
     return pairs.select("a", "b", "za", "zb").mapInArrow(check, kind)
 
 
+def _met_in_blocks(members: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links (a, b) between the groups (root) that meet in a bucket; every two blocks of a bucket are a task, and no pair leaves it.
+
+    ``members`` holds bucket, node, root, _zip and _count, the members of the bucket.
+    """
+    blocks = F.ceil(F.col("_count") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    met = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    side = (F.col("block") > F.col("other")).cast("int").alias("side")
+    met = met.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), side, "root", "_zip")
+
+    def compare(group: pa.Table) -> pa.Table:
+        side = group.column("side").to_numpy()
+        group = group.take(pa.array(np.argsort(side, kind="stable")))
+        n, cut = len(side), int((side == 0).sum())
+        first = cut if cut < n else 0
+        roots = group.column("root").combine_chunks()
+        names: dict[tuple, int] = {}
+        own = np.array([names.setdefault(tuple(r.values()), len(names)) for r in roots.to_pylist()])
+        at = np.unique(own, return_index=True)[1]
+        text, unit = [], []
+        for lo, _, _, _, t, s in shingles(unzipped(group.column("_zip")), size):
+            t, u = units(t + lo, s)
+            text.append(t)
+            unit.append(u)
+        text, unit = np.concatenate(text), np.concatenate(unit)
+        total = np.bincount(text, minlength=n)
+        _, column, count = np.unique(unit, return_inverse=True, return_counts=True)
+        # Only units of several texts count; they are multiplied as a matrix of zeros and ones, some columns at a time.
+        shared = count > 1
+        number = np.cumsum(shared) - 1
+        text, column = text[shared[column]], number[column[shared[column]]]
+        order = np.argsort(column, kind="stable")
+        text, column = text[order], column[order]
+        same = np.zeros((cut, n - first), dtype=np.float32)
+        for lo in range(0, int(shared.sum()), 4096):
+            a, b = np.searchsorted(column, (lo, lo + 4096))
+            part = np.zeros((n, 4096), dtype=np.float32)
+            part[text[a:b], column[a:b] - lo] = 1
+            same += part[:cut] @ part[first:].T
+        both = total[:cut, None] + total[None, first:] - same
+        i, j = np.nonzero((same >= threshold * both - 1e-6) & (own[:cut, None] != own[None, first:]))
+        found, chief = set(), list(range(len(names)))
+
+        def lead(x: int) -> int:
+            while chief[x] != x:
+                chief[x] = chief[chief[x]]
+                x = chief[x]
+            return x
+
+        for x, y in sorted(set(zip(own[i].tolist(), own[j + first].tolist()))):
+            p, q = lead(x), lead(y)
+            if p != q:
+                chief[max(p, q)] = min(p, q)
+                found.add((x, y))
+        found = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": roots.take(pa.array(at[found[:, 0]])), "b": roots.take(pa.array(at[found[:, 1]]))})
+
+    kind = members.schema["root"].dataType.simpleString()
+    return met.groupBy("bucket", "low", "high").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
 def _pairwise(both: list[bytes], size: int):
     """Shingles of texts in pairs; a pair is never parted."""
     at = 0
@@ -190,10 +256,14 @@ def near_duplicates(
     grouped = kept_buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     open_ = grouped.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     grouped = stored(grouped.join(open_, "bucket", "left_semi"), "open")
-    left, right = grouped.select("bucket", "node", "root"), grouped.select("bucket", F.col("node").alias("leader"), F.col("root").alias("other"))
+    sizes = stored(grouped.groupBy("bucket").agg(F.count("*").alias("_count")), "sizes")
+    few = grouped.join(sizes.where(F.col("_count") <= FEW), "bucket")
+    left, right = few.select("bucket", "node", "root"), few.select("bucket", F.col("node").alias("leader"), F.col("root").alias("other"))
     rest = left.join(right, "bucket").where("root < other").select("node", "leader")
     rest = _ordered(rest, "node", "leader").join(pairs, ["a", "b"], "left_anti")
-    more = stored(_checked(stored(rest, "rest"), texts, size, threshold), "more")
+    more = _checked(stored(rest, "rest"), texts, size, threshold)
+    many = grouped.join(sizes.where(F.col("_count") > FEW), "bucket").join(texts, "node")
+    more = stored(more.unionByName(_met_in_blocks(many, size, threshold)), "more")
     if not more.isEmpty():
         roots = stored(components(links.unionByName(more)), "roots")
     named = classes.join(roots, "node", "left").select("h0", "h1", "node", F.coalesce("root", "node").alias("root"))
