@@ -19,10 +19,10 @@ from .text import (
 )
 
 
-def is_promotional(subject: Column, body: Column, merchant: Column | None = None) -> Column:
-    """Marketing or informational mail rather than a purchase."""
+def is_promotional(subject: Column, body: Column, merchant: Column | None = None, chars: int | None = None) -> Column:
+    """Marketing or informational mail rather than a purchase; ``chars`` limits how much of the body is read."""
     subject_hit = matches_any(F.lower(text_or_empty(subject)), R.PROMO_SUBJECTS + R.INFO_SUBJECTS)
-    body_hit = matches_any(F.lower(head(text_or_empty(body), R.PROMO_BODY_CHARS)), R.PROMO_BODIES)
+    body_hit = matches_any(F.lower(head(text_or_empty(body), chars)), R.PROMO_BODIES)
     hit = subject_hit | body_hit
     if merchant is None:
         return hit
@@ -33,15 +33,15 @@ def is_promotional_merchant(merchant: Column) -> Column:
     return contains_any(F.lower(text_or_empty(merchant)), R.PROMO_MERCHANTS)
 
 
-def marketing_footer(body: Column) -> Column:
+def marketing_footer(body: Column, start: int = R.FOOTER_MIN_CHARS, end: int = R.FOOTER_TAIL_CHARS) -> Column:
     """Long mail that ends in an unsubscribe footer and names no amount early on."""
-    tail = F.lower(F.right(body, F.lit(R.FOOTER_TAIL_CHARS)))
-    early = amounts(head(body, R.FOOTER_MIN_CHARS), F.lit(""))
-    return (F.length(body) > R.FOOTER_MIN_CHARS) & tail.contains("unsubscribe") & (F.size(early) == 0)
+    tail = F.lower(F.right(body, F.lit(end)))
+    early = amounts(head(body, start), F.lit(""))
+    return (F.length(body) > start) & tail.contains("unsubscribe") & (F.size(early) == 0)
 
 
-def has_confirmation(subject: Column, body: Column) -> Column:
-    text = F.lower(F.concat(text_or_empty(subject), F.lit(" "), head(text_or_empty(body), R.CONFIRM_BODY_CHARS)))
+def has_confirmation(subject: Column, body: Column, chars: int | None = None) -> Column:
+    text = F.lower(F.concat(text_or_empty(subject), F.lit(" "), head(text_or_empty(body), chars)))
     return matches_any(text, R.CONFIRMATIONS, flags="(?Ud)")
 
 
@@ -52,18 +52,18 @@ def domain_label(sender: Column) -> Column:
     return F.when(sender.contains("@"), label)
 
 
-def merchant(sender: Column, subject: Column, body: Column) -> Column:
+def merchant(sender: Column, subject: Column, body: Column, chars: int | None = None, name_chars: int | None = None) -> Column:
     """Display name, else subject wording, else body wording, else the domain label; NULL without one."""
     sender, subject, body = text_or_empty(sender), text_or_empty(subject), text_or_empty(body)
     shown = strip(F.replace(strip(F.substring_index(sender, "<", 1)), F.lit('"'), F.lit("")))
     robot = sender.startswith("no-reply") | sender.startswith("noreply")
-    early_body = head(body, R.MERCHANT_BODY_CHARS)
+    early_body = head(body, chars)
     label = domain_label(sender)
     candidates = [F.when(~robot, shown)]
     candidates += [strip(group1(subject, p)) for p in R.MERCHANT_SUBJECTS]
     candidates += [collapse_spaces(strip(group1(early_body, p))) for p in R.MERCHANT_BODIES]
     candidates.append(F.concat(F.upper(head(label, 1)), F.lower(F.substr(label, F.lit(2)))))
-    return first_long_enough(candidates, longer_than=2, cut=R.MERCHANT_CHARS)
+    return first_long_enough(candidates, longer_than=2, cut=name_chars)
 
 
 def amounts(text: Column, subject: Column, strict: bool = False) -> Column:
@@ -91,9 +91,9 @@ def _named_month(text: Column) -> Column:
     )
 
 
-def body_date(text: Column) -> Column:
-    """First parsable date near the start of a body as 'yyyy-MM-dd'; NULL without one."""
-    early = head(text_or_empty(text), R.DATE_CHARS)
+def body_date(text: Column, chars: int | None = None) -> Column:
+    """First parsable date of a body, or of its first ``chars`` characters, as 'yyyy-MM-dd'; NULL without one."""
+    early = head(text_or_empty(text), chars)
     paid, slashed, iso, named = (group1(early, p) for p in R.DATES)
     day = F.coalesce(
         _named_month(paid),
@@ -116,9 +116,9 @@ def header_date(value: Column, as_of: Column) -> Column:
     )
 
 
-def payment_method(text: Column) -> Column:
-    """First payment method in rule order whose words occur early in the text; NULL without one."""
-    early = head(F.lower(text_or_empty(text)), R.PAYMENT_CHARS)
+def payment_method(text: Column, chars: int | None = None) -> Column:
+    """First payment method in rule order whose words occur in the text, or in its first ``chars`` characters; NULL without one."""
+    early = head(F.lower(text_or_empty(text)), chars)
     rules = None
     for name, groups in R.PAYMENT_METHODS:
         hit = None
@@ -154,7 +154,7 @@ def quick_merchant(subject: Column, body: Column) -> Column:
 
     cue = None
     for word in ("Merchant:", "merchant:", "payment to", "at "):
-        after = F.substr(body, F.instr(body, word) + F.lit(len(word)), F.lit(50))
+        after = F.substr(body, F.instr(body, word) + F.lit(len(word)))
         line = F.substring_index(after, "\n", 1)
         hit = body.contains(word)
         cue = F.when(hit, first_word(line)) if cue is None else cue.when(hit, first_word(line))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..rules.extraction import MAIL_BODY_CHARS, TRUNCATION_MARK
+from ..rules.extraction import TRUNCATION_MARK
 from .text import collapse_spaces, head, strip, text_or_empty
 
 
@@ -34,7 +34,7 @@ def parse_from(value: Column) -> Column:
     )
 
 
-def truncated(text: Column, max_chars: int | None = MAIL_BODY_CHARS) -> Column:
+def truncated(text: Column, max_chars: int | None = None) -> Column:
     """Cut an over-long mail body and mark the cut; ``None`` keeps the whole text."""
     if max_chars is None:
         return text
@@ -42,7 +42,7 @@ def truncated(text: Column, max_chars: int | None = MAIL_BODY_CHARS) -> Column:
     return F.when(F.length(text) > max_chars, cut).otherwise(text)
 
 
-def html_to_text_basic(html: Column, max_chars: int | None = MAIL_BODY_CHARS) -> Column:
+def html_to_text_basic(html: Column, max_chars: int | None = None) -> Column:
     """Tags to blanks, white space collapsed, trimmed, cut."""
     text = strip(collapse_spaces(F.regexp_replace(html, r"<[^>]+>", " ")))
     return text if max_chars is None else head(text, max_chars)
@@ -61,7 +61,7 @@ HTML_RULES = (
 HTML_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
-def html_to_text(html: Column, max_chars: int | None = MAIL_BODY_CHARS) -> Column:
+def html_to_text(html: Column, max_chars: int | None = None) -> Column:
     """Readable lines of an HTML page.
 
     Comments, script, style, head, svg, noscript, meta, link, img and inline
@@ -79,7 +79,7 @@ def html_to_text(html: Column, max_chars: int | None = MAIL_BODY_CHARS) -> Colum
     return truncated(joined, max_chars)
 
 
-def mime_text(payload: Column, depth: int, max_chars: int | None = MAIL_BODY_CHARS) -> Column:
+def mime_text(payload: Column, depth: int, max_chars: int | None = None) -> Column:
     """Body text of a MIME payload whose schema nests ``depth`` levels of parts.
 
     A single text part is the body. Otherwise the parts are walked in order: the

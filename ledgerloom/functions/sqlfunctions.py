@@ -35,7 +35,7 @@ def _category() -> str:
 
 
 def _payment() -> str:
-    early = f"left(lower(x), {extraction.PAYMENT_CHARS})"
+    early = "lower(x)"
     whens = []
     for name, groups in extraction.PAYMENT_METHODS:
         tests = [" AND ".join(f"contains({early}, '{w}')" for w in words) for words in groups]

@@ -51,16 +51,17 @@ def collapse_spaces(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+", " ")
 
 
-def head(text: Column, chars: int) -> Column:
-    return F.left(text, F.lit(chars))
+def head(text: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters; ``None`` keeps the whole text."""
+    return text if chars is None else F.left(text, F.lit(chars))
 
 
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def first_long_enough(candidates: Iterable[Column], longer_than: int, cut: int) -> Column:
-    """First candidate with more than ``longer_than`` characters, cut to ``cut``; NULL without one."""
+def first_long_enough(candidates: Iterable[Column], longer_than: int, cut: int | None = None) -> Column:
+    """First candidate with more than ``longer_than`` characters, cut to ``cut`` if given; NULL without one."""
     return F.coalesce(*[F.when(F.length(c) > longer_than, head(c, cut)) for c in candidates])
 
 

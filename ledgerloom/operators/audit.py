@@ -4,8 +4,9 @@ A log is many chains. The order of a chain is ``seq``, a unique whole number, an
 a chain is cut into segments of ``SEGMENT`` numbers, each linked from 'GENESIS'.
 A hash chain can only be computed in order, so the segment is the unit of work:
 it never holds more than ``SEGMENT`` rows, however large the chain is. A chain
-with fewer numbers than that is one plain linear chain. ``chain_root`` binds the
-segment heads together.
+with fewer numbers than that is one plain linear chain. ``seals`` links the segments
+of a chain to each other, so that a deleted segment shows, and ``chain_root`` binds
+the segment heads together.
 """
 
 from __future__ import annotations
@@ -94,13 +95,14 @@ def heads(log: DataFrame) -> DataFrame:
     return log.groupBy(*CHAIN).agg(F.max_by("entry_hash", "seq").alias("head"))
 
 
-def append_chain(new: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+def append_chain(new: DataFrame, stored: DataFrame | None = None, segment: int = SEGMENT) -> DataFrame:
     """Link new rows (chain_id, seq and the entry columns) after the stored segment heads.
 
     Each segment is folded on its own: a bounded list of rows, all segments in
-    parallel.
+    parallel. A row below the last stored number of its segment cannot be linked
+    in order: ``late_rows`` finds such rows before they are appended.
     """
-    rows = new.withColumn("segment", F.floor(F.col("seq") / F.lit(SEGMENT)))
+    rows = new.withColumn("segment", F.floor(F.col("seq") / F.lit(segment)))
     folded = rows.groupBy(*CHAIN).agg(F.array_sort(F.collect_list(F.struct("seq", *ENTRY))).alias("_rows"))
     if stored is None:
         folded = folded.withColumn("head", F.lit(GENESIS))
@@ -139,6 +141,58 @@ def verify_chain(log: DataFrame) -> DataFrame:
     return chain_checks(log).agg(F.count("*").alias("entries"), bad.alias("broken"), (bad == 0).alias("is_valid"))
 
 
+def late_rows(new: DataFrame, stored: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """The new rows whose number is not above the last stored one of their segment."""
+    ends = stored.groupBy(*CHAIN).agg(F.max("seq").alias("_end"))
+    rows = new.withColumn("segment", F.floor(F.col("seq") / F.lit(segment)))
+    return rows.join(ends, CHAIN).where(F.col("seq") <= F.col("_end")).drop("_end", "segment")
+
+
+SEALED = ["first_seq", "last_seq", "entries", "head"]
+
+
+def segment_states(log: DataFrame) -> DataFrame:
+    """First and last number, entries and head of every segment; a partial aggregate."""
+    return log.groupBy(*CHAIN).agg(
+        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("entries"), F.max_by("entry_hash", "seq").alias("head")
+    )
+
+
+def seals(log: DataFrame) -> DataFrame:
+    """The second level: one row for each segment of a chain, in order, each linked to the one before from 'GENESIS'.
+
+    A chain has a segment for thousands of entries, so its list of segments stays
+    short against its rows. Store the seals apart from the log.
+    """
+    listed = segment_states(log).groupBy("chain_id").agg(F.array_sort(F.collect_list(F.struct("segment", *SEALED))).alias("_rows"))
+    seal = lambda acc, r: F.sha2(F.concat_ws("|", F.element_at(acc, -1), *[r[c].cast("string") for c in ("segment", *SEALED)]), 256)
+    folded = F.aggregate("_rows", F.array(F.lit(GENESIS)), lambda acc, r: F.concat(acc, F.array(seal(acc, r))))
+    linked = computed_once(listed, ["chain_id", "_rows"], {"_seals": folded})
+    out = linked.select("chain_id", "_seals", F.posexplode("_rows").alias("number", "_row"))
+    return out.select("chain_id", "number", "_row.*", F.get("_seals", F.col("number")).alias("previous_seal"), F.get("_seals", F.col("number") + 1).alias("seal"))
+
+
+def verify_seals(log: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row: segments, those that are missing, those that are new or changed, breaks in the seals themselves, is_valid."""
+    now = segment_states(log).select(*CHAIN, F.struct(*SEALED).alias("now"))
+    then = stored.select(*CHAIN, F.struct(*SEALED).alias("then"))
+    chain = W.partitionBy("chain_id").orderBy("number")
+    fields = [F.col(c).cast("string") for c in ("previous_seal", "segment", *SEALED)]
+    fits = (
+        (F.col("seal") == F.sha2(F.concat_ws("|", *fields), 256))
+        & (F.col("previous_seal") == F.lag("seal", 1, GENESIS).over(chain))
+        & (F.col("number") == F.row_number().over(chain) - 1)
+    )
+    breaks = stored.select(F.lit(False).alias("missing"), F.lit(False).alias("changed"), (~fits).alias("break"), F.lit(0).alias("n"))
+    met = now.join(then, CHAIN, "full").select(
+        F.col("now").isNull().alias("missing"), (F.col("now").isNotNull() & ~F.col("now").eqNullSafe(F.col("then"))).alias("changed"), F.lit(False).alias("break"), F.lit(1).alias("n")
+    )
+    counted = met.unionByName(breaks).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("segments"), *[F.count_if(F.col(c)).alias(f"{c}_segments" if c != "break" else "broken_seals") for c in ("missing", "changed", "break")]
+    )
+    return counted.withColumn("is_valid", F.col("missing_segments") + F.col("changed_segments") + F.col("broken_seals") == 0)
+
+
 def chain_root(log: DataFrame, fan: int = 2, levels: int = 2) -> DataFrame:
     """Digest over all segment heads, as a tree.
 

@@ -39,7 +39,7 @@ def sender_domain(sender: Column) -> Column:
 
 def block_reason(sender: Column, subject: Column, rules: Blocklist | None = None) -> Column:
     """'sender', 'domain', 'subject' or ''; one row-local expression for lists of config size."""
-    rules = rules or Blocklist.default()
+    rules = Blocklist.default() if rules is None else rules
     sender, subject = text_or_empty(sender), text_or_empty(subject)
     reason = F.when(F.lower(sender).isin(*rules.senders), F.lit("sender"))
     reason = reason.when(F.coalesce(sender_domain(sender).isin(*rules.domains), F.lit(False)), F.lit("domain"))
@@ -81,8 +81,15 @@ def block_reason_join(mail: DataFrame, rules: DataFrame, key: str = "id") -> Dat
     return mail.join(first, key, "left").withColumn("reason", text_or_empty(F.col("reason")))
 
 
-def drop_blocked(mail: DataFrame, rules: Blocklist | None = None) -> DataFrame:
-    return mail.where(block_reason(F.col("sender"), F.col("subject"), rules) == "")
+def with_reason(mail: DataFrame, rules: Blocklist | DataFrame | None = None, key: str = "id") -> DataFrame:
+    """``mail`` plus ``reason``: row by row for literal rules, joined for a table of rules; ``None`` takes the built-in list."""
+    if isinstance(rules, DataFrame):
+        return block_reason_join(mail, rules, key)
+    return mail.withColumn("reason", block_reason(F.col("sender"), F.col("subject"), rules))
+
+
+def drop_blocked(mail: DataFrame, rules: Blocklist | DataFrame | None = None) -> DataFrame:
+    return with_reason(mail, rules).where("reason = ''").drop("reason")
 
 
 def blocklist_stats(reasons: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import money_sum
 from ..schemas import ANOMALIES, AUDIT_LOG, SUBSCRIPTIONS, TRANSACTIONS
+from ..sources.tables import read_table, write_table
 
 
 def _instant(as_of: str) -> Column:
@@ -74,30 +75,23 @@ def upsert(stored: DataFrame, batch: DataFrame, key: str = "id", order: str = "l
     """
     both = stored.unionByName(batch)
     others = [c for c in both.columns if c not in (key, order)]
-    latest = F.max_by(F.struct(*others), order).alias("_row")
+    # Equal load numbers: one of them, chosen by a hash, so that the result does not depend on the order of rows.
+    latest = F.max_by(F.struct(*others), F.struct(order, F.xxhash64(*others))).alias("_row")
     return both.groupBy(key).agg(latest, F.max(order).alias(order)).select(key, "_row.*", order)
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """Replace the table at ``path`` through a job commit; never while reading from it."""
-    df.write.mode("overwrite").parquet(path)
-
-
 def replace_transactions(spark: SparkSession, df: DataFrame, path: str) -> int:
-    """Clear and insert; returns the old number of rows, 0 for a new table.
-
-    The new rows must not be read from ``path`` itself.
-    """
-    from pyspark.errors import AnalysisException
-
-    try:
-        old = spark.read.schema(TRANSACTIONS).parquet(path).count()
-    except AnalysisException:
-        old = 0
+    """Clear and insert, all or nothing; returns the old number of rows, 0 for a new table."""
+    old = read_table(spark, path, TRANSACTIONS).count()
     write_table(df.select([f.name for f in TRANSACTIONS]), path)
     return old
 
 
+def upsert_table(spark: SparkSession, batch: DataFrame, path: str, key: str = "id", order: str = "load_seq") -> None:
+    """``upsert`` into the table at ``path``, all or nothing; a repeated batch changes nothing."""
+    write_table(upsert(read_table(spark, path, batch.schema), batch, key, order), path)
+
+
 LEDGER_TABLES = {
     "transactions": TRANSACTIONS,
     "subscriptions": SUBSCRIPTIONS,

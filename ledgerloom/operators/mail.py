@@ -11,7 +11,13 @@ from ..functions.text import contains_any, text_or_empty
 from ..rules import extraction as R
 from ..schemas import HEADERS, mime_payload
 
-MIME_DEPTH = 4
+MIME_DEPTH = 12  # levels of nested parts that are read; an argument of mail_from_raw
+
+
+def recent_mail(mail: DataFrame, as_of: str, days: int) -> DataFrame:
+    """Mail newer than ``days`` days; a date that cannot be read counts as ``as_of``."""
+    sent = E.header_date(F.col("date"), F.lit(as_of))
+    return mail.where(F.try_to_date(sent, "yyyy-MM-dd") >= F.date_sub(F.lit(as_of).cast("date"), days))
 
 
 def financial_mail(
@@ -30,9 +36,7 @@ def financial_mail(
     domain = F.substring_index(F.lower(text_or_empty(F.col("sender_email"))), "@", -1)
     subject = F.lower(text_or_empty(F.col("subject")))
     sent = E.header_date(F.col("date"), F.lit(as_of))
-    out = mail.where(domain.isin(*domains) | contains_any(subject, R.FINANCIAL_SUBJECTS)).where(
-        F.try_to_date(sent, "yyyy-MM-dd") >= F.date_sub(F.lit(as_of).cast("date"), days)
-    )
+    out = recent_mail(mail.where(domain.isin(*domains) | contains_any(subject, R.FINANCIAL_SUBJECTS)), as_of, days)
     return out if max_results is None else out.orderBy(sent.desc(), "id").limit(max_results)
 
 
@@ -41,7 +45,7 @@ def mail_with_body(meta: DataFrame, body: DataFrame) -> DataFrame:
     return meta.join(body.select("id", "body"), "id")
 
 
-def mail_from_raw(raw: DataFrame, depth: int = MIME_DEPTH, max_chars: int | None = R.MAIL_BODY_CHARS) -> DataFrame:
+def mail_from_raw(raw: DataFrame, depth: int = MIME_DEPTH, max_chars: int | None = None) -> DataFrame:
     """Raw messages (id, headers and payload as JSON text) to the mail table."""
     parsed = raw.select(
         "id",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,18 +33,28 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder that every executor can reach.
+    """A fresh folder that every executor can reach, below the folder that ``spark.checkpoint.dir`` names.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a local temporary folder is used.
+    Where the setting is missing, a single machine (local master) sets a temporary
+    one; on a cluster that would be another folder on every executor, so it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base is None:
-        return tempfile.mkdtemp(prefix=f"ledgerloom-{name}-")
+        if re.match(r"local(\[|$)", spark.sparkContext.master) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="ledgerloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
     run = spark.sparkContext.applicationId
     return f"{base.rstrip('/')}/ledgerloom/{run}/{name}-{os.urandom(8).hex()}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written into the shared folder and read back, for rows that several branches of a plan use."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_small(df: DataFrame, rows: int) -> bool:
     """True when ``df`` has at most ``rows`` rows; reads no more than ``rows + 1``."""
     return df.limit(rows + 1).count() <= rows
@@ -60,6 +71,16 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str,
     return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet NULL keys; the keys of ``left`` are kept."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = None
+    for k in keys:
+        equal = left[k].eqNullSafe(F.col(f"_r_{k}"))
+        same = equal if same is None else same & equal
+    return left.join(named, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def sums_before(df: DataFrame, keys: list[str], block: str, order: list[str], value: str) -> DataFrame:
     """Running sum and count of ``value`` over the earlier rows of each key.
 
@@ -82,7 +103,7 @@ def sums_before(df: DataFrame, keys: list[str], block: str, order: list[str], va
     return (
         df.withColumn("_sum", F.coalesce(F.sum(exact).over(inside), zero))
         .withColumn("_rows", F.count(value).over(inside))
-        .join(bases, block_keys)
+        .transform(lambda left: null_safe_join(left, bases, block_keys))
         .withColumn("sum_before", (F.col("_base_sum") + F.col("_sum")).cast("double"))
         .withColumn("rows_before", F.col("_base_rows") + F.col("_rows"))
         .drop("_sum", "_rows", "_base_sum", "_base_rows")
@@ -104,13 +125,13 @@ def last_before(df: DataFrame, keys: list[str], seq: str, point: str, block_rows
         .agg(F.max_by(point, seq).alias("_end"))
     )
     # Only blocks that hold rows are ever asked for, so the ends are lined up with them.
-    asked = blocks.select(*block_keys).distinct().join(ends, block_keys, "left")
+    asked = null_safe_join(blocks.select(*block_keys).distinct(), ends, block_keys, "left")
     earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     carried = asked.select(*block_keys, F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
     inside = W.partitionBy(*block_keys).orderBy(seq).rowsBetween(W.unboundedPreceding, -1)
     return (
         blocks.withColumn("_near", F.last(point, ignorenulls=True).over(inside))
-        .join(carried, block_keys)
+        .transform(lambda left: null_safe_join(left, carried, block_keys))
         .withColumn("found", F.coalesce("_near", "_carried"))
         .drop("_block", "_near", "_carried")
     )

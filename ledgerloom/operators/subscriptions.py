@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import money_sum
+
 COLUMNS = ["id", "merchant", "amount", "frequency", "first_seen", "last_seen", "status", "created_at"]
 
 
@@ -61,7 +63,7 @@ def mark_stale(subscriptions: DataFrame, as_of: str, stale_days: int = 60) -> Da
 
 def subscription_cost(subscriptions: DataFrame) -> DataFrame:
     """Active monthly sum and twelve times that."""
-    monthly = F.coalesce(F.sum(F.when(F.col("frequency") == "monthly", F.col("amount"))), F.lit(0.0))
+    monthly = F.coalesce(money_sum(F.when(F.col("frequency") == "monthly", F.col("amount"))), F.lit(0.0))
     return subscriptions.where(F.col("status") == "active").agg(
         F.count("*").alias("n_active"),
         F.round(monthly, 2).alias("monthly_cost"),

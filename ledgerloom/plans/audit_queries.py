@@ -177,3 +177,29 @@ def _(spark, sf_dir):
     lines = spark.read.schema(log.schema).json(folder + "/lines")
     keys = ["id", "entry_hash", "previous_hash"]
     return table.select(keys).join(lines.select(keys), keys, "left_semi")
+
+
+@query(
+    "AUD3_deleted_segments",
+    EVENTS.rstrip()
+    + ", g AS (SELECT DISTINCT chain_id, seq // 64 AS segment FROM audit_events), s AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY segment) AS k FROM g)"
+    " SELECT count(*) AS segments, count(*) FILTER (WHERE k = 2) AS missing_segments, 0 AS changed_segments, 0 AS broken_seals, count(*) FILTER (WHERE k = 2) = 0 AS is_valid FROM s",
+)
+def _(spark, sf_dir):
+    """The second segment of every chain is gone, whole; each other segment still verifies by itself."""
+    log = A.append_chain(V.audit_events(spark, sf_dir), segment=64)
+    sealed = A.seals(log)
+    gone = sealed.where("number = 1").select("chain_id", "segment")
+    return A.verify_seals(log.join(gone, A.CHAIN, "left_anti"), sealed)
+
+
+@query(
+    "AUD3_deleted_seals",
+    EVENTS.rstrip()
+    + ", g AS (SELECT DISTINCT chain_id, seq // 64 AS segment FROM audit_events), s AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY segment) AS k FROM g)"
+    " SELECT count(*) AS segments, 0 AS missing_segments, count(*) FILTER (WHERE k = 1) AS changed_segments, count(*) FILTER (WHERE k > 1) AS broken_seals, count(*) = 0 AS is_valid FROM s",
+)
+def _(spark, sf_dir):
+    """The first seal of every chain is gone: its segment is unknown, and every later seal stands at a wrong number."""
+    log = A.append_chain(V.audit_events(spark, sf_dir), segment=64)
+    return A.verify_seals(log, A.seals(log).where("number > 0"))

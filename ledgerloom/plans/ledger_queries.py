@@ -9,7 +9,9 @@ from ..operators import duplicates as D
 from ..operators import injection as I
 from ..operators import ledger as L
 from ..operators import subscriptions as S
+from ..functions.text import money_sum
 from ..operators.shaping import shared_dir
+from ..sources.tables import read_table
 from ..schemas import TRANSACTIONS
 from ..sources import views as V
 from . import oracle as O
@@ -202,7 +204,7 @@ def _(spark, sf_dir):
 
 @query("AGG1_spending_from_mail", LEDGER + "SELECT category, round(sum(amount), 2) AS total, count(*) AS n FROM ledger GROUP BY category")
 def _(spark, sf_dir):
-    return ledger(spark, sf_dir).groupBy("category").agg(F.round(F.sum("amount"), 2).alias("total"), F.count("*").alias("n"))
+    return ledger(spark, sf_dir).groupBy("category").agg(F.round(money_sum(F.col("amount")), 2).alias("total"), F.count("*").alias("n"))
 
 
 _SHARES = (
@@ -423,8 +425,8 @@ def _(spark, sf_dir):
     txn = V.txn(spark, sf_dir)
     first = L.replace_transactions(spark, txn, path)
     second = L.replace_transactions(spark, L.transactions(txn, E_AS_OF, 7), path)
-    table = spark.read.schema(TRANSACTIONS).parquet(path)
-    return table.agg(F.count("*").alias("n_rows"), F.round(F.sum("amount"), 2).alias("total")).select(
+    table = read_table(spark, path, TRANSACTIONS)
+    return table.agg(F.count("*").alias("n_rows"), F.round(money_sum(F.col("amount")), 2).alias("total")).select(
         F.lit(first).alias("first_old"), F.lit(second).alias("second_old"), "n_rows", "total"
     )
 

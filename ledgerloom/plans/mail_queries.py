@@ -18,7 +18,7 @@ from ..operators import injection as I
 from ..operators import ledger as L
 from ..operators import mail as MO
 from ..operators.redact import redaction_stats
-from ..operators.shaping import computed_once, shared_dir, spread
+from ..operators.shaping import computed_once, shared_dir, spread, written
 from ..rules import extraction as R
 from ..sources import files
 from ..sources import views as V
@@ -137,11 +137,26 @@ def _raw_body(max_chars: int | None) -> str:
     return f"CASE WHEN seq % 5 = 2 AND body = '' THEN 'This is the old part' WHEN seq % 5 IN (1, 3) THEN {O.html_to_text(html, max_chars)} ELSE {O.truncated('body', max_chars)} END"
 
 
-@query("SRC5_mime_text", MAIL + f"SELECT id, {_raw_body(1500)} AS body FROM mail")
+@query("SRC5_mime_text", MAIL + f"SELECT id, {_raw_body(None)} AS body FROM mail")
 def _(spark, sf_dir):
     return MO.mail_from_raw(raw_messages(spark, sf_dir)).select("id", "body")
 
 
+@query("SRC5_mime_text_cut", MAIL + f"SELECT id, {_raw_body(R.MAIL_BODY_CHARS)} AS body FROM mail")
+def _(spark, sf_dir):
+    return MO.mail_from_raw(raw_messages(spark, sf_dir), max_chars=R.MAIL_BODY_CHARS).select("id", "body")
+
+
+@query("SRC5_mime_deep", MAIL + "SELECT id, CASE WHEN body = '' THEN '' ELSE body END AS body FROM mail")
+def _(spark, sf_dir):
+    """The body lies below seven multiparts."""
+    data = F.translate(F.base64(F.encode("body", "UTF-8")), "+/", "-_")
+    part = F.to_json(F.struct(F.lit("text/plain").alias("mimeType"), F.struct(data.alias("data")).alias("body")))
+    for _level in range(7):
+        part = F.concat(F.lit('{"mimeType":"multipart/mixed","parts":['), part, F.lit("]}"))
+    return MO.mail_from_raw(raw_messages(spark, sf_dir).drop("payload").join(V.mail(spark, sf_dir).select("id", part.alias("payload")), "id")).select("id", "body")
+
+
 @query("SRC5_mime_text_whole", MAIL + f"SELECT id, {_raw_body(None)} AS body FROM mail")
 def _(spark, sf_dir):
     return MO.mail_from_raw(raw_messages(spark, sf_dir), max_chars=None).select("id", "body")
@@ -175,24 +190,36 @@ def _(spark, sf_dir):
 _BASIC = "regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
-@query("SRC9_html_to_text_basic", f"SELECT page_id, left({_BASIC}, 1500) AS text FROM pages")
+@query("SRC9_html_to_text_basic", f"SELECT page_id, {_BASIC} AS text FROM pages")
 def _(spark, sf_dir):
     pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id")
     return pages.select("page_id", M.html_to_text_basic(F.col("html")).alias("text"))
 
 
+@query("SRC9_html_to_text_basic_cut", f"SELECT page_id, left({_BASIC}, {R.MAIL_BODY_CHARS}) AS text FROM pages")
+def _(spark, sf_dir):
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id")
+    return pages.select("page_id", M.html_to_text_basic(F.col("html"), R.MAIL_BODY_CHARS).alias("text"))
+
+
 @query("SRC9_html_to_text_basic_whole", f"SELECT page_id, {_BASIC} AS text FROM pages")
 def _(spark, sf_dir):
     pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id")
     return pages.select("page_id", M.html_to_text_basic(F.col("html"), None).alias("text"))
 
 
-@query("SRC10_html_to_text", f"SELECT page_id, {O.html_to_text('html', 1500)} AS text FROM pages")
+@query("SRC10_html_to_text", f"SELECT page_id, {O.html_to_text('html', None)} AS text FROM pages")
 def _(spark, sf_dir):
     pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id")
     return pages.select("page_id", M.html_to_text(F.col("html")).alias("text"))
 
 
+@query("SRC10_html_to_text_cut", f"SELECT page_id, {O.html_to_text('html', R.MAIL_BODY_CHARS)} AS text FROM pages")
+def _(spark, sf_dir):
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id")
+    return pages.select("page_id", M.html_to_text(F.col("html"), R.MAIL_BODY_CHARS).alias("text"))
+
+
 @query("SRC10_html_to_text_whole", f"SELECT page_id, {O.html_to_text('html', None)} AS text FROM pages")
 def _(spark, sf_dir):
     pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id")
@@ -208,8 +235,8 @@ def _(spark, sf_dir):
     rules = B.Blocklist.default()
     config = json.dumps({"blocked_senders": rules.senders, "blocked_domains": rules.domains, "blocked_subject_patterns": rules.subjects})
     spark.createDataFrame([(config,)], "value string").coalesce(1).write.text(path)
-    literal = files.literal_blocklist(files.read_blocklist(spark, path))
-    return V.mail(spark, sf_dir).select("id", B.block_reason(F.col("sender"), F.col("subject"), literal).alias("reason"))
+    rules = files.blocklist_rules(files.read_blocklist(spark, path))
+    return B.with_reason(V.mail(spark, sf_dir), rules).select("id", "reason")
 
 
 # --- filters --------------------------------------------------------------------------------
@@ -407,7 +434,7 @@ def _(spark, sf_dir):
 
 
 def _cue(word: str) -> str:
-    return f"split_part(substr(body, instr(body, {O.q(word)}) + {len(word)}, 50), chr(10), 1)"
+    return f"split_part(substr(body, instr(body, {O.q(word)}) + {len(word)}), chr(10), 1)"
 
 
 _WORD = lambda s: f"nullif(regexp_extract({s}, '^\\s*(\\S+)', 1), '')"
@@ -535,7 +562,7 @@ PIPELINE_COLUMNS = (
 
 @query("AGG9_pipeline_stats", EXTRACTED + f"SELECT {PIPELINE_COLUMNS}")
 def _(spark, sf_dir):
-    staged = staged_mail(V.mail(spark, sf_dir))
+    staged = written(staged_mail(V.mail(spark, sf_dir)), "staged")
     return MO.pipeline_stats(staged, X.extract_transactions(passed(staged), AS_OF))
 
 
@@ -559,9 +586,9 @@ def _(spark, sf_dir):
     " (SELECT count(*) FROM clean) AS total_mails, (SELECT count(*) FROM clean WHERE NOT is_valid) AS failed_mails, 30 AS query_days",
 )
 def _(spark, sf_dir):
-    staged = staged_mail(V.mail(spark, sf_dir))
+    staged = written(staged_mail(V.mail(spark, sf_dir)), "staged")
     good = passed(staged)
-    rows = X.ledger_rows(X.extract_transactions(good, AS_OF), AS_OF)
+    rows = written(X.ledger_rows(X.extract_transactions(good, AS_OF), AS_OF), "ledger")
     report = MO.scan_report(MO.pipeline_stats(staged, rows), redaction_stats(good), L.ledger_total(rows), 30)
     back = F.from_json(
         "report",
@@ -596,3 +623,68 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     return MO.financial_mail(V.mail(spark, sf_dir), AS_OF, days=3650, max_results=100).select("id", "subject")
+
+
+# --- the rules that read only the front of a text, as the fixed values say -----------------------
+
+
+@query("FLT2_is_promotional_window", MAIL + f"SELECT id, {O.is_promotional('subject', 'body', R.PROMO_BODY_CHARS)} AS by_text FROM mail")
+def _(spark, sf_dir):
+    return V.mail(spark, sf_dir).select("id", E.is_promotional(F.col("subject"), F.col("body"), chars=R.PROMO_BODY_CHARS).alias("by_text"))
+
+
+@query("FLT4_has_confirmation_window", MAIL + f"SELECT id, {O.has_confirmation('subject', 'body', R.CONFIRM_BODY_CHARS)} AS confirmed FROM mail")
+def _(spark, sf_dir):
+    return V.mail(spark, sf_dir).select("id", E.has_confirmation(F.col("subject"), F.col("body"), R.CONFIRM_BODY_CHARS).alias("confirmed"))
+
+
+@query(
+    "EXT1_merchant_window",
+    MAIL + f"SELECT id, {O.merchant('sender', 'subject', 'body', R.MERCHANT_BODY_CHARS, R.MERCHANT_CHARS)} AS merchant FROM mail",
+)
+def _(spark, sf_dir):
+    name = E.merchant(F.col("sender"), F.col("subject"), F.col("body"), R.MERCHANT_BODY_CHARS, R.MERCHANT_CHARS)
+    return V.mail(spark, sf_dir).select("id", name.alias("merchant"))
+
+
+@query("EXT4_body_date_window", MAIL + f"SELECT id, {O.body_date('body', R.DATE_CHARS)} AS day FROM mail")
+def _(spark, sf_dir):
+    return V.mail(spark, sf_dir).select("id", E.body_date(F.col("body"), R.DATE_CHARS).alias("day"))
+
+
+@query("EXT6_payment_method_window", MAIL + f"SELECT id, {O.payment_method('body', R.PAYMENT_CHARS)} AS method FROM mail")
+def _(spark, sf_dir):
+    return V.mail(spark, sf_dir).select("id", E.payment_method(F.col("body"), R.PAYMENT_CHARS).alias("method"))
+
+
+_LATE = "concat(repeat('Our members read this letter with joy. ', 60), body)"
+
+
+@query(
+    "EXT7_late_receipt",
+    MAIL
+    + f"SELECT id, {O.merchant(O.q('noreply@x'), O.q(''), _LATE)} AS merchant, {O.body_date(_LATE)} AS day, {O.payment_method(_LATE)} AS method FROM mail",
+)
+def _(spark, sf_dir):
+    """Merchant, date and card that stand behind the first 2,000 characters of a mail."""
+    late = F.concat(F.repeat(F.lit("Our members read this letter with joy. "), F.lit(60)), F.col("body"))
+    found = {"merchant": E.merchant(F.lit("noreply@x"), F.lit(""), late), "day": E.body_date(late), "method": E.payment_method(late)}
+    return V.mail(spark, sf_dir).select("id", *[c.alias(n) for n, c in found.items()])
+
+
+_SHOPS = tuple(f"shop{n:04d}.example" for n in range(2500))
+_DOMAIN = "trim(split_part(trim(split_part(lower(sender), '<', -1), '>'), '@', -1))"
+
+
+@query(
+    "SRC11_large_blocklist",
+    REASONS
+    + f"SELECT id, CASE WHEN reason IN ('sender', 'domain') THEN reason WHEN contains(sender, '@') AND regexp_full_match({_DOMAIN}, 'shop([01][0-9]|2[0-4])[0-9][0-9]\\.example') THEN 'domain' ELSE reason END AS reason FROM reasons",
+)
+def _(spark, sf_dir):
+    """A list of more entries than are written into a plan takes the join form."""
+    path = shared_dir(spark, "blocklist") + "/config"
+    rules = B.Blocklist.default()
+    config = json.dumps({"blocked_senders": rules.senders, "blocked_domains": [*rules.domains, *_SHOPS], "blocked_subject_patterns": rules.subjects})
+    spark.createDataFrame([(config,)], "value string").coalesce(1).write.text(path)
+    return B.with_reason(V.mail(spark, sf_dir), files.blocklist_rules(files.read_blocklist(spark, path))).select("id", "reason")

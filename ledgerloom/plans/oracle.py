@@ -144,10 +144,14 @@ def block_reason(sender: str = "sender", subject: str = "subject") -> str:
     )
 
 
-def is_promotional(subject: str, body: str) -> str:
+def _head(text: str, chars: int | None) -> str:
+    return text if chars is None else f"left({text}, {chars})"
+
+
+def is_promotional(subject: str, body: str, chars: int | None = None) -> str:
     return (
         f"({any_regex(f'lower({subject})', X.PROMO_SUBJECTS + X.INFO_SUBJECTS)}"
-        f" OR {any_regex(f'lower(left({body}, 500))', X.PROMO_BODIES)})"
+        f" OR {any_regex(f'lower({_head(body, chars)})', X.PROMO_BODIES)})"
     )
 
 
@@ -169,20 +173,20 @@ def marketing_footer(body: str) -> str:
     )
 
 
-def has_confirmation(subject: str, body: str) -> str:
-    return any_regex(f"lower(concat({subject}, ' ', left({body}, 500)))", X.CONFIRMATIONS, "c")
+def has_confirmation(subject: str, body: str, chars: int | None = None) -> str:
+    return any_regex(f"lower(concat({subject}, ' ', {_head(body, chars)}))", X.CONFIRMATIONS, "c")
 
 
-def merchant(sender: str, subject: str, body: str) -> str:
+def merchant(sender: str, subject: str, body: str, chars: int | None = None, name_chars: int | None = None) -> str:
     shown = f"trim(replace(trim(split_part({sender}, '<', 1)), '\"', ''))"
     found = [f"CASE WHEN NOT starts_with({sender}, 'no-reply') AND NOT starts_with({sender}, 'noreply') THEN {shown} END"]
     found += [f"trim(regexp_extract({subject}, {q(p)}, 1, 'i'))" for p in X.MERCHANT_SUBJECTS]
     found += [
-        f"regexp_replace(trim(regexp_extract(left({body}, 800), {q(p)}, 1, 'i')), '\\s+', ' ', 'g')" for p in X.MERCHANT_BODIES
+        f"regexp_replace(trim(regexp_extract({_head(body, chars)}, {q(p)}, 1, 'i')), '\\s+', ' ', 'g')" for p in X.MERCHANT_BODIES
     ]
     label = f"split_part(split_part(trim(split_part({sender}, '<', -1), '>'), '@', -1), '.', 1)"
     found.append(f"CASE WHEN contains({sender}, '@') THEN concat(upper(left({label}, 1)), lower(substr({label}, 2))) END")
-    return "coalesce(" + ", ".join(f"CASE WHEN length({m}) > 2 THEN left({m}, 50) END" for m in found) + ")"
+    return "coalesce(" + ", ".join(f"CASE WHEN length({m}) > 2 THEN {_head(m, name_chars)} END" for m in found) + ")"
 
 
 def _month(text: str) -> str:
@@ -190,8 +194,8 @@ def _month(text: str) -> str:
     return f"coalesce(try_strptime({flat}, '%b %d, %Y'), try_strptime({flat}, '%B %d, %Y'))"
 
 
-def body_date(body: str) -> str:
-    paid, slashed, iso, named = (f"regexp_extract(left({body}, 500), {q(p)}, 1, 'i')" for p in X.DATES)
+def body_date(body: str, chars: int | None = None) -> str:
+    paid, slashed, iso, named = (f"regexp_extract({_head(body, chars)}, {q(p)}, 1, 'i')" for p in X.DATES)
     return (
         f"strftime(coalesce({_month(paid)}, try_strptime({slashed}, '%m/%d/%Y'), try_strptime({iso}, '%Y-%m-%d'),"
         f" {_month(named)}), '%Y-%m-%d')"
@@ -207,8 +211,8 @@ def header_date(value: str, as_of: str) -> str:
     )
 
 
-def payment_method(body: str) -> str:
-    early = f"left(lower({body}), 600)"
+def payment_method(body: str, chars: int | None = None) -> str:
+    early = _head(f"lower({body})", chars)
     whens = []
     for name, groups in X.PAYMENT_METHODS:
         tests = " OR ".join("(" + " AND ".join(f"contains({early}, {q(w)})" for w in words) + ")" for words in groups)

@@ -10,19 +10,18 @@ from ..operators import duplicates as D
 from ..operators import injection as I
 from ..operators import mail as M
 from ..operators.anomalies import anomaly_table
-from ..operators.blocklist import Blocklist, block_reason
+from ..operators.blocklist import Blocklist, with_reason
 from ..operators.extraction import extract_transactions, ledger_rows
 from ..operators.ledger import ledger_total
 from ..operators.redact import redact, redaction_stats
 
 
-def staged_mail(mail: DataFrame, rules: Blocklist | None = None, details: bool = False) -> DataFrame:
+def staged_mail(mail: DataFrame, rules: Blocklist | DataFrame | None = None, details: bool = False) -> DataFrame:
     """Every mail with its block reason; unblocked ones redacted and scanned.
 
-    Blocked mail keeps no text. One pass over the mail, no shuffle.
+    Blocked mail keeps no text. One pass over the mail; only a table of rules is joined.
     """
-    reason = block_reason(F.col("sender"), F.col("subject"), rules)
-    seen = mail.withColumn("reason", reason).withColumn("_seen", F.when(F.col("reason") == "", F.col("body")))
+    seen = with_reason(mail, rules).withColumn("_seen", F.when(F.col("reason") == "", F.col("body")))
     clean = redact(seen.drop("body"), "_seen", details=details)
     return I.injection_scan(clean, "clean_text").drop("_seen")
 
@@ -32,8 +31,10 @@ def passed(staged: DataFrame) -> DataFrame:
     return staged.where((F.col("reason") == "") & ~F.col("redaction_error"))
 
 
-def scan(mail: DataFrame, as_of: str, out: str, days: int = 30, rules: Blocklist | None = None) -> dict[str, DataFrame]:
-    """Run every stage and write one table per result under ``out``.
+def scan(mail: DataFrame, as_of: str, out: str, days: int = 30, rules: Blocklist | DataFrame | None = None, financial_only: bool = False) -> dict[str, DataFrame]:
+    """Run every stage over the mail of the last ``days`` days and write one table per result under ``out``.
+
+    ``financial_only`` takes only mail of financial senders or subjects.
 
     The clean mail is written first and everything else reads it, so the long
     regex chain runs once and a lost executor only repeats its own part. The raw
@@ -45,12 +46,13 @@ def scan(mail: DataFrame, as_of: str, out: str, days: int = 30, rules: Blocklist
         df.write.mode("overwrite").parquet(f"{out}/{name}")
         return spark.read.schema(df.schema).parquet(f"{out}/{name}")
 
-    staged = stored("clean_mail", staged_mail(mail, rules))
+    chosen = M.financial_mail(mail, as_of, days) if financial_only else M.recent_mail(mail, as_of, days)
+    staged = stored("clean_mail", staged_mail(chosen, rules))
     good = passed(staged)
-    transactions = stored("transactions", ledger_rows(extract_transactions(good, as_of), as_of))
+    kept = ("seq",)
+    transactions = stored("transactions", ledger_rows(extract_transactions(good, as_of, keep=kept), as_of, kept))
     flags = stored("security_flags", I.security_flags(good))
-    numbered = transactions.join(good.select(F.col("id").alias("source_email_id"), "seq"), "source_email_id")
-    found = anomaly_table(numbered, D.duplicates(numbered), as_of, I.security_anomalies(flags, as_of))
+    found = anomaly_table(transactions, D.duplicates(transactions), as_of, I.security_anomalies(flags, as_of))
     anomalies = stored("anomalies", found)
     events = A.email_processed(
         good.withColumn("chain_id", F.lit("scan")).withColumn("timestamp", F.lit(as_of)).withColumn("mail_id", F.col("id")),

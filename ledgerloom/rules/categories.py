@@ -2,22 +2,16 @@
 
 # --- fixed values: subscription merchants and context words ------------------------------
 SUBSCRIPTION_MERCHANTS = (
-    # streaming
     "netflix", "spotify", "hulu", "disney", "disney+", "apple tv", "apple music", "amazon prime", "youtube",
     "youtube premium", "hbo", "hbo max", "paramount", "paramount+", "peacock", "espn+", "showtime", "starz",
     "crunchyroll", "tidal", "pandora", "deezer", "apple one",
-    # software and cloud
     "adobe", "microsoft", "office 365", "microsoft 365", "dropbox", "icloud", "google one", "google workspace",
     "github", "jetbrains", "notion", "evernote", "lastpass", "1password", "dashlane", "grammarly", "canva",
     "figma", "slack", "zoom", "webex", "teams",
-    # news and media
     "new york times", "washington post", "wall street journal", "medium", "substack", "patreon", "audible",
     "kindle unlimited",
-    # fitness and health
     "peloton", "strava", "myfitnesspass", "headspace", "calm", "noom",
-    # gaming
     "playstation", "xbox", "nintendo", "steam", "epic games", "ea play",
-    # other
     "onlyfans", "memberful", "squarespace", "wix", "godaddy",
 )
 SUBSCRIPTION_CONTEXT = (
@@ -26,18 +20,15 @@ SUBSCRIPTION_CONTEXT = (
 )
 
 # --- fixed values: ledger categories, priority patterns first ------------------------------
-_ISSUERS = r"(?:discover|chase|capital one|citi|citibank|amex|american express|bank of america)"
-_REWARDS = r"(?:cashback|cash back|reward|bonus|rebate)"
 PRIORITY_PATTERNS = (
-    (rf"\b{_ISSUERS}\b.*\b{_REWARDS}\b", "Income"),
-    (rf"\b{_REWARDS}\b.*\b{_ISSUERS}\b", "Income"),
+    (r"\b(?:discover|chase|capital one|citi|citibank|amex|american express|bank of america)\b.*\b(?:cashback|cash back|reward|bonus|rebate)\b", "Income"),
+    (r"\b(?:cashback|cash back|reward|bonus|rebate)\b.*\b(?:discover|chase|capital one|citi|citibank|amex|american express|bank of america)\b", "Income"),
     (
-        rf"\b{_ISSUERS}\b.*\b(?:payment received|payment confirmation|thank you for your payment|statement"
-        r"|balance due|minimum payment|amount due)\b",
+        r"\b(?:discover|chase|capital one|citi|citibank|amex|american express|bank of america)\b.*\b(?:payment received|payment confirmation|thank you for your payment|statement|balance due|minimum payment|amount due)\b",
         "Bills/Utilities",
     ),
     (
-        rf"\b(?:statement|balance due|minimum payment|amount due|payment received)\b.*\b{_ISSUERS}\b",
+        r"\b(?:statement|balance due|minimum payment|amount due|payment received)\b.*\b(?:discover|chase|capital one|citi|citibank|amex|american express|bank of america)\b",
         "Bills/Utilities",
     ),
     (

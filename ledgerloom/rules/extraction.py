@@ -123,25 +123,17 @@ PAYMENT_METHODS = (
 
 # --- fixed values: which mail counts as financial ---------------------------------------
 FINANCIAL_DOMAINS = (
-    # banks
     "chase.com", "bankofamerica.com", "wellsfargo.com", "capitalone.com", "citibank.com", "discover.com",
     "usbank.com", "pnc.com",
-    # payment platforms
     "paypal.com", "venmo.com", "zelle.com", "zellepay.com", "cashapp.com", "cash.app", "square.com", "stripe.com",
-    # shops
     "amazon.com", "walmart.com", "target.com", "bestbuy.com", "costco.com", "homedepot.com", "lowes.com",
     "macys.com", "nordstrom.com", "ebay.com", "etsy.com",
-    # food delivery
     "doordash.com", "grubhub.com", "ubereats.com", "uber.com", "instacart.com", "postmates.com",
-    # subscriptions
     "spotify.com", "netflix.com", "hulu.com", "disneyplus.com", "apple.com", "google.com", "adobe.com",
     "microsoft.com", "dropbox.com", "openai.com",
-    # travel
     "airbnb.com", "booking.com", "expedia.com", "united.com", "delta.com", "southwest.com", "hilton.com",
     "marriott.com",
-    # ride sharing
     "lyft.com",
-    # utilities
     "t-mobile.com", "verizon.com", "att.com", "xfinity.com",
 )
 FINANCIAL_SUBJECTS = (

@@ -47,8 +47,14 @@ def read_blocklist(spark: SparkSession, path: str) -> DataFrame:
     return config.select(F.inline(entries))
 
 
+def blocklist_rules(table: DataFrame) -> Blocklist | DataFrame:
+    """The table as plan literals when it is of configuration size, else the table itself, to be joined."""
+    literal = literal_blocklist(table)
+    return table if literal is None else literal
+
+
 def literal_blocklist(table: DataFrame) -> Blocklist | None:
-    """The table as plan literals when it is of configuration size, else None (use the join form)."""
+    """The table as plan literals, or None when it holds more entries than are written into a plan."""
     rows = table.limit(MAX_LITERALS + 1).collect()
     if len(rows) > MAX_LITERALS:
         return None

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import money_sum
 from ..operators.duplicates import HOURS, first_later_matches
 from ..operators.ledger import upsert
 from ..operators.subscriptions import upsert_subscriptions
+from ..sources.tables import write_table
 from .runs import run_batches
 
 
@@ -29,14 +31,14 @@ def weekly_spending(txn: DataFrame, delay: str = "1 day") -> DataFrame:
     return (
         timed.withWatermark("event_time", delay)
         .groupBy(F.window("event_time", "7 days").alias("week"), "category")
-        .agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
+        .agg(F.count("*").alias("n"), money_sum(F.col("amount")).alias("total"))
         .select(F.col("week.start").alias("week_start"), "category", "n", "total")
     )
 
 
 def keep_latest(stream: DataFrame, table: str, checkpoint: str) -> None:
     """Store the whole small result of an aggregation after every batch."""
-    run_batches(stream, lambda batch, number: batch.write.mode("overwrite").parquet(table), checkpoint, mode="complete")
+    run_batches(stream, lambda batch, number: write_table(batch, table), checkpoint, mode="complete")
 
 
 def _part(folder: str, number: int) -> str:

@@ -22,7 +22,7 @@ QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 def chosen():
     if os.environ.get("TEST_ALL_QUERIES"):
-        return sorted(QUERIES)
+        return sorted(n for n in QUERIES if n in SQL)
     return sorted(n for n in QUERIES if any(n.startswith(p) for p in PART))
 
 
