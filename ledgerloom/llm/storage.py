@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ KEY_BITS = 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a temporary one on a single machine and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base is None:
+        if re.match(r"local(\[|$)", spark.sparkContext.master) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/ledgerloom-llm-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/llm"

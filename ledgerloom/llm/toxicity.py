@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from .registry import query, table
 from .storage import keyed, row_type, unpacked
 
-WINDOW, STEP = 16, 8  # words
+WINDOW, STEP = 12, 6  # words
 FELT = 3  # bytes by which a window must be shorter to count
-DICTIONARY, BASE = 2048, 8192  # bytes
+SHARE, RATIO = 0.02, 20  # of a class's texts that hold a typical word, and how much more often than in the other class
+DICTIONARY, BASE = 2048, 16384  # bytes
 
 
 @dataclass
@@ -107,7 +108,7 @@ def train(texts: list[str], toxic: list[bool]) -> Model:
 
     def typical(c: bool) -> set[str]:
         here, there = len(learn[c]), len(learn[not c])
-        return {w for w, n in seen[c].items() if n >= min(3, here) and n / here >= 5 * (seen[not c][w] + 1) / (there + 1)}
+        return {w for w, n in seen[c].items() if n >= max(min(3, here), SHARE * here) and n / here >= RATIO * (seen[not c][w] + 1) / (there + 1)}
 
     words = {c: typical(c) for c in own}
     kept = {c: [" ".join(w for w in t.split() if w in words[c]).encode() for t in v] for c, v in learn.items()}
