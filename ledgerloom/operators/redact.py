@@ -129,13 +129,13 @@ def redact_entities(df: DataFrame, column: str, out: str = "clean_text") -> Data
 
 
 def validate(df: DataFrame, column: str) -> DataFrame:
-    """Pass 3: adds ``clean_text``, ``fixes``, ``is_valid`` and ``issues`` ('rule: match' texts)."""
+    """Pass 3: adds ``clean_text``, ``fixes``, ``is_valid`` and ``issues`` (the rule and where it matched; never the match itself)."""
     keep = df.columns
     staged, names = _run_stages(df, column, [R.LEAKS])
     counts = [_stage_count(names, i, p) for i, p in enumerate(R.LEAKS)]
     fixes = sum(counts[1:], counts[0])
     issues = ", ".join(
-        f"CASE WHEN {names[i + 1]} != {names[i]} THEN transform({_matches(names[i], p)}, m -> concat('{p.name}: ', m))"
+        f"CASE WHEN {names[i + 1]} != {names[i]} THEN transform({_matches(names[i], p)}, m -> concat('{p.name} at ', locate(m, {names[i]})))"
         " ELSE cast(array() AS array<string>) END"
         for i, p in enumerate(R.LEAKS)
     )
@@ -203,14 +203,16 @@ def fail_closed(redacted: DataFrame, strict: bool = False) -> tuple[DataFrame, D
     ``strict`` also withholds rows whose validation found something.
     """
     bad = F.col("redaction_error") | (F.lit(strict) & ~F.col("is_valid"))
-    texts = [c for c in ("body", "clean_text", "redaction_details") if c in redacted.columns]
+    texts = [c for c in ("body", "subject", "clean_text", "redaction_details") if c in redacted.columns]
     return redacted.where(~bad), redacted.where(bad).drop(*texts)
 
 
 def redact_names(
     df: DataFrame, column: str, key: str, gazetteer: DataFrame, out: str = "clean_text", small: int = 100_000
 ) -> DataFrame:
-    """Replace listed names (``name``, ``tag``) by their tags; words only, case as listed.
+    """Replace listed names (``name``, ``tag``) by their tags; whole words only, case as listed, longer names first.
+
+    Names of several words are looked up as runs of as many words with one blank between.
 
     Every text is cut into its distinct words and joined with the list. The list
     is broadcast only when it has at most ``small`` rows; beyond that both sides
@@ -218,15 +220,23 @@ def redact_names(
     Only matched words travel back to their text, at most one row per text.
     """
     word = r"(?U)[\w'\-#]+"
-    words = df.select(
-        key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(word), F.lit(0)))).alias("name")
-    )
     names = gazetteer.select("name", "tag").groupBy("name").agg(F.min("tag").alias("tag"))
+    sizes = [r[0] for r in names.select(F.size(F.split("name", " "))).distinct().collect()]  # a few numbers of words
+    all_words = F.regexp_extract_all(F.col(column), F.lit(word), F.lit(0))
+
+    def runs(size: int) -> Column:
+        if size == 1:
+            return F.col("_w")
+        starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - size + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice("_w", i, size), " "))
+
+    probes = F.array_distinct(F.flatten(F.array(*[runs(n) for n in sorted(sizes)]))) if sizes else F.array().cast("array<string>")
+    words = df.select(key, all_words.alias("_w")).select(key, F.explode(probes).alias("name"))
     if is_small(gazetteer, small):
         hits = words.join(F.broadcast(names), "name")
     else:
         hits = salted_join(words, names, ["name"], key)
-    found = hits.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "tag")))).alias("_names"))
+    found = hits.groupBy(key).agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct((-F.length("name")).alias("n"), "name", "tag"))), lambda x: F.struct(x["name"], x["tag"]))).alias("_names"))
     tagged = F.aggregate(
         F.map_entries("_names"),
         F.col(column),
@@ -249,7 +259,7 @@ def leak_scan(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     names = F.array_compact(F.array(*[F.when(F.col("text").rlike(regex), F.lit(name)) for name, regex in patterns]))
     return (
         df.select(F.col(key), F.inline(cells))
-        .select(key, "field", F.left("text", F.lit(30)).alias("shown"), F.explode(names).alias("pattern"))
+        .select(key, "field", F.explode(names).alias("pattern"))
     )
 
 
