@@ -46,11 +46,11 @@ def components(links: DataFrame, a: Column | str = "a", b: Column | str = "b") -
     links = stored(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), a.isNotNull().alias("_a"), b.isNotNull().alias("_b")).where("_a and _b and a < b").select("a", "b").distinct(), "links")
     before = None
     while True:
-        rows = links.count()
-        state = links.agg(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()["s"]
-        if not rows or (rows, state) == before:
+        state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        rows = state["n"]
+        if not rows or state == before:
             break
-        before = (rows, state)
+        before = state
         links = stored(_star(stored(_star(links, rows, True), "star"), rows, False), "links")
     roots = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return roots.unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

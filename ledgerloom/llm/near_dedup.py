@@ -9,9 +9,9 @@ layers are thrown as fill all coordinates, so that a text costs its own length a
 some k log k darts.
 
 Texts with equal words are one class, which is compared once. In each bucket of a
-band, members meet three leaders, then, where the bucket still has members of
-several groups, all members of other groups: as pairs in small buckets, block by
-block within tasks in large ones. Every pair is checked exactly.
+band, members meet three leaders; where one is not linked to the first leader, all
+members of the bucket meet: as pairs in small buckets, block by block within tasks in
+large ones. Every pair is checked exactly.
 
 Words are runs of letters, digits and characters beyond ASCII, whatever their case.
 Texts of fewer words than a shingle are one shingle. Nulls, empty texts and texts
@@ -153,25 +153,22 @@ def _checked(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) ->
 
 
 def _met_in_blocks(members: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Links (a, b) between the groups (root) that meet in a bucket; every two blocks of a bucket are a task, and no pair leaves it.
+    """Links (a, b) that join the members of each bucket as far as they are similar; every two blocks of a bucket are a task, and no pair leaves it.
 
-    ``members`` holds bucket, node, root, _zip and _count, the members of the bucket.
+    ``members`` holds bucket, node, _zip and _count, the members of the bucket.
     """
     blocks = F.ceil(F.col("_count") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks).cast("int")
     met = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     side = (F.col("block") > F.col("other")).cast("int").alias("side")
-    met = met.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), side, "root", "_zip")
+    met = met.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), side, "node", "_zip")
 
     def compare(group: pa.Table) -> pa.Table:
         side = group.column("side").to_numpy()
         group = group.take(pa.array(np.argsort(side, kind="stable")))
         n, cut = len(side), int((side == 0).sum())
         first = cut if cut < n else 0
-        roots = group.column("root").combine_chunks()
-        names: dict[tuple, int] = {}
-        own = np.array([names.setdefault(tuple(r.values()), len(names)) for r in roots.to_pylist()])
-        at = np.unique(own, return_index=True)[1]
+        nodes = group.column("node").combine_chunks()
         text, unit = [], []
         for lo, _, _, _, t, s in shingles(unzipped(group.column("_zip")), size):
             t, u = units(t + lo, s)
@@ -193,8 +190,9 @@ def _met_in_blocks(members: DataFrame, size: int, threshold: float) -> DataFrame
             part[text[a:b], column[a:b] - lo] = 1
             same += part[:cut] @ part[first:].T
         both = total[:cut, None] + total[None, first:] - same
-        i, j = np.nonzero((same >= threshold * both - 1e-6) & (own[:cut, None] != own[None, first:]))
-        found, chief = set(), list(range(len(names)))
+        i, j = np.nonzero(same >= threshold * both - 1e-6)
+        j += first
+        found, chief = [], list(range(n))
 
         def lead(x: int) -> int:
             while chief[x] != x:
@@ -202,15 +200,15 @@ def _met_in_blocks(members: DataFrame, size: int, threshold: float) -> DataFrame
                 x = chief[x]
             return x
 
-        for x, y in sorted(set(zip(own[i].tolist(), own[j + first].tolist()))):
+        for x, y in zip(i.tolist(), j.tolist()):
             p, q = lead(x), lead(y)
-            if p != q:
+            if p != q:  # a link that joins two groups of the block; the others add nothing to the union
                 chief[max(p, q)] = min(p, q)
-                found.add((x, y))
-        found = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
-        return pa.table({"a": roots.take(pa.array(at[found[:, 0]])), "b": roots.take(pa.array(at[found[:, 1]]))})
+                found.append((x, y))
+        found = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": nodes.take(pa.array(found[:, 0])), "b": nodes.take(pa.array(found[:, 1]))})
 
-    kind = members.schema["root"].dataType.simpleString()
+    kind = members.schema["node"].dataType.simpleString()
     return met.groupBy("bucket", "low", "high").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
@@ -251,21 +249,18 @@ def near_duplicates(
     texts = squeezed(rows.select("_id", "_key", "_text")).join(needed, ["_id", "_key"], "left_semi").groupBy("_id", "_key").agg(F.first("_zip").alias("_zip"))
     texts = stored(texts.select(node.alias("node"), "_zip"), "texts")
     links = stored(_checked(pairs, texts, size, threshold), "links")
-    roots = stored(components(links), "roots")
-    # What the leaders did not settle: members of one bucket that are in different groups.
-    grouped = kept_buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    open_ = grouped.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    grouped = stored(grouped.join(open_, "bucket", "left_semi"), "open")
+    # A bucket whose members are all linked to its first leader is settled; in the others all members meet.
+    pair = [F.least("node", "leader0").alias("a"), F.greatest("node", "leader0").alias("b")]
+    open_ = met.where("node <> leader0").select("bucket", *pair).join(links, ["a", "b"], "left_anti").select("bucket").distinct()
+    grouped = stored(kept_buckets.join(open_, "bucket", "left_semi"), "open")
     sizes = stored(grouped.groupBy("bucket").agg(F.count("*").alias("_count")), "sizes")
     few = grouped.join(sizes.where(F.col("_count") <= FEW), "bucket")
-    left, right = few.select("bucket", "node", "root"), few.select("bucket", F.col("node").alias("leader"), F.col("root").alias("other"))
-    rest = left.join(right, "bucket").where("root < other").select("node", "leader")
+    rest = few.select("bucket", "node").join(few.select("bucket", F.col("node").alias("leader")), "bucket").where("node < leader").select("node", "leader")
     rest = _ordered(rest, "node", "leader").join(pairs, ["a", "b"], "left_anti")
     more = _checked(stored(rest, "rest"), texts, size, threshold)
     many = grouped.join(sizes.where(F.col("_count") > FEW), "bucket").join(texts, "node")
     more = stored(more.unionByName(_met_in_blocks(many, size, threshold)), "more")
-    if not more.isEmpty():
-        roots = stored(components(links.unionByName(more)), "roots")
+    roots = stored(components(links.unionByName(more)), "roots")
     named = classes.join(roots, "node", "left").select("h0", "h1", "node", F.coalesce("root", "node").alias("root"))
     named = stored(named.join(classes.select("h0", "h1", "_count"), ["h0", "h1"]), "named").withColumn("h", F.struct("h0", "h1")).drop("h0", "h1")
     of = join_hot(members.select(node.alias("own"), F.struct("h0", "h1").alias("h")), named, "h", members.count()).select("own._id", "own._key", "node", "root").dropDuplicates(["_id", "_key"])
