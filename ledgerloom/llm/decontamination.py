@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds find where a text could hold a benchmark item, Smith-Waterman scores it.
+"""Benchmark decontamination: n-gram seeds find where a text could hold a benchmark item, Smith-Waterman scores it.
 
-A pass over the corpus counts how often each n-gram of the benchmark occurs in it.
-Seeds are the rare ones, and in every stretch of an item its rarest two, however
-often they occur, so that no part of an item is without seeds. A seed in a text
-opens a window of the item's length around its diagonal; the words of window and
-item are aligned locally (match +2, other word -1, gap -1). The score is the
-alignment's share of the best that the item, or ``enough`` words of it, could reach.
+Every n-gram of an item is a seed, however often it occurs: which of them an edited
+copy still holds cannot be told from counts. A seed in a text opens a window of the
+item's length around its diagonal; near diagonals share a window. A window goes on
+only if the words it has in common with the item could reach the threshold, which
+loses nothing. Then the words of window and item are aligned locally (match +2, other
+word -1, gap -1). The score is the alignment's share of the best that the item, or
+``enough`` words of it, could reach.
 
 The benchmark is a query set: it is taken in blocks of bounded size, each held
 against all rows, so nothing but counts is shuffled.
@@ -32,20 +33,24 @@ from .rolling import PLAIN_WORDS, base, ranges, word_batches
 from .storage import keyed, row_type, unpacked
 
 GRAM = 3
-STRETCH = 8  # words of an item in which the two rarest n-grams are seeds
 BLOCK_BYTES = 1 << 22  # of the benchmark's text held against all rows at once
 MATCH, MISS, GAP = 2, 1, 1
+PART = 1 << 20  # seeds, words of windows or cells of an alignment that are held at once
 
 
 @dataclass
 class Items:
-    """A block of the benchmark: item numbers, their words, and for each gram its hash, item and place, in order of the hash."""
+    """A block of the benchmark: item numbers, their words, for each gram its hash, item and place, in order of the hash,
+    the different words, and how often each item (item number * different words + word) holds each."""
 
     ids: list
     words: list[np.ndarray]
     grams: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    vocabulary: np.ndarray
+    keys: np.ndarray
+    count: np.ndarray
 
 
 def _items(rows: list[tuple]) -> Items:
@@ -59,7 +64,9 @@ def _items(rows: list[tuple]) -> Items:
     place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
     flat = np.concatenate(grams) if grams else np.empty(0, np.uint64)
     order = np.argsort(flat, kind="stable")
-    return Items([i for i, _ in rows], words, flat[order], item[order], place[order])
+    vocabulary, rank = np.unique(np.concatenate([*words, np.empty(0, np.uint64)]), return_inverse=True)
+    keys, count = np.unique(np.repeat(np.arange(len(words)), [len(w) for w in words]) * len(vocabulary) + rank, return_counts=True)
+    return Items([i for i, _ in rows], words, flat[order], item[order], place[order], vocabulary, keys, count)
 
 
 def _hits(texts: list[bytes], grams: np.ndarray):
@@ -80,37 +87,6 @@ def _hits(texts: list[bytes], grams: np.ndarray):
         yield lo, hi, words, at, places, hashes[places]
 
 
-def gram_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """How often each gram of the block occurs in all texts; a row for each gram reaches the driver."""
-    grams = np.unique(items.grams)
-
-    def count(batches):
-        total = np.zeros(len(grams), dtype=np.int64)
-        for batch in batches:
-            for *_, hashes in _hits(batch.column(0).cast(pa.binary()).to_pylist(), grams):
-                total += np.bincount(np.searchsorted(grams, hashes), minlength=len(grams))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["gram", "n"])
-
-    out = np.zeros(len(grams), dtype=np.int64)
-    for r in docs.select("_text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r["gram"]] = r["n"]
-    return out[np.searchsorted(grams, items.grams)]
-
-
-def seeds(items: Items, counts: np.ndarray, rare: int) -> Items:
-    """The grams that occur ``rare`` times at most, and the rarest two of each stretch."""
-    stretch = items.place // STRETCH
-    order = np.lexsort((items.place, counts, stretch, items.item))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (items.item[order][1:] != items.item[order][:-1]) | (stretch[order][1:] != stretch[order][:-1])
-    first = np.flatnonzero(new)
-    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-    keep = counts <= rare
-    keep[order[rank < 2]] = True
-    return Items(items.ids, items.words, items.grams[keep], items.item[keep], items.place[keep])
-
-
 def align(windows: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(best local score, end of it in the window) of each row of ``windows`` with ``item``; hash 0 stands for no word."""
     n, m = windows.shape
@@ -130,34 +106,82 @@ def align(windows: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, end
 
 
-def _matches(words: np.ndarray, at: np.ndarray, places: np.ndarray, hashes: np.ndarray, items: Items, threshold: float, enough: int):
-    """(text, item, score, first word, end word) of the alignments that reach the threshold."""
+def _parts(sizes: np.ndarray) -> Iterator[slice]:
+    """Slices whose sizes add up to ``PART`` at most, or of one element."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PART, side="right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
+def _windows(at: np.ndarray, places: np.ndarray, hashes: np.ndarray, items: Items, sizes: np.ndarray):
+    """(text, item, first word, end word) of the windows that the seeds open."""
     lo, hi = np.searchsorted(items.grams, hashes), np.searchsorted(items.grams, hashes, side="right")
-    which = ranges(lo, hi - lo)
-    places = np.repeat(places, hi - lo)
-    if not len(places):
-        return
-    text = np.searchsorted(at, places, side="right") - 1
-    item, start = items.item[which], places - items.place[which]
-    sizes = np.array([len(w) for w in items.words])
-    cell = start // np.maximum(8, sizes[item] // 4)
+    found = []
+    for part in _parts(hi - lo):
+        n = (hi - lo)[part]
+        which, place = ranges(lo[part], n), np.repeat(places[part], n)
+        text, item, start = np.searchsorted(at, place, side="right") - 1, items.item[which], place - items.place[which]
+        cell = start // np.maximum(8, sizes[item] // 4)
+        order = np.lexsort((cell, text, item))
+        item, text, cell, start = item[order], text[order], cell[order], start[order]
+        new = np.ones(len(item), dtype=bool)
+        new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (cell[1:] != cell[:-1])
+        first = np.flatnonzero(new)
+        found.append((item[first], text[first], cell[first], np.minimum.reduceat(start, first), np.maximum.reduceat(start, first)))
+    item, text, cell, lowest, highest = (np.concatenate(c) for c in zip(*found))
     order = np.lexsort((cell, text, item))
-    item, text, cell, start = item[order], text[order], cell[order], start[order]
+    item, text, cell, lowest, highest = (c[order] for c in (item, text, cell, lowest, highest))
     # Diagonals in the same or the next cell share a window.
     new = np.ones(len(item), dtype=bool)
     new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (cell[1:] > cell[:-1] + 1)
     first = np.flatnonzero(new)
-    lowest, highest = np.minimum.reduceat(start, first), np.maximum.reduceat(start, first)
+    lowest, highest = np.minimum.reduceat(lowest, first), np.maximum.reduceat(highest, first)
     item, text = item[first], text[first]
     slack = sizes[item] // 4 + 4
-    a, b = np.maximum(lowest - slack, at[text]), np.minimum(highest + sizes[item] + slack, at[text + 1])
+    return text, item, np.maximum(lowest - slack, at[text]), np.minimum(highest + sizes[item] + slack, at[text + 1])
+
+
+def _common(words: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray, items: Items) -> np.ndarray:
+    """How many words each window [a, b) has in common with its item, each as often as both hold it: no alignment matches more."""
+    vocabulary, keys, count = items.vocabulary, items.keys, items.count
+    at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+    known = np.flatnonzero(vocabulary[at] == words)
+    at = at[known]
+    a, b = np.searchsorted(known, a), np.searchsorted(known, b)
+    out = np.zeros(len(item), dtype=np.int64)
+    for part in _parts(b - a):
+        n = (b - a)[part]
+        window = np.repeat(np.arange(part.start, part.stop), n)
+        wanted = item[window] * len(vocabulary) + at[ranges(a[part], n)]
+        key = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        has = keys[key] == wanted
+        pair, n = np.unique(window[has] * len(keys) + key[has], return_counts=True)
+        np.add.at(out, pair // len(keys), np.minimum(n, count[pair % len(keys)]))
+    return out
+
+
+def _matches(words: np.ndarray, at: np.ndarray, places: np.ndarray, hashes: np.ndarray, items: Items, threshold: float, enough: int):
+    """(text, item, score, first word, end word) of the alignments that reach the threshold."""
+    if not len(places):
+        return
+    sizes = np.array([len(w) for w in items.words])
+    text, item, a, b = _windows(at, places, hashes, items, sizes)
+    able = MATCH * _common(words, item, a, b, items) >= threshold * MATCH * np.minimum(sizes[item], enough)
+    text, item, a, b = text[able], item[able], a[able], b[able]
     for j in np.unique(item):
         own = np.flatnonzero(item == j)
         own = own[np.argsort(b[own] - a[own], kind="stable")]
         query_ = items.words[j]
         most = MATCH * min(len(query_), enough)
-        for lo in range(0, len(own), 64):
-            part = own[lo : lo + 64]
+        lo = 0
+        while lo < len(own):
+            step = 64
+            while step > 1 and step * int((b - a)[own[lo : lo + step][-1]]) > PART:
+                step //= 2
+            part = own[lo : lo + step]
+            lo += step
             width = int((b[part] - a[part]).max())
             windows = np.zeros((len(part), width), dtype=np.uint64)
             for i, k in enumerate(part):
@@ -187,20 +211,14 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[li
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    threshold: float = 0.5, enough: int = 50, rare_share: float = 1e-4,
+    threshold: float = 0.5, enough: int = 50,
 ) -> DataFrame:
-    """The columns of ``docs`` with the text, and ``leaks``: an array of (item, score, start, end) with word places.
-
-    A gram is rare if it occurs in the corpus at most 16 times or ``rare_share`` times the number of rows.
-    """
+    """The columns of ``docs`` with the text, and ``leaks``: an array of (item, score, start, end) with word places."""
     rows = keyed(docs, id_col, text_col).select("_row", "_text")
-    n = rows.count()
     kind = f"_row {row_type(rows)}, _text string, leaks array<struct<item: {dict(benchmark.dtypes)[item_col]}, score: double, start: long, end: long>>"
     found = rows.withColumn("leaks", F.expr(f"cast(array() as {kind.rpartition('leaks ')[2]})"))
     for block in blocks_of(benchmark, item_col, item_text_col):
-        items = _items(block)
-        items = seeds(items, gram_counts(rows, items), max(16, int(n * rare_share)))
-        found = found.mapInArrow(_finder(items, threshold, enough), kind)
+        found = found.mapInArrow(_finder(_items(block), threshold, enough), kind)
     text = F.when(~F.col("_row._no_text"), F.col("_text"))
     return unpacked(found.withColumn(text_col, text), docs.columns, text_col, [text_col, "leaks"])
 
