@@ -27,11 +27,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .rolling import CHUNK, U, base, merged, mix, ranges, segments
-from .storage import KEY_BITS, stored
+from .storage import stored
 
 #: codes(texts) yields (text number, codes of a piece, first window of the piece, windows in it)
 Pieces = Callable[[list[bytes]], Iterator[tuple[int, np.ndarray, int, int]]]
-AT_BITS = 43  # of a place; above them the bits of the text's key
 ROWS = 1 << 17  # of an Arrow batch that leaves a task
 
 
@@ -59,16 +58,16 @@ def _gathered(pieces, size: int = CHUNK):
 def _settle(cols: list[np.ndarray], keys: int):
     """One row of each group stays open, the one of the least place; rows at other places are settled.
 
-    The group is made by the first ``keys`` columns, the place (_id, pos) by the two
-    behind them; a place that comes again is dropped. Returns (row order, more
+    The group is made by the first ``keys`` columns, the place (_id, _key, pos) by the
+    three behind them; a place that comes again is dropped. Returns (row order, more
     places follow, settled).
     """
-    order = np.lexsort([cols[keys + 1], cols[keys], *reversed(cols[:keys])])
+    order = np.lexsort([*reversed(cols[: keys + 3])])
     new = np.ones(len(order), dtype=bool)
     new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in cols[:keys]])
     first = np.flatnonzero(new)
     group = np.cumsum(new) - 1
-    other = np.logical_or.reduce([c[order] != c[order][first][group] for c in cols[keys : keys + 2]])
+    other = np.logical_or.reduce([c[order] != c[order][first][group] for c in cols[keys : keys + 3]])
     more = np.logical_or.reduceat(other, first)[group] & new
     keep = new | other
     return order[keep], more[keep], other[keep]
@@ -82,8 +81,8 @@ def _out(cols: dict[str, np.ndarray | list]):
 
 def _places(*group: str):
     """(the row stands elsewhere than the group's first row, the group has several places)."""
-    whole = W.partitionBy(*group).orderBy("_id", "pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    place = F.struct("_id", "pos")
+    whole = W.partitionBy(*group).orderBy("_id", "_key", "pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    place = F.struct("_id", "_key", "pos")
     first, last = F.first(place).over(whole), F.last(place).over(whole)
     return place != first, first != last
 
@@ -93,8 +92,8 @@ def _grouped(rows: DataFrame, digit: str, rest: str, keep_first: bool):
 
     A settled row needs no partner: its digit is its own place, so that it is sent anywhere.
     """
-    rows = rows.withColumn(digit, F.when(F.col("settled"), F.xxhash64("_id", "pos")).otherwise(F.col(digit)))
-    by_digit = W.partitionBy(digit, "settled").orderBy(rest, "_id", "pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = rows.withColumn(digit, F.when(F.col("settled"), F.xxhash64("_id", "_key", "pos")).otherwise(F.col(digit)))
+    by_digit = W.partitionBy(digit, "settled").orderBy(rest, "_id", "_key", "pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     other, shared = _places(digit, "settled", rest)
     known = F.col("settled") | (other if keep_first else shared | F.col("more"))
     opened = ~F.col("settled") & ~other & (F.first(rest).over(by_digit) != F.last(rest).over(by_digit))
@@ -121,10 +120,10 @@ def unzipped(column) -> list[bytes]:
 
 
 def repeated_runs(docs: DataFrame, pieces: Pieces, width: int, k: int, block: int, keep_first: bool) -> DataFrame:
-    """Rows (_id, pos, n): the windows at..at+n-1 of the document occur elsewhere; pos holds key and at.
+    """Rows (_id, _key, pos, n): the windows pos..pos+n-1 of the document occur elsewhere.
 
     ``docs`` has ``_id``, ``_key`` and ``_text``. With ``keep_first`` the earliest
-    occurrence (smallest _id, _key, at) of each window is left out.
+    occurrence (smallest _id, _key, pos) of each window is left out.
     """
 
     def find(batches):
@@ -138,19 +137,19 @@ def repeated_runs(docs: DataFrame, pieces: Pieces, width: int, k: int, block: in
                 of, at, n, anchor, h, s = segments(np.concatenate([p[1] for p in group]), hi - sizes, hi, width, k)
                 text, first = np.array([p[0] for p in group])[of], np.array([p[2] for p in group])[of]
                 shape = (s & ~U(0xFFFF)) | (n.astype(U) << U(9)) | (anchor.astype(U) << U(2))
-                found.append((h.view(np.int64), shape.view(np.int64), ids[text], keys[text] << AT_BITS | at + first))
+                found.append((h.view(np.int64), shape.view(np.int64), ids[text], keys[text], at + first))
             if not found:
                 continue
             cols = [np.concatenate(c) for c in zip(*found)]
             if len(cols[0]):
                 order, more, settled = _settle(cols, 2)
-                h, shape, at, pos = (c[order] for c in cols)
-                yield from _out({"h": h, "s": shape | more << 1 | settled, "_id": at, "pos": pos})
+                h, shape, id_, key, pos = (c[order] for c in cols)
+                yield from _out({"h": h, "s": shape | more << 1 | settled, "_id": id_, "_key": key, "pos": pos})
 
-    runs = docs.select("_id", "_key", "_text").mapInArrow(find, "h long, s long, _id long, pos long")
-    runs = runs.select("h", F.col("s").bitwiseAND(~3).alias("s"), "_id", "pos", F.col("s").bitwiseAND(2).cast("boolean").alias("more"), F.col("s").bitwiseAND(1).cast("boolean").alias("settled"))
+    runs = docs.select("_id", "_key", "_text").mapInArrow(find, "h long, s long, _id long, _key long, pos long")
+    runs = runs.select("h", F.col("s").bitwiseAND(~3).alias("s"), "_id", "_key", "pos", F.col("s").bitwiseAND(2).cast("boolean").alias("more"), F.col("s").bitwiseAND(1).cast("boolean").alias("settled"))
     n, anchor = (F.shiftright("s", x).bitwiseAND(127).cast("int") for x in (9, 2))
-    runs = stored(_grouped(runs, "h", "s", keep_first).select("_id", "pos", n.alias("n"), anchor.alias("anchor"), "known", "opened"), "runs")
+    runs = stored(_grouped(runs, "h", "s", keep_first).select("_id", "_key", "pos", n.alias("n"), anchor.alias("anchor"), "known", "opened"), "runs")
     spans = _by_document(runs.where("opened"), "n", "anchor")
 
     def open_blocks(batches):
@@ -163,31 +162,31 @@ def repeated_runs(docs: DataFrame, pieces: Pieces, width: int, k: int, block: in
                 own = slice(ends[text], ends[text + 1])
                 here = (lo[own] >= start) & (lo[own] < start + total)
                 if here.any():
-                    found.append(_blocks(codes, lo[own][here] - start, n[own][here], anchor[own][here], width, block, ids[text], keys[text] << AT_BITS | start))
+                    found.append(_blocks(codes, lo[own][here] - start, n[own][here], anchor[own][here], width, block, ids[text], keys[text], start))
             if not found:
                 continue
-            core, rest, ids, pos, first, n, values = (np.concatenate(c) for c in zip(*found))
-            order, more, settled = _settle([core, rest, ids, pos], 2)
+            core, rest, ids, keys, pos, first, n, values = (np.concatenate(c) for c in zip(*found))
+            order, more, settled = _settle([core, rest, ids, keys, pos], 2)
             starts = np.concatenate(([0], np.cumsum(n)))[:-1]
             parts = [values[a : a + m] if open_ else None for a, m, open_ in zip(starts[order].tolist(), n[order].tolist(), (~settled).tolist())]
-            yield from _out({"core": core[order], "rest": rest[order], "_id": ids[order], "pos": pos[order], "n": n[order].astype(np.int32), "first": first[order].astype(np.int32), "more": more, "settled": settled, "hashes": parts})
+            yield from _out({"core": core[order], "rest": rest[order], "_id": ids[order], "_key": keys[order], "pos": pos[order], "n": n[order].astype(np.int32), "first": first[order].astype(np.int32), "more": more, "settled": settled, "hashes": parts})
 
     texts = squeezed(docs.select("_id", "_key", "_text"))
     blocks = texts.join(spans, ["_id", "_key"]).select("_id", "_key", "_zip", "spans")
-    blocks = blocks.mapInArrow(open_blocks, "core long, rest long, _id long, pos long, n int, first int, more boolean, settled boolean, hashes array<long>")
-    blocks = stored(_grouped(blocks, "core", "rest", keep_first).select("core", "_id", "pos", "n", "first", "known", "opened", F.when(F.col("opened"), F.col("hashes")).alias("hashes")), "blocks")
-    single = blocks.where("opened").select("core", "_id", "pos", "first", F.posexplode("hashes").alias("j", "hash"))
+    blocks = blocks.mapInArrow(open_blocks, "core long, rest long, _id long, _key long, pos long, n int, first int, more boolean, settled boolean, hashes array<long>")
+    blocks = stored(_grouped(blocks, "core", "rest", keep_first).select("core", "_id", "_key", "pos", "n", "first", "known", "opened", F.when(F.col("opened"), F.col("hashes")).alias("hashes")), "blocks")
+    single = blocks.where("opened").select("core", "_id", "_key", "pos", "first", F.posexplode("hashes").alias("j", "hash"))
     # Windows stand in rising places, so their distance from the anchor falls.
-    single = single.select("core", (F.col("first") - F.col("j")).alias("off"), "hash", "_id", (F.col("pos") + F.col("j")).alias("pos"))
+    single = single.select("core", (F.col("first") - F.col("j")).alias("off"), "hash", "_id", "_key", (F.col("pos") + F.col("j")).alias("pos"))
     other, shared = _places("core", "off", "hash")
-    single = single.select("_id", "pos", F.lit(1).alias("n"), (other if keep_first else shared).alias("known"))
-    return runs.select("_id", "pos", "n", "known").unionByName(blocks.select("_id", "pos", "n", "known")).unionByName(single).where("known").drop("known")
+    single = single.select("_id", "_key", "pos", F.lit(1).alias("n"), (other if keep_first else shared).alias("known"))
+    return runs.select("_id", "_key", "pos", "n", "known").unionByName(blocks.select("_id", "_key", "pos", "n", "known")).unionByName(single).where("known").drop("known")
 
 
-def _blocks(codes, lo, n, anchor, width, size, id_, pos):
+def _blocks(codes, lo, n, anchor, width, size, id_, key, pos):
     """The runs (first window ``lo``, ``n`` windows, ``anchor`` codes ahead) cut into blocks aligned to the anchor.
 
-    Returns (core hash, hash of the block, id, place, distance of the first window from the anchor, windows, their hashes).
+    Returns (core hash, hash of the block, id, key, place, distance of the first window from the anchor, windows, their hashes).
     """
     b0, b1 = base(0), base(1)
     p0, p1 = b0.prefix(codes), b1.prefix(codes)
@@ -203,13 +202,12 @@ def _blocks(codes, lo, n, anchor, width, size, id_, pos):
     start, cell = (lo + anchor)[run[first]] - cell[first] * size, cell[first]  # the last window that the aligned block could hold
     core = mix(b0.spans(p0, start, start - size + 1 + width) ^ mix(cell.astype(U)))
     rest = mix(np.add.reduceat(mix(hashes ^ mix(off.astype(U))), first) ^ off[first].astype(U))
-    return core.view(np.int64), rest.view(np.int64), np.full(len(first), id_), pos + at[first], off[first], count, hashes.view(np.int64)
+    return core.view(np.int64), rest.view(np.int64), np.full(len(first), id_), np.full(len(first), key), pos + at[first], off[first], count, hashes.view(np.int64)
 
 
 def _by_document(runs: DataFrame, *more: str) -> DataFrame:
     """One row for each document, with the list of its runs in ``spans``."""
-    key, at = F.shiftrightunsigned("pos", AT_BITS).alias("_key"), F.col("pos").bitwiseAND((1 << AT_BITS) - 1).alias("at")
-    return runs.select("_id", key, F.struct(at, *more).alias("span")).groupBy("_id", "_key").agg(F.collect_list("span").alias("spans"))
+    return runs.select("_id", "_key", F.struct(F.col("pos").alias("at"), *more).alias("span")).groupBy("_id", "_key").agg(F.collect_list("span").alias("spans"))
 
 
 def _lists(column: pa.ListArray):
@@ -230,5 +228,3 @@ def span_lists(column: pa.ListArray, width: int) -> list[tuple[np.ndarray, np.nd
     hi = lo + n - 1 + width
     return [merged(lo[a:b], hi[a:b]) for a, b in zip(ends[:-1], ends[1:])]
 
-
-assert KEY_BITS + AT_BITS < 64

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 #: Stands in for a null id inside joins; the output keeps the null.
 NO_ID = -(2**63)
-KEY_BITS = 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,15 +32,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows as the operators carry them: ``_id`` (null: ``NO_ID``), ``_key`` (20 bits of a hash of the text), ``_text``
+    """The rows as the operators carry them: ``_id`` (null: ``NO_ID``), ``_key`` (64 bits of a hash of the text), ``_text``
     (null: empty) and all other columns in ``_row``, so that no name can clash.
 
     Rows that repeat both id and text are one document to the operators that
-    compare documents; equal ids with different texts stay apart."""
+    compare documents; equal ids (also nulls) with different texts stay apart,
+    but for equal 64-bit hashes: a chance of 3e-8 among a million rows of one id."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     row = F.struct(*rest, F.col(text_col).isNull().alias("_no_text"))
-    return docs.select(row.alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).bitwiseAND((1 << KEY_BITS) - 1).alias("_key"), text.alias("_text"))
+    return docs.select(row.alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_key"), text.alias("_text"))
 
 
 def unpacked(rows: DataFrame, columns: list[str], text_col: str, results: list[str]) -> DataFrame:
