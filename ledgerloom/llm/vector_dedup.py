@@ -2,11 +2,14 @@
 
 Vectors meet only under equal labels. A set of at most ``leaf`` vectors is
 compared whole. A larger one is split by every tree: at each node the vectors are
-projected on a random direction and cut at the median; those within ``spill``
-standard deviations of the cut go to both sides. The splits of one round are
-fitted on at most ``fit_rows`` vectors over all nodes and then route every vector;
-nodes that are still too large are fitted anew in the next round. A node
-that cannot be split (its vectors are alike) is compared whole, in blocks.
+projected on a random direction and cut at the median; those near the cut go to both
+sides. Near is ``spill`` standard deviations of the projection, but at least what
+keeps a pair at the threshold together but for a chance of some 1e-4 a cut: 1.5 times
+the standard deviation of the projection of its difference. The splits of one round
+are fitted on at most ``fit_rows`` vectors over all nodes and then route every vector;
+nodes that are still too large are fitted anew in the next round. A node of which
+a cut would send more than ``MOST`` to one side (its vectors are hardly farther from each
+other than links are) is compared whole, in blocks; a whole label once, not by tree.
 
 A pair that meets in several leaves counts in the first of them. Equal vectors are
 one class, compared once. Links are exact: cosine in double precision.
@@ -31,6 +34,7 @@ from .storage import NO_ID, shown_id, stored
 
 TREE_BITS = 56  # a leaf's number has the tree above so many bits of a hash
 BLOCK = 1024  # vectors of one side of a comparison
+MOST = 0.7  # of a node on one side of a cut; beyond it the trees make more rows than blocks compared whole
 MAX_ROUNDS = 64  # a guard; every round splits each large node that can be split
 
 
@@ -44,18 +48,22 @@ def _direction(name: int, size: int) -> np.ndarray:
     return v / np.linalg.norm(v)
 
 
-def _grow(name: int, x: np.ndarray, share: float, leaf: int, spill: float):
-    """A tree over the sample ``x``, which is ``share`` of its node's vectors: None for a leaf, or (direction, cut, margin, left, right, names)."""
+def _grow(name: int, x: np.ndarray, share: float, leaf: int, spill: float, apart: float):
+    """A tree over the sample ``x``, which is ``share`` of its node's vectors: None for a leaf, or (direction, cut, margin, left, right, names).
+
+    ``apart`` is the distance of two unit vectors at the threshold.
+    """
     if len(x) < 4 or len(x) / share <= leaf:
         return None
     r = _direction(name, x.shape[1])
     p = x @ r
-    cut, margin = float(np.median(p)), float(p.std()) * spill
-    left, right = p < cut, p >= cut
-    if not left.any() or p.std() < 0.02 / np.sqrt(x.shape[1]):
+    # Projections of a pair of links are at most ``apart`` apart: with half of it as margin none is ever parted.
+    cut, margin = float(np.median(p)), min(apart / 2, max(float(p.std()) * spill, 1.5 * apart / np.sqrt(x.shape[1]))) + 1e-9
+    left, right = p < cut + margin, p >= cut - margin
+    if max(left.mean(), right.mean()) > MOST + 0.5 / np.sqrt(len(x)):  # the sample's own error
         return None
     names = [_named(name >> TREE_BITS, name, side) for side in (0, 1)]
-    return r, cut, margin, *(_grow(n, x[part], share, leaf, spill) for n, part in zip(names, (left, right))), names
+    return r, cut, margin, *(_grow(n, x[part], share, leaf, spill, apart) for n, part in zip(names, (left, right))), names
 
 
 def _route(tree, name: int, x: np.ndarray, rows: np.ndarray, out: list):
@@ -74,7 +82,7 @@ def _matrix(column) -> np.ndarray:
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
-def _leaves(vectors: DataFrame, trees: int, leaf: int, spill: float, fit_rows: int) -> DataFrame:
+def _leaves(vectors: DataFrame, trees: int, leaf: int, spill: float, fit_rows: int, threshold: float) -> DataFrame:
     """(node, weight, vec, part, leaf): every vector with each leaf it belongs to; ``part`` is its label and length."""
     sizes = stored(vectors.groupBy("part").agg(F.count("*").alias("_count")), "parts")
     rows = vectors.count()
@@ -85,6 +93,7 @@ def _leaves(vectors: DataFrame, trees: int, leaf: int, spill: float, fit_rows: i
     large = large.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select("node", "weight", "vec", "part", F.shiftleft(F.col("tree").cast("long"), TREE_BITS).bitwiseOR(small).alias("leaf"))
     large = stored(large, "large")
     kind = large.schema
+    apart = float(np.sqrt(max(0.0, 2 * (1 - threshold))))
     for turn in range(MAX_ROUNDS):
         rows = large.count()
         if not rows:
@@ -95,12 +104,17 @@ def _leaves(vectors: DataFrame, trees: int, leaf: int, spill: float, fit_rows: i
         by_leaf: dict[int, list] = {}
         for r in picked:
             by_leaf.setdefault(r["leaf"], []).append(bytes(r["vec"]))
-        forest = {k: t for k, v in by_leaf.items() if (t := _grow(k, _matrix(pa.array(v)), share, leaf, spill)) is not None}
+        forest = {k: t for k, v in by_leaf.items() if (t := _grow(k, _matrix(pa.array(v)), share, leaf, spill, apart)) is not None}
         whole = [k for k in by_leaf if k not in forest]  # their samples cannot be split: at most the rows of the sample
-        def split(batches, forest=forest):
+        # A label that one tree cannot split is compared whole by it; the other trees have nothing to add.
+        once = {} if turn else {k & ((1 << TREE_BITS) - 1): k for k in sorted(whole, reverse=True)}
+
+        def split(batches, forest=forest, once=once):
             for batch in batches:
                 names = batch.column(4).to_numpy()
                 for name in np.unique(names):
+                    if once.get(int(name) & ((1 << TREE_BITS) - 1), int(name)) != name:
+                        continue
                     own = np.flatnonzero(names == name)
                     part = batch.take(pa.array(own))
                     out: list = []
@@ -147,11 +161,14 @@ def _compare(threshold: float):
             i, j = i[keep], j[keep]
             for at in range(0, len(i), 1 << 16):
                 a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                early = np.zeros(len(a), dtype=bool)
-                for p in range(width):
+                for p in range(width):  # most pairs met in the first tree already, and go at once
                     own = leaves[a, p]
-                    early |= (own >= 0) & (own < leaf) & (leaves[b] == own[:, None]).any(axis=1)
-                a, b = a[~early], b[~early]
+                    able = (own >= 0) & (own < leaf)
+                    if not able.any():
+                        break
+                    early = np.zeros(len(a), dtype=bool)
+                    early[able] = (leaves[b[able]] == own[able][:, None]).any(axis=1)
+                    a, b = a[~early], b[~early]
                 np.add.at(linked, a, weight[b])
                 np.add.at(linked, b, weight[a])
                 while len(a):
@@ -194,7 +211,7 @@ def near_vectors(
 
     types = dict(classes.dtypes)
     classes = stored(classes.select("node", "weight", "_f", "part").mapInArrow(packed, f"node {types['node']}, weight long, vec binary, part {types['part']}"), "classes")
-    leaves = stored(_leaves(classes, trees, leaf, spill, fit_rows), "leaves")
+    leaves = stored(_leaves(classes, trees, leaf, spill, fit_rows, threshold), "leaves")
     lists = leaves.groupBy("node").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))  # a few for each tree
     sizes = stored(leaves.groupBy("leaf").agg(F.count("*").alias("_count")).withColumn("blocks", F.ceil(F.col("_count") / BLOCK).cast("int")), "sizes")
     met = join_hot(leaves.select("node", "weight", "vec", "leaf"), sizes, "leaf", leaves.count()).join(lists, "node")
