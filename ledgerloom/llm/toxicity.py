@@ -1,7 +1,8 @@
 """Toxicity by compression distance: which of two zstandard dictionaries makes a window of text shorter?
 
 One dictionary is trained on toxic and one on ordinary text, each from the words
-that its class has clearly more often; both end in the same base, trained on words
+that its class has more often than chance allows (log-likelihood ratio), or, if there
+are none, from the few that come nearest to it; both end in the same base, trained on words
 of no class, so that all else compresses alike and the difference of the two lengths
 is the class's own. A text is scored by the differences of all its windows; how they
 become a score, and the threshold that maps to 0.5, is fitted on rows that trained
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from .storage import keyed, row_type, unpacked
 
 WINDOW, STEP = 12, 6  # words
 FELT = 3  # bytes by which a window must be shorter to count
-SHARE, RATIO = 0.02, 20  # of a class's texts that hold a typical word, and how much more often than in the other class
+SURE, RATIO, FEWEST = 12, 2, 8  # log-likelihood ratio of a typical word, how much more often its class has it, words of a class at least
 DICTIONARY, BASE = 2048, 16384  # bytes
 
 
@@ -98,6 +100,13 @@ def _content(samples: list[bytes], size: int) -> bytes:
         return b" ".join(dict.fromkeys(samples))[:size]
 
 
+def _surprise(a: int, m: int, b: int, n: int) -> float:
+    """Log-likelihood ratio of ``a`` of ``m`` texts against ``b`` of ``n``: about the square of the standard deviations between them."""
+    share = (a + b) / (m + n)
+    terms = ((a, m * share), (m - a, m * (1 - share)), (b, n * share), (n - b, n * (1 - share)))
+    return 2 * sum(x * log(x / e) for x, e in terms if x)
+
+
 def train(texts: list[str], toxic: list[bool]) -> Model:
     """Dictionaries from the even rows of each class, weights and threshold from the odd ones."""
     own = {c: [t.lower() for t, x in zip(texts, toxic) if x == c] for c in (True, False)}
@@ -108,7 +117,8 @@ def train(texts: list[str], toxic: list[bool]) -> Model:
 
     def typical(c: bool) -> set[str]:
         here, there = len(learn[c]), len(learn[not c])
-        return {w for w, n in seen[c].items() if n >= max(min(3, here), SHARE * here) and n / here >= RATIO * (seen[not c][w] + 1) / (there + 1)}
+        found = {w: _surprise(n, here, seen[not c][w], there) for w, n in seen[c].items() if n / here >= RATIO * seen[not c][w] / there}
+        return {w for w in found if found[w] >= SURE} | set(sorted(found, key=lambda w: (-found[w], w))[:FEWEST])
 
     words = {c: typical(c) for c in own}
     kept = {c: [" ".join(w for w in t.split() if w in words[c]).encode() for t in v] for c, v in learn.items()}
@@ -133,6 +143,7 @@ def train(texts: list[str], toxic: list[bool]) -> Model:
     order = np.argsort(-(x @ w), kind="stable")
     hit = np.cumsum(y[order])
     f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
+    f1[:-1][np.diff((x @ w)[order]) > -1e-9] = 0  # rows of equal score fall on one side
     w[-1] -= (x @ w)[order][int(f1.argmax())] - 1e-6
     model.weights = w.tolist()
     return model
