@@ -5,6 +5,7 @@ from . import (  # noqa: F401
     decontamination,
     hilbert_shards,
     language,
+    merkle,
     near_dedup,
     packing,
     phrase_dedup,
