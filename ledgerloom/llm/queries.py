@@ -1,6 +1,7 @@
 """Imports every module that registers queries."""
 
 from . import (  # noqa: F401
+    centroids,
     chat_windows,
     decontamination,
     hilbert_shards,
@@ -9,6 +10,7 @@ from . import (  # noqa: F401
     near_dedup,
     packing,
     phrase_dedup,
+    ppm,
     suffix_dedup,
     toxicity,
     vector_dedup,
