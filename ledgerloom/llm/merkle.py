@@ -10,7 +10,8 @@ levels up: it holds the siblings met on that way (at most one a level), so that
 2**stride rows of one block are hashed together and a climb takes few steps. The
 climb is a recursive query: it starts at all leaves, each with the hash claimed
 for its row, and joins the parent's row until there is none, appending siblings
-and folding the hash. Compared with the root, the fold tells whether the row is
+and folding the hash. Where a group's tree ends, the row goes on through the tree
+over the groups. Compared with the root, the fold tells whether the row is
 the one that went into the tree.
 
 Places in a group come from range partitions: rows before a partition plus the
@@ -26,6 +27,7 @@ of its own, with the same proof or not. An empty table has no root and no rows.
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from .registry import query, table
 from .storage import stored
 
-STRIDE = 6
+STRIDE = 9
 TOP = "/"  # the tree over the groups; a group's own tree is '' (null) or '=' and its name
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
@@ -55,6 +57,10 @@ def leaf_hash(values: list[Column]) -> Column:
     return F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in shown]), 256)
 
 
+def digits(digest: Column) -> Column:
+    return F.lower(F.hex(digest))
+
+
 def _placed(rows: DataFrame, order: list[str]) -> DataFrame:
     """``place`` (gapless from 0) and ``size`` (rows) within each ``tree``."""
     ranged = stored(rows.repartitionByRange("tree", *order).withColumn("_part", F.spark_partition_id()), "merkle-ranged")
@@ -65,15 +71,20 @@ def _placed(rows: DataFrame, order: list[str]) -> DataFrame:
     return ranged.withColumn("_number", number).join(starts, ["tree", "_part"]).withColumn("place", F.col("_start") + F.col("_number")).drop("_part", "_start", "_number")
 
 
-_LEVELS = """aggregate(sequence(1, steps), array(transform(members, m -> m.hash)), (done, k) -> concat(done, array(
+_LEVELS = """aggregate(sequence(1, steps), array(transform(members, m -> lower(hex(m.hash)))), (done, k) -> concat(done, array(
     transform(sequence(0, cast((size(element_at(done, -1)) - 1) div 2 as int)),
               i -> sha2(concat(get(element_at(done, -1), 2 * i), coalesce(get(element_at(done, -1), 2 * i + 1), '')), 256)))))"""
-_SIBLINGS = """if(steps = 0, cast(array() as array<string>),
-    transform(sequence(0, steps - 1), k -> get(levels[k], cast(shiftright(m.place % {width}, k) ^ 1 as int))))"""
+_SIBLINGS = """if(steps = 0, cast(array() as array<binary>),
+    transform(sequence(0, steps - 1), k -> unhex(get(levels[k], cast(shiftright(m.place % {width}, k) ^ 1 as int)))))"""
+
+
+def _node(level: int | None, place: Column | None) -> Column:
+    """Name of a node of ``tree``; without a level its group's leaf in the tree over the groups."""
+    return F.concat(F.lit("top:"), "tree") if level is None else F.concat(F.lit(f"{level}:"), place.cast("string"), F.lit(":"), "tree")
 
 
 def _linked(rows: DataFrame, level: int, stride: int, top: bool) -> DataFrame:
-    """The node rows of one level: hash, siblings of the next ``steps`` levels, parent, and with the first of a block the hash it leads to.
+    """The node rows of one level: hash, siblings of the next levels, parent, and with the first of a block the hash it leads to.
 
     ``rows``: tree, place, size, hash, item. ``top``: the way ends at the root instead of going on in the tree over the groups.
     """
@@ -82,56 +93,72 @@ def _linked(rows: DataFrame, level: int, stride: int, top: bool) -> DataFrame:
     blocks = rows.groupBy("tree", F.floor(F.col("place") / width).alias("block")).agg(
         F.sort_array(F.collect_list(F.struct("place", "hash", "item"))).alias("members"), F.max("size").alias("size")
     )
-    blocks = blocks.withColumn("steps", steps).withColumn("levels", F.expr(f"if(steps = 0, array(transform(members, m -> m.hash)), {_LEVELS})"))
+    blocks = blocks.withColumn("steps", steps).withColumn("levels", F.expr(f"if(steps = 0, array(transform(members, m -> lower(hex(m.hash)))), {_LEVELS})"))
     out = blocks.select("*", F.explode("members").alias("m")).withColumn("siblings", F.expr(_SIBLINGS.format(width=width)))
     left = F.ceil(F.col("size") / F.pow(F.lit(2.0), "steps")).cast("long")  # nodes of the tree that remain
-    first = F.col("m.place") % width == 0
-    over = F.struct(F.col("tree").alias("tree"), F.lit(-1).alias("level"), F.lit(0).cast("long").alias("place"))
-    above = F.struct(F.col("tree").alias("tree"), F.lit(level + stride).alias("level"), F.col("block").cast("long").alias("place"))
-    end = F.lit(None).cast("struct<tree:string,level:int,place:bigint>") if top else over
+    end = F.lit(None).cast("string") if top else _node(None, None)
+    leads_to = F.when(F.col("m.place") % width == 0, F.unhex(F.col("levels")[F.col("steps")][0]))
     return out.select(
-        "tree", F.lit(level).alias("level"), F.col("m.place").alias("place"), F.col("m.hash").alias("hash"), F.col("m.item").alias("item"), "siblings",
-        F.when(left > 1, above).otherwise(end).alias("parent"), F.when(first, F.col("levels")[F.col("steps")][0]).alias("leads_to"), left.alias("left"),
+        "tree", F.col("m.place").alias("place"), F.col("m.hash").alias("hash"), F.col("m.item").alias("item"), "siblings", "steps",
+        F.when(left > 1, _node(level + stride, F.col("block"))).otherwise(end).alias("parent"), leads_to.alias("leads_to"), left.alias("left"), F.col("block").cast("long").alias("block"),
     )
 
 
-def _built(rows: DataFrame, stride: int, top: bool) -> tuple[DataFrame, list[DataFrame], DataFrame]:
-    """The linked rows of the lowest level, those of the levels above, and (tree, hash) of what remains of each tree."""
-    most = rows.agg(F.max("size")).first()[0] or 0
-    levels = [stored(_linked(rows, 0, stride, top), "merkle-level")]
-    done = levels[0].where("left = 1 and leads_to is not null").select("tree", F.col("leads_to").alias("hash"))
-    for k in range(1, max(1, math.ceil(math.ceil(math.log2(max(1, most))) / stride))):
-        below = levels[-1].where("left > 1 and leads_to is not null")
-        up = below.select("tree", F.col("parent.place").alias("place"), F.col("left").alias("size"), F.col("leads_to").alias("hash"), F.lit(None).cast("string").alias("item"))
-        levels.append(stored(_linked(up, k * stride, stride, top), "merkle-level"))
-        done = done.unionByName(levels[-1].where("left = 1 and leads_to is not null").select("tree", F.col("leads_to").alias("hash")))
-    return levels[0], levels[1:], done
+def _built(rows: DataFrame, stride: int, top: bool) -> tuple[list[DataFrame], DataFrame]:
+    """The linked rows of all levels, and (tree, hash) of what remains of each tree."""
+    most = rows.agg(F.max("size")).first()[0] or 1
+    levels = []
+    for k in range(max(1, math.ceil((most - 1).bit_length() / stride))):
+        if k:
+            below = levels[-1].where("left > 1 and leads_to is not null")
+            rows = below.select("tree", F.col("block").alias("place"), F.col("left").alias("size"), F.col("leads_to").alias("hash"), F.lit(None).cast("string").alias("item"))
+        levels.append(stored(_linked(rows, k * stride, stride, top), "merkle-level"))
+    done = [x.where("left = 1 and leads_to is not null").select("tree", F.col("leads_to").alias("hash")) for x in levels]
+    return levels, functools.reduce(DataFrame.unionByName, done)
 
 
 def merkle_manifest(rows: DataFrame, leaf: Column, id_col: str, group_col: str, item: Column, stride: int = STRIDE) -> Manifest:
     """The tree of ``rows``, ordered by ``id_col`` within ``group_col``; ``item`` travels with each leaf."""
     tree = F.coalesce(F.concat(F.lit("="), F.col(group_col).cast("string")), F.lit(""))
-    own = stored(rows.select(tree.alias("tree"), F.col(id_col).alias("_id"), leaf.alias("hash"), item.alias("item")), "merkle-leaves")
-    leaves, nodes, subroots = _built(_placed(own, ["_id", "hash"]).drop("_id"), stride, top=False)
+    own = stored(rows.select(tree.alias("tree"), F.col(id_col).alias("_id"), F.unhex(leaf).alias("hash"), item.alias("item")), "merkle-leaves")
+    (leaves, *nodes), subroots = _built(_placed(own, ["_id", "hash"]).drop("_id"), stride, top=False)
     # The subroots are the leaves of the tree over the groups; each is found by its group's name.
     groups = _placed(subroots.select(F.lit(TOP).alias("tree"), F.col("tree").alias("item"), "hash"), ["item"])
-    lowest, higher, last = _built(groups, stride, top=True)
+    (lowest, *higher), last = _built(groups, stride, top=True)
     root = last.first()
-    kept = ["tree", "level", "place", "way", "hash", "siblings", "parent"]
-    way = F.col("place").alias("way")
-    entries = lowest.select(F.col("item").alias("tree"), F.lit(-1).alias("level"), F.lit(0).cast("long").alias("place"), way, "hash", "siblings", "parent")
-    for more in nodes + higher:
-        entries = entries.unionByName(more.withColumn("way", F.col("place")).select(*kept))
-    return Manifest(leaves, stored(entries, "merkle-nodes"), root["hash"] if root else None, len(nodes) + 1 + len(higher))
+    kept = ["node", "way", "siblings", "parent", "subroot"]
+    over = lowest.select(F.col("item").alias("tree"), F.col("place").alias("way"), "siblings", "parent", F.col("hash").alias("subroot"))
+    entries = over.withColumn("node", _node(None, None)).select(*kept)
+    none = F.lit(None).cast("binary").alias("subroot")
+    for k, more in enumerate(nodes, 1):
+        more = more.withColumn("node", _node(k * stride, F.col("place")))
+        entries = entries.unionByName(more.where("left > 1").select("node", F.col("place").alias("way"), "siblings", "parent", none))
+        # Where a group's tree ends, the way goes on at once in the tree over the groups.
+        o = over.select("tree", *[F.col(c).alias(f"o_{c}") for c in over.columns if c != "tree"])
+        through = more.where("left = 1").join(o, "tree")
+        way = F.col("place") + F.col("o_way") * F.pow(F.lit(2.0), "steps").cast("long")
+        entries = entries.unionByName(through.select("node", way.alias("way"), F.concat("siblings", "o_siblings").alias("siblings"), F.col("o_parent").alias("parent"), F.col("o_subroot").alias("subroot")))
+    for k, more in enumerate(higher, 1):
+        entries = entries.unionByName(more.select(_node(k * stride, F.col("place")).alias("node"), F.col("place").alias("way"), "siblings", "parent", none))
+    return Manifest(leaves, stored(entries, "merkle-nodes"), digest_text(root), len(nodes) + 1 + len(higher))
+
+
+def digest_text(row) -> str | None:
+    return bytes(row["hash"]).hex() if row else None
 
 
 def _folded(start: str, siblings: str, way: str) -> str:
     return f"""if(size({siblings}) = 0, {start}, aggregate(sequence(0, size({siblings}) - 1), {start}, (h, k) ->
-        sha2(case when get({siblings}, k) is null then h when (shiftright({way}, k) & 1) = 0 then concat(h, get({siblings}, k)) else concat(get({siblings}, k), h) end, 256)))"""
+        unhex(sha2(lower(case when get({siblings}, k) is null then hex(h) when (shiftright({way}, k) & 1) = 0
+                   then concat(hex(h), hex(get({siblings}, k))) else concat(hex(get({siblings}, k)), hex(h)) end), 256))))"""
+
+
+_JOINED = "aggregate({0}, cast('' as binary), (a, s) -> concat(a, coalesce(s, cast('' as binary))))"
 
 
-def climbed(manifest: Manifest, claimed: Column) -> DataFrame:
-    """For each leaf: item, leaf, subroot, proof (the siblings' digests as bytes, lowest first) and folded, the root that ``claimed`` leads to.
+def climbed(manifest: Manifest, claimed: Column, shown: list[str]) -> DataFrame:
+    """``shown`` for each leaf, expressions over: item, leaf, subroot, proof (the siblings' digests, lowest first) and folded,
+    the root that ``claimed`` leads to; digests are bytes.
 
     ``claimed``: the leaf to fold, an expression over item and hash.
     """
@@ -139,12 +166,12 @@ def climbed(manifest: Manifest, claimed: Column) -> DataFrame:
     leaves = manifest.leaves.withColumn("claimed", claimed)
     recursive = f"""
         WITH RECURSIVE climb(item, leaf, subroot, folded, proof, parent) MAX RECURSION LEVEL {manifest.steps + 1} AS (
-            SELECT item, hash, cast(null AS string), {_folded("claimed", "siblings", "place")}, unhex(array_join(siblings, '')), parent FROM {{leaves}}
+            SELECT item, hash, cast(null AS binary), {_folded("claimed", "siblings", "place")}, {_JOINED.format("siblings")}, parent FROM {{leaves}}
             UNION ALL
-            SELECT c.item, c.leaf, if(n.level = -1, n.hash, c.subroot), {_folded("c.folded", "n.siblings", "n.way")},
-                   concat(c.proof, unhex(array_join(n.siblings, ''))), n.parent
-            FROM climb c JOIN {{nodes}} n ON c.parent.tree = n.tree AND c.parent.level = n.level AND c.parent.place = n.place)
-        SELECT item, leaf, subroot, proof, folded FROM climb WHERE parent IS NULL"""
+            SELECT c.item, c.leaf, coalesce(n.subroot, c.subroot), {_folded("c.folded", "n.siblings", "n.way")},
+                   concat(c.proof, {_JOINED.format("n.siblings")}), n.parent
+            FROM climb c JOIN {{nodes}} n ON c.parent = n.node)
+        SELECT {", ".join(shown)} FROM climb WHERE parent IS NULL"""
     # The limit on rows of a recursion guards against endless ones; this one ends at the root.
     limit = spark.conf.get("spark.sql.cteRecursionRowLimit")
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
@@ -206,11 +233,12 @@ def op13(spark, sf_dir) -> DataFrame:
     values = {f: F.col(f) for f in FIELDS}
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     more = values | {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
-    changed = F.when(tampered, leaf_hash(list(more.values())))
+    changed = F.when(tampered, F.unhex(leaf_hash(list(more.values()))))
     manifest = merkle_manifest(docs, leaf_hash(list(values.values())), "doc_id", "lang", F.struct("doc_id", changed.alias("changed")))
-    out = climbed(manifest, F.coalesce("item.changed", "hash"))
+    shown = ["item.doc_id", "leaf", "subroot", "unhex(sha2(lower(hex(proof)), 256)) AS proof", "folded"]
+    out = climbed(manifest, F.coalesce("item.changed", "hash"), shown)
     root = F.lit(manifest.root).cast("string")
     return out.select(
-        F.col("item.doc_id").alias("doc_id"), "leaf", "subroot", root.alias("root"), F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"),
-        F.col("folded").alias("folded_root"), (F.col("folded") == root).alias("verified"),
+        "doc_id", digits(F.col("leaf")).alias("leaf"), digits(F.col("subroot")).alias("subroot"), root.alias("root"), digits(F.col("proof")).alias("proof_sha256"),
+        digits(F.col("folded")).alias("folded_root"), (digits(F.col("folded")) == root).alias("verified"),
     )
