@@ -11,7 +11,7 @@ end all bytes still left are equally likely. Before its first byte a text has li
 Level L of the trie is a table of byte strings of length L with their counts. A row
 needs the counts of its context (at most 256 rows share one) and the row without its
 first byte (at most 256 rows share that): one window and one join a level, without
-hot keys at any size. Texts are dealt into blocks of some megabytes. A block asks for
+hot keys at any size. Texts are dealt into blocks of up to 64 MB. A block asks for
 each of its distinct windows and words once, and the answers come back to it; so the
 model is never sent to anyone, and what is shuffled follows the distinct windows of
 blocks, not the length of the texts. Long texts are cut between words into pieces
@@ -27,11 +27,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -42,10 +40,12 @@ from .registry import query, table
 from .storage import stored
 
 ORDER = 5
-BLOCK = 16 << 20  # bytes of a block
+BLOCK = 64 << 20  # bytes of a block
+CHUNK = 4 << 20  # bytes of it held open at once
 PART = 4 << 20  # bytes of a text split at once
 LONG_WORD = 32
 START = b"\n" * ORDER
+WORD = 1 << 48  # the answer for a word has its number in the block above this, which no window reaches
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 _BLOCKS = "kind int, block long, w long, n long, word binary, bytes binary, row array<long>, id array<long>, known_id array<boolean>, learn array<boolean>, size array<long>, last array<boolean>"
@@ -93,59 +93,93 @@ def windows(buffer: bytes, size: np.ndarray) -> np.ndarray:
     return w
 
 
-def _block(number: int, held: list[tuple]):
-    """The rows of one block: its texts, then its distinct windows and words with their counts in learning texts."""
-    size = np.array([len(p[5]) for p in held], np.int64)
-    buffer = b"".join(p[4] + p[5] for p in held)
-    learn = np.array([p[3] for p in held], bool)
-
-    def rows(kind, count, **columns):
-        arrays = {"kind": pa.array(np.full(count, kind, np.int32)), "block": pa.array(np.full(count, number, np.int64))} | columns
-        return pa.RecordBatch.from_arrays([arrays.get(f.name, pa.nulls(count, f.type)) for f in _SCHEMA], schema=_SCHEMA)
-
-    yield rows(
-        PAYLOAD, 1, bytes=pa.array([zstandard.ZstdCompressor().compress(buffer)], pa.binary()), size=pa.array([size], pa.list_(pa.int64())),
-        **{name: pa.array([[p[i] for p in held]], _SCHEMA.field(name).type) for i, name in enumerate(["row", "id", "known_id", "learn"])}, last=pa.array([[p[6] for p in held]], pa.list_(pa.bool_())),
-    )
-    counts = Counter()
-    for p in held:
-        if p[3]:
-            counts.update(p[5].split())
-    others = set()
-    for p in held:
-        if not p[3]:
-            others.update(p[5].split())
-    words = list(counts) + [x for x in others if x not in counts]
-    for lo in range(0, len(words), 1 << 16):
-        some = words[lo : lo + (1 << 16)]
-        yield rows(WORDS, len(some), word=pa.array([word_key(x) for x in some], pa.binary()), n=pa.array([counts[x] for x in some], pa.int64()))
-    del counts, others, words
-    w = windows(buffer, size)
-    of = np.repeat(learn, size)
-    seen, n = np.unique(w[of], return_counts=True)
-    other = np.unique(w[~of])
-    other = other[~np.isin(other, seen, assume_unique=True)]
-    del w, of
-    w, n = np.concatenate([seen, other]), np.concatenate([n, np.zeros(len(other), np.int64)])
-    for lo in range(0, len(w), 1 << 17):
-        yield rows(WINDOWS, len(w[lo : lo + (1 << 17)]), w=pa.array(w[lo : lo + (1 << 17)]), n=pa.array(n[lo : lo + (1 << 17)], pa.int64()))
+def _rows(kind: int, block: int, count: int, **columns) -> pa.RecordBatch:
+    arrays = {"kind": pa.array(np.full(count, kind, np.int32)), "block": pa.array(np.full(count, block, np.int64))} | columns
+    return pa.RecordBatch.from_arrays([arrays.get(f.name, pa.nulls(count, f.type)) for f in _SCHEMA], schema=_SCHEMA)
+
+
+def _word_numbers(piece: bytes, numbers: dict[bytes, int]) -> list[int]:
+    """The numbers of a piece's words in the order in which the block meets them."""
+    number = numbers.setdefault
+    return [number(x, len(numbers)) for x in piece.split()]
+
+
+def _added(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows and their counts from two such lists."""
+    w, n = np.concatenate([one[0], other[0]]), np.concatenate([one[1], other[1]])
+    order = np.argsort(w, kind="stable")
+    w, n = w[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.empty(0, np.int64)
+    return w[first], np.add.reduceat(n, first) if len(first) else n
+
+
+class Block:
+    """Texts that ask together: chunks of pieces go out as they fill, then the distinct windows and words with their counts in learning texts."""
+
+    def __init__(self, number: int):
+        self.number, self.chunks, self.used = number, 0, 0
+        self.numbers: dict[bytes, int] = {}
+        self.learned = np.zeros(1 << 16, np.int64)
+        none = (np.empty(0, np.int64), np.empty(0, np.int64))
+        self.windows, self.waiting = none, none
+
+    def chunk(self, held: list[tuple]) -> pa.RecordBatch:
+        """The row of one chunk; ``held``: (row, id, has an id, learn, context, piece, last)."""
+        size = np.array([len(p[5]) for p in held], np.int64)
+        buffer = b"".join(p[4] + p[5] for p in held)
+        for p in held:
+            words = _word_numbers(p[5], self.numbers)
+            if len(self.numbers) > len(self.learned):
+                self.learned = np.concatenate([self.learned, np.zeros(2 * len(self.numbers) - len(self.learned), np.int64)])
+            if p[3] and words:
+                np.add.at(self.learned, words, 1)
+        w = windows(buffer, size)
+        of = np.repeat(np.array([p[3] for p in held], bool), size)
+        other = np.unique(w[~of])
+        self.waiting = _added(self.waiting, _added(np.unique(w[of], return_counts=True), (other, np.zeros(len(other), np.int64))))
+        if len(self.waiting[0]) > len(self.windows[0]):
+            self.windows, self.waiting = _added(self.windows, self.waiting), (self.waiting[0][:0], self.waiting[1][:0])
+        self.chunks, self.used = self.chunks + 1, self.used + len(buffer)
+        names = {"row": 0, "id": 1, "known_id": 2, "learn": 3, "last": 6}
+        return _rows(
+            PAYLOAD, self.number, 1, n=pa.array([self.chunks]), bytes=pa.array([zstandard.ZstdCompressor(6).compress(buffer)], pa.binary()), size=pa.array([size], pa.list_(pa.int64())),
+            **{name: pa.array([[p[i] for p in held]], _SCHEMA.field(name).type) for name, i in names.items()},
+        )
+
+    def asked(self):
+        words = list(self.numbers)
+        for lo in range(0, len(words), 1 << 16):
+            some = words[lo : lo + (1 << 16)]
+            numbers = np.arange(lo, lo + len(some))
+            yield _rows(WORDS, self.number, len(some), w=pa.array(numbers), n=pa.array(self.learned[numbers]), word=pa.array([word_key(x) for x in some], pa.binary()))
+        del words
+        self.numbers = {}
+        w, n = _added(self.windows, self.waiting)
+        for lo in range(0, len(w), 1 << 17):
+            yield _rows(WINDOWS, self.number, len(w[lo : lo + (1 << 17)]), w=pa.array(w[lo : lo + (1 << 17)]), n=pa.array(n[lo : lo + (1 << 17)], pa.int64()))
 
 
 def _dealt(batches):
     """Blocks of the texts that a task reads."""
-    task, row, block, held, used = TaskContext.get().partitionId() << 40, 0, 0, [], 0
+    task, row, held, used = TaskContext.get().partitionId() << 40, 0, [], 0
+    block = Block(task)
     for batch in batches:
         for name, text, learn in zip(batch.column("_id"), batch.column("_text"), batch.column("_learn")):
             name, text = name.as_py(), (text.as_py() or "").encode()
             for context, piece, last in pieces(text):
                 held.append((task | row, name or 0, name is not None, learn.as_py(), context, piece, last))
                 used += len(piece) + ORDER
-                if used >= BLOCK:
-                    yield from _block(task | block, held)
-                    block, held, used = block + 1, [], 0
+                if used >= CHUNK:
+                    yield block.chunk(held)
+                    held, used = [], 0
+                    if block.used >= BLOCK:
+                        yield from block.asked()
+                        block = Block(block.number + 1)
             row += 1
     if held:
-        yield from _block(task | block, held)
+        yield block.chunk(held)
+    if block.chunks:
+        yield from block.asked()
 
 
 def byte_levels(counted: DataFrame) -> DataFrame:
@@ -182,32 +216,70 @@ def _first(skip: str) -> Column:
     return F.when(F.col("c") > 0, F.log10((2 * F.col("c") - 1) / (2 * F.col("t")))).otherwise(F.log10(F.col("d") / (2 * F.col("t"))) + F.col(skip))
 
 
-def _summed(end_score: float, end_known: int):
-    """Sums of a block's pieces from its texts and the answers for its windows and words."""
+class Answers:
+    """Answers by window: a table of twice to four times as many places, tried from the window's hash on."""
 
-    def add(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        payload = {c: texts.column(c)[0].as_py() for c in ("row", "id", "known_id", "learn", "last")}
-        size = np.array(texts.column("size")[0].as_py(), np.int64)
-        buffer = zstandard.ZstdDecompressor().decompress(texts.column("bytes")[0].as_py())
-        is_word = answers.column("word").is_valid()
-        some = answers.filter(is_word)
-        base = dict(zip(some.column("word").to_pylist(), zip(some.column("answer").to_pylist(), some.column("known").to_pylist())))
-        answers = answers.filter(pc.invert(is_word)).select(["w", "answer"])
+    def __init__(self, w: np.ndarray, answer: np.ndarray):
+        self.bits = max(4, int(2 * len(w)).bit_length())
+        self.at = np.full(1 << self.bits, -1, np.int64)
+        self.w, self.answer = np.append(w, -1), np.append(answer, 0.0)
+        left, place = np.arange(len(w)), self._place(w)
+        while len(left):
+            free = self.at[place] < 0
+            self.at[place[free]] = left[free]  # of several one stays
+            lost = self.at[place] != left
+            left, place = left[lost], (place[lost] + 1) & ((1 << self.bits) - 1)
+
+    def _place(self, w: np.ndarray) -> np.ndarray:
+        return ((w.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, w: np.ndarray) -> np.ndarray:
+        """Every window has an answer."""
+        place = self._place(w)
+        found = self.at[place]
+        wrong = np.flatnonzero(self.w[found] != w)
+        while len(wrong):
+            place[wrong] = (place[wrong] + 1) & ((1 << self.bits) - 1)
+            found[wrong] = self.at[place[wrong]]
+            wrong = wrong[self.w[found[wrong]] != w[wrong]]
+        return self.answer[found]
+
+
+def _summed(total: int, kinds: int, ends: int):
+    """Sums of a block's pieces from its texts and the answers for its windows and words.
+
+    ``total``, ``kinds`` and ``ends``: tokens, distinct tokens and ends among the learning tokens.
+    """
+
+    def base(c):
+        return np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
+
+    def add(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         w, answer = (answers.column(c).to_numpy() for c in ("w", "answer"))
         order = np.argsort(w, kind="stable")
         w, answer = w[order], answer[order]
-        score = np.add.reduceat(answer[np.searchsorted(w, windows(buffer, size))], np.concatenate([[0], np.cumsum(size[:-1])]))
-        tokens, known, sums, at = [], [], [], 0
-        for length, last in zip(size.tolist(), payload["last"]):
-            met = [base[word_key(x)] for x in buffer[at + ORDER : at + ORDER + length].split()]
-            at += ORDER + length
-            tokens.append(len(met) + last)
-            known.append(sum(k for _, k in met) + (end_known if last else 0))
-            sums.append(sum(s for s, _ in met) + (end_score if last else 0.0))
-        return pa.table({
-            "row": pa.array(payload["row"], pa.int64()), "id": pa.array(payload["id"], pa.int64()), "known_id": pa.array(payload["known_id"], pa.bool_()), "learn": pa.array(payload["learn"], pa.bool_()),
-            "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(sums, pa.float64()), "score": pa.array(score, pa.float64()),
-        })
+        first_word = np.searchsorted(w, WORD)
+        counts = answer[first_word:]  # by the number of the word
+        of_word = base(counts)
+        answered = Answers(w[:first_word], answer[:first_word])
+        numbers: dict[bytes, int] = {}
+        parts = []
+        for at in np.argsort(chunks.column("n").to_numpy()).tolist():
+            row, name, known_id, learn, last, size = (chunks.column(c)[at].as_py() for c in ("row", "id", "known_id", "learn", "last", "size"))
+            buffer = zstandard.ZstdDecompressor().decompress(chunks.column("bytes")[at].as_py())
+            score = np.add.reduceat(answered.of(windows(buffer, np.array(size))), np.concatenate([[0], np.cumsum(size[:-1])]).astype(np.int64))
+            tokens, known, sums, lo = [], [], [], 0
+            for length, end in zip(size, last):
+                words = np.array(_word_numbers(buffer[lo + ORDER : lo + ORDER + length], numbers), np.int64)
+                lo += ORDER + length
+                tokens.append(len(words) + end)
+                known.append(int(np.count_nonzero(counts[words])) + (end and ends > 0))
+                sums.append(float(of_word[words].sum()) + (float(base(ends)) if end else 0.0))
+            parts.append(pa.table({
+                "row": pa.array(row, pa.int64()), "id": pa.array(name, pa.int64()), "known_id": pa.array(known_id, pa.bool_()), "learn": pa.array(learn, pa.bool_()),
+                "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(sums, pa.float64()), "score": pa.array(score, pa.float64()),
+            }))
+        return pa.concat_tables(parts)
 
     return add
 
@@ -217,22 +289,18 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     frequencies of tokens) and score (log10 probability by the trie) of each row; ``learn`` marks the rows to learn from."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), (F.coalesce(learn, F.lit(False)) & F.col(id_col).isNotNull()).alias("_learn"))
     blocks = stored(rows.mapInArrow(_dealt, _BLOCKS), "ppm-blocks")
-    texts = blocks.where(f"kind = {PAYLOAD}").select(F.col("block").alias("of_block"), "bytes", "row", "id", "known_id", "learn", "size", "last")
+    texts = blocks.where(f"kind = {PAYLOAD}").select(F.col("block").alias("of_block"), "n", "bytes", "row", "id", "known_id", "learn", "size", "last")
     asked = blocks.where(f"kind = {WINDOWS}")
     start = byte_levels(stored(asked.groupBy("w").agg(F.sum("n").alias("c")), "ppm-counts"))
-    words = blocks.where(f"kind = {WORDS}")
-    counts = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "ppm-words")
+    # A word has a row in each block that holds it, so its blocks can be looked at together.
+    alike = W.partitionBy("word")
+    words = stored(blocks.where(f"kind = {WORDS}").select("block", "w", F.sum("n").over(alike).alias("c"), F.row_number().over(alike.orderBy("block")).alias("k")), "ppm-words")
+    met = words.where("k = 1 and c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     ends = texts.select(F.explode(F.arrays_zip("learn", "last")).alias("x")).where("x.learn and x.last").count()
-    met = counts.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, kinds = (met["n"] or 0) + ends, met["v"] + (ends > 0)
-
-    def base(c: Column) -> Column:
-        return F.log10((c + 0.5) / F.lit(total + 0.5 * (kinds + 1)))
-
-    answers = asked.join(start, "w").select("block", "w", F.lit(None).cast("binary").alias("word"), F.col("start").alias("answer"), F.lit(False).alias("known"))
-    answers = answers.unionByName(words.join(counts, "word").select("block", F.lit(None).cast("long").alias("w"), "word", base(F.col("c")).alias("answer"), (F.col("c") > 0).alias("known")))
-    end_score = float(np.log10((ends + 0.5) / (total + 0.5 * (kinds + 1))))
-    sums = texts.groupBy("of_block").cogroup(answers.groupBy("block")).applyInArrow(_summed(end_score, int(ends > 0)), _SUMS)
+    answers = asked.join(start, "w").select("block", "w", F.col("start").alias("answer"))
+    answers = answers.unionByName(words.select("block", (F.col("w") + WORD).alias("w"), F.col("c").cast("double").alias("answer")))
+    sums = texts.groupBy("of_block").cogroup(answers.groupBy("block")).applyInArrow(_summed(total, kinds, ends), _SUMS)
     whole = sums.groupBy("row").agg(
         F.first("id").alias("id"), F.first("known_id").alias("known_id"), F.first("learn").alias("learned"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     )
