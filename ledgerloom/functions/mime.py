@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules.extraction import TRUNCATION_MARK
-from .text import collapse_spaces, head, strip, text_or_empty
+from .text import collapse_spaces, head, let, strip, text_or_empty
 
 
 def b64url_text(data: Column) -> Column:
@@ -38,8 +40,7 @@ def truncated(text: Column, max_chars: int | None = None) -> Column:
     """Cut an over-long mail body and mark the cut; ``None`` keeps the whole text."""
     if max_chars is None:
         return text
-    cut = F.concat(head(text, max_chars), F.lit(TRUNCATION_MARK))
-    return F.when(F.length(text) > max_chars, cut).otherwise(text)
+    return let(text, lambda t: F.when(F.length(t) > max_chars, F.concat(head(t, max_chars), F.lit(TRUNCATION_MARK))).otherwise(t))
 
 
 def html_to_text_basic(html: Column, max_chars: int | None = None) -> Column:
@@ -48,33 +49,119 @@ def html_to_text_basic(html: Column, max_chars: int | None = None) -> Column:
     return text if max_chars is None else head(text, max_chars)
 
 
-# Rules of html_to_text in order: (regex, replacement). They approximate a DOM walk.
-HTML_RULES = (
-    (r"(?is)<!--.*?-->", ""),
-    (r"(?is)<(script|style|head|svg|noscript)\b[^>]*>.*?</\1\s*>", ""),
-    (r"(?i)<(?:meta|link|img)\b[^>]*>", ""),
-    (r"(?i)data:image/[a-z.+\-]+;base64,[A-Za-z0-9+/=]+", ""),
-    (r"(?i)\s*</t[dh]\s*>\s*<t[dh]\b[^>]*>\s*", " | "),
-    (r"(?i)</tr\s*>", "\n"),
-    (r"<[^>]+>", "\n"),
+# Parts of a page that are never read. The mark left behind is a tag, so the texts on both sides stay apart.
+MARK = "<_>"
+HTML_UNREAD = (
+    r"(?s)<!--.*?-->",
+    r"(?is)<(script|style|head|svg|noscript)\b[^>]*>.*?</\1\s*>",
+    r"(?i)<(?:meta|link|img)\b[^>]*>",
 )
-HTML_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+TAG = r"<(?:[/!?]|[A-Za-z_])[^>]*>"
+GRID_TAG = r"(?is)<(/?(?:table|tr|t[dh]))\b[^>]*>"
+ENCODED_TEXT = r"(?i)data:image|Content-Transfer-Encoding:\s*base64"
+LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
+ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;)"
+GRID_STEP = 64  # tags folded at once; appending to a list copies it, so short lists are made and put together
+
+
+def _entity(entity: Column) -> Column:
+    """The character that an entity stands for; unknown names stay as they are."""
+    names = F.expr(f"map_from_arrays(split('{' '.join(name2codepoint)}', ' '), cast(split('{' '.join(map(str, name2codepoint.values()))}', ' ') AS array<bigint>))")
+    digits = F.regexp_extract(entity, r"^&#[xX]?([0-9A-Fa-f]{1,8}?);?$", 1)
+    base = F.when(F.lower(entity).startswith("&#x"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("bigint")
+    point = F.when(entity.startswith("&#"), base).otherwise(F.try_element_at(names, F.regexp_replace(entity, "[&;]", "")))
+    char = lambda p: F.when(p.between(1, 0xD7FF) | p.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(p), 8, "0")), "UTF-32"))
+    return F.coalesce(let(point, char), F.when(entity.startswith("&#"), "").otherwise(entity))
+
+
+def decode_entities(text: Column) -> Column:
+    """Named and numeric entities to characters, each once: ``&amp;lt;`` becomes ``&lt;``."""
+    between = F.split(text, ENTITY, -1)
+    found = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), _entity)
+    put = F.zip_with(between, F.concat(found, F.array(F.lit(""))), lambda t, e: F.concat(t, e))
+    return F.when(text.contains("&"), F.array_join(put, "")).otherwise(text)
+
+
+def _texts(part: Column) -> Column:
+    """Decoded texts between the tags, without blocks of encoded data."""
+    return F.filter(F.transform(F.split(part, TAG), decode_entities), lambda t: ~t.rlike(ENCODED_TEXT))
+
+
+def _grid_text(html: Column) -> Column:
+    """Text of a page with tables: a walk over the table tags with a stack of what is open.
+
+    The stack is a text: t table, r row (R: has text), c cell (C: has text, N: a table
+    inside it has ended). A new row, cell or table end closes what it must.
+    """
+    parts, tags = F.split(html, GRID_TAG, -1), F.transform(F.regexp_extract_all(html, F.lit(GRID_TAG), F.lit(1)), F.lower)
+    row = F.struct(parts.alias("parts"), F.concat(tags, F.array(F.lit(""))).alias("tags"))
+
+    def shown(stack: Column, texts: Column, inside: Column) -> Column:
+        """What a text adds to the page; ``inside`` is it within a cell, '' outside of one."""
+        between = F.when(stack.endswith("C"), "").when(stack.endswith("N"), "\n").when(stack.endswith("Rc"), " | ").otherwise("\n")
+        return F.when(inside != "", F.concat(between, inside)).when(stack == "", F.concat(F.lit("\n"), F.array_join(texts, "\n"), F.lit("\n"))).otherwise("")
+
+    def moved(stack: Column, tag: Column) -> Column:
+        """The stack behind a tag."""
+        no_cell = F.regexp_replace(stack, "[cCN]$", "")
+        to_table = F.regexp_replace(stack, "[^t]+$", "")
+        outside = F.regexp_replace(F.regexp_replace(stack, "t[^t]*$", ""), "[cC]$", "N")
+        return (
+            F.when(tag == "table", F.concat(stack, F.lit("t")))
+            .when(stack == "", stack)
+            .when(tag == "/table", outside)
+            .when(tag == "tr", F.concat(to_table, F.lit("r")))
+            .when(tag == "/tr", to_table)
+            .when(tag.isin("td", "th"), F.concat(no_cell, F.when(no_cell.endswith("t"), "rc").otherwise("c")))
+            .when(tag.isin("/td", "/th"), no_cell)
+            .otherwise(stack)
+        )
+
+    def step(state: Column, k: Column, row: Column) -> Column:
+        stack = state["stack"]
+
+        def with_texts(texts: Column) -> Column:
+            inside = F.when(stack.rlike("[cCN]$"), F.array_join(F.transform(texts, strip), "")).otherwise("")
+            return let(inside, lambda i: with_inside(texts, i))
+
+        def with_inside(texts: Column, inside: Column) -> Column:
+            after = F.when(inside != "", F.regexp_replace(stack, "[rR][cCN]$", "RC")).otherwise(stack)
+            behind = let(after, lambda a: moved(a, F.get(row["tags"], k)))
+            return F.struct(behind.alias("stack"), F.concat(state["shown"], F.array(shown(stack, texts, inside))).alias("shown"))
+
+        return let(_texts(F.get(row["parts"], k)), with_texts)
+
+    none = F.array().cast("array<string>")
+
+    def steps(state: Column, k: Column, row: Column) -> Column:
+        last = F.least(F.size(row["parts"]), (k + 1) * GRID_STEP) - 1
+        start = F.struct(state["stack"].alias("stack"), none.alias("shown"))
+        read_some = F.aggregate(F.sequence(k * GRID_STEP, last), start, lambda s, i: step(s, i, row))
+        return let(read_some, lambda r: F.struct(r["stack"].alias("stack"), F.concat(state["shown"], F.array(F.array_join(r["shown"], ""))).alias("shown")))
+
+    def walk(row: Column) -> Column:
+        groups = F.sequence(F.lit(0), F.floor((F.size(row["parts"]) - 1) / GRID_STEP).cast("int"))
+        start = F.struct(F.lit("").alias("stack"), none.alias("shown"))
+        return F.aggregate(groups, start, lambda s, k: steps(s, k, row), lambda s: F.array_join(s["shown"], ""))
+
+    return let(row, walk)
 
 
 def html_to_text(html: Column, max_chars: int | None = None) -> Column:
     """Readable lines of an HTML page.
 
-    Comments, script, style, head, svg, noscript, meta, link, img and inline
-    base64 images go; cells of a table row are joined by ' | '; every other tag
-    ends a line; the common entities are decoded; lines are trimmed and empty
-    ones dropped; the result is cut at ``max_chars`` with a marker.
+    Comments, script, style, head, svg, noscript, meta, link and img go, and texts
+    that hold encoded images or attachments. Every tag ends a line, but for those in
+    a table cell, whose texts are put together; the cells of a row that have text are
+    joined by ' | '. A table inside a cell is read as rows of its own. Named and
+    numeric entities are decoded; lines are trimmed and empty ones dropped; the
+    result is cut at ``max_chars`` with a marker.
     """
-    text = html
-    for regex, replacement in HTML_RULES:
-        text = F.regexp_replace(text, regex, replacement)
-    for entity, char in HTML_ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    lines = F.transform(F.split(text, "\n"), strip)
+    read = html
+    for regex in HTML_UNREAD:
+        read = F.regexp_replace(read, regex, MARK)
+    text = let(read, lambda r: F.when(r.rlike(r"(?i)<t[dh]\b"), _grid_text(r)).otherwise(F.array_join(_texts(r), "\n")))
+    lines = F.transform(F.split(text, LINE_END), strip)
     joined = F.array_join(F.filter(lines, lambda line: line != ""), "\n")
     return truncated(joined, max_chars)
 
@@ -118,3 +205,67 @@ def mime_text(payload: Column, depth: int, max_chars: int | None = None) -> Colu
         ),
     )
     return F.coalesce(body, walked, F.lit(""))
+
+
+PART = "mimeType string, body struct<data:string>, parts array<string>"
+
+
+def mime_text_of_json(payload: Column, max_chars: int | None = None) -> Column:
+    """``mime_text`` of a payload given as JSON text, nested to any depth.
+
+    A walk with a stack of the multiparts that are open: each holds the parts that
+    are still to be read, as JSON texts, and what was found in it. A closed one
+    hands its text to the one around it. Every part and every multipart takes one
+    step, and neither is without a brace, so the braces bound the steps.
+    """
+    parse = lambda text: F.from_json(text, PART)
+    text_of = lambda data: F.when(text_or_empty(data) != "", b64url_text(data))
+    no_parts = F.array().cast("array<string>")
+
+    def single(p: Column) -> Column:
+        """The text of a part by itself; a multipart that has one is not opened."""
+        text = text_of(p["body"]["data"])
+        return F.when(p["mimeType"] == "text/plain", truncated(text, max_chars)).when(p["mimeType"] == "text/html", html_to_text(text, max_chars))
+
+    def frame(rest: Column, plain: Column, html: Column) -> Column:
+        return F.struct(rest.alias("rest"), plain.alias("plain"), html.alias("html"))
+
+    def found(f: Column) -> Column:
+        return F.when(f["plain"] != "", truncated(f["plain"], max_chars)).otherwise(html_to_text(f["html"], max_chars))
+
+    def with_part(f: Column, p: Column) -> Column:
+        """The frame after its next part ``p``: the last plain or HTML sibling wins."""
+        text = text_of(p["body"]["data"])
+        plain = F.when((p["mimeType"] == "text/plain") & text.isNotNull(), text).otherwise(f["plain"])
+        html = F.when((p["mimeType"] == "text/html") & text.isNotNull(), text).otherwise(f["html"])
+        return frame(F.slice(f["rest"], F.lit(2), F.greatest(F.size(f["rest"]), F.lit(1))), plain, html)
+
+    def step(stack: Column, _: Column) -> Column:
+        top = F.get(stack, F.size(stack) - 1)
+        below = F.slice(stack, F.lit(1), F.size(stack) - 1)
+        # The last multipart stays on the stack when it is done; its text is taken at the end.
+        outer = F.get(below, F.size(below) - 1)
+        filled = frame(outer["rest"], F.when(outer["plain"] == "", found(top)).otherwise(outer["plain"]), outer["html"])
+        closed = F.concat(F.slice(below, F.lit(1), F.size(below) - 1), F.array(filled))
+
+        def read(p: Column) -> Column:
+            inner = F.coalesce(p["parts"], no_parts)
+            return let(F.struct(with_part(top, p).alias("after"), F.when(F.size(inner) > 0, single(p)).alias("alone"), inner.alias("inner")), grown)
+
+        def grown(x: Column) -> Column:
+            after = x["after"]
+            filled = frame(after["rest"], F.when(after["plain"] == "", F.coalesce(x["alone"], F.lit(""))).otherwise(after["plain"]), after["html"])
+            own = F.concat(below, F.array(filled))
+            opens = (F.size(x["inner"]) > 0) & x["alone"].isNull()
+            return F.when(opens, F.concat(own, F.array(frame(x["inner"], F.lit(""), F.lit(""))))).otherwise(own)
+
+        opened = let(parse(F.get(top["rest"], 0)), read)
+        return F.when(F.size(top["rest"]) > 0, opened).when(F.size(stack) > 1, closed).otherwise(stack)
+
+    def body(p: Column) -> Column:
+        braces = F.length(payload) - F.length(F.replace(payload, F.lit("{"), F.lit("")))
+        start = F.array(frame(F.coalesce(p["parts"], no_parts), F.lit(""), F.lit("")))
+        walked = F.aggregate(F.sequence(F.lit(1), F.greatest(2 * braces, F.lit(1))), start, step, lambda stack: found(stack[0]))
+        return F.coalesce(single(p), walked, F.lit(""))
+
+    return let(parse(payload), body)

@@ -4,24 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from ..operators.redact import CARD_NUMBER, replaced
 from ..rules import categories, extraction, injection, pii
 from .text import IGNORE_CASE, quoted_alternation, sql_literal
 
 
 def _redact(expression: str) -> str:
-    for p in pii.PATTERNS + pii.LEAKS:
-        expression = f"regexp_replace({expression}, {sql_literal(p.regex)}, '{p.replacement}')"
+    """All three passes, stage by stage as in ``operators.redact``; a stage that reads its text more than once is given it by name."""
+    for p in pii.PATTERNS + pii.ENTITIES + pii.LEAKS:
+        if p.name == CARD_NUMBER or p.skip_spans:
+            expression = f"transform(array({expression}), whole -> {replaced('whole', p)})[0]"
+        else:
+            expression = replaced(expression, p)
     return f"coalesce({expression}, '{pii.REDACTION_ERROR}')"
 
 
 def _risk() -> str:
-    regexes = dict(injection.PATTERNS)
-
-    def any_of(names: tuple[str, ...]) -> str:
-        tests = [f"x RLIKE {sql_literal(IGNORE_CASE + regexes[n])}" for n in names if n in regexes]
-        return " OR ".join(tests)
-
-    return f"CASE WHEN {any_of(injection.HIGH_RISK)} THEN 'high' WHEN {any_of(injection.MEDIUM_RISK)} THEN 'medium' ELSE 'none' END"
+    tests = {name: f"x RLIKE {sql_literal(IGNORE_CASE + regex)}" for name, regex in injection.PATTERNS}
+    words = lambda text, listed: f"{text} RLIKE {sql_literal(quoted_alternation(listed))}"
+    order = " AND ".join(words("d", listed) for listed in (injection.PAYLOAD_KEYWORDS, injection.PAYLOAD_COMMANDS, injection.PAYLOAD_TARGETS))
+    runs = f"filter(regexp_extract_all(x, {sql_literal(injection.BASE64_RUN)}, 0), r -> length(r) % 4 = 0)"
+    decoded = f"transform({runs}, r -> lower(make_valid_utf8(cast(try_to_binary(r, 'base64') AS string))))"
+    tests[injection.BASE64] = f"(NOT {words('x', injection.MIME_MARKS)} AND exists({decoded}, d -> coalesce({order}, false)))"
+    any_of = lambda names: " OR ".join(tests[n] for n in names) or "false"
+    rest = [n for n in tests if n not in injection.HIGH_RISK + injection.MEDIUM_RISK]
+    return f"CASE WHEN {any_of(injection.HIGH_RISK)} THEN 'high' WHEN {any_of(injection.MEDIUM_RISK)} THEN 'medium' WHEN {any_of(rest)} THEN 'low' ELSE 'none' END"
 
 
 def _category() -> str:
@@ -44,11 +51,7 @@ def _payment() -> str:
 
 
 def register(spark: SparkSession) -> None:
-    """Create redact_text, injection_risk, category_of and payment_method in this session.
-
-    ``injection_risk`` covers the named patterns; the encoded-payload test is
-    part of ``operators.injection.injection_scan``.
-    """
+    """Create redact_text, injection_risk, category_of and payment_method in this session."""
     definitions = {
         "redact_text(x STRING)": _redact("x"),
         "injection_risk(x STRING)": _risk(),

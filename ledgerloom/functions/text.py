@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 IGNORE_CASE = "(?iUd)"  # ignore case, Unicode classes, "." stops only at \n
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once and written once into the expression."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def quoted_alternation(words: Iterable[str]) -> str:
     """Regex that matches any of the words literally."""
     return "|".join(rf"\Q{w}\E" for w in words)

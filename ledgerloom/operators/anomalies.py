@@ -30,12 +30,26 @@ def anomaly_rows(
     )
 
 
+TIED_ROWS = 1 << 16  # numbers of rows of one date that are summed together
+
+
+def date_blocks(unit: str, date: Column, seq: Column) -> Column:
+    """Blocks that never decrease along (date, seq): a unit of time, and parts of it where dates stand at its start.
+
+    Dates without a time of day all stand at the start of their unit; they are cut
+    by ``seq``, so that one merchant's day is many blocks. Later dates of the unit follow as one.
+    """
+    start = F.date_trunc(unit, date)
+    tied = date.eqNullSafe(start.cast("timestamp_ntz"))
+    return F.struct(start.alias("start"), (~tied).alias("inside"), F.when(tied, F.floor(seq / TIED_ROWS)).otherwise(0).alias("part"))
+
+
 def spikes(txn: DataFrame, factor: float = 3.0, block: str = "MINUTE") -> DataFrame:
     """Transactions above ``factor`` times the merchant's average so far.
 
     ``block`` is the time unit that cuts a merchant's rows for the running sums.
     """
-    blocks = txn.withColumn("_block_start", F.date_trunc(block, F.col("date")))
+    blocks = txn.withColumn("_block_start", date_blocks(block, F.col("date"), F.col("seq")))
     history = sums_before(blocks, ["merchant"], "_block_start", ["date", "seq"], "amount")
     average = F.col("sum_before") / F.col("rows_before")
     return (

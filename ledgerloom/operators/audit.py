@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import money
-from .shaping import computed_once
+from .shaping import computed_once, salted_join
 
 GENESIS = "GENESIS"
 SEGMENT = 4096
@@ -95,30 +95,40 @@ def heads(log: DataFrame) -> DataFrame:
     return log.groupBy(*CHAIN).agg(F.max_by("entry_hash", "seq").alias("head"))
 
 
-def append_chain(new: DataFrame, stored: DataFrame | None = None, segment: int = SEGMENT) -> DataFrame:
-    """Link new rows (chain_id, seq and the entry columns) after the stored segment heads.
+PIECE = 64  # hashes folded at once; appending to a list copies it, so short lists are made and put together
+
+
+def append_chain(new: DataFrame, ends: DataFrame | None = None, segment: int = SEGMENT) -> DataFrame:
+    """Link new rows (chain_id, seq and the entry columns) after ``ends``, the last state of each chain (``chain_ends``) or a whole log.
 
     Each segment is folded on its own: a bounded list of rows, all segments in
-    parallel. A row below the last stored number of its segment cannot be linked
-    in order: ``late_rows`` finds such rows before they are appended.
+    parallel. Only the last segment of a chain can go on, so the ends are all that
+    is read of the stored log. A row at or below the end of its chain cannot be
+    linked in order: ``late_rows`` finds such rows, ``auditlog.append_log`` refuses them.
     """
     rows = new.withColumn("segment", F.floor(F.col("seq") / F.lit(segment)))
     folded = rows.groupBy(*CHAIN).agg(F.array_sort(F.collect_list(F.struct("seq", *ENTRY))).alias("_rows"))
-    if stored is None:
+    if ends is None:
         folded = folded.withColumn("head", F.lit(GENESIS))
     else:
-        folded = folded.join(heads(stored), CHAIN, "left").withColumn("head", F.coalesce("head", F.lit(GENESIS)))
-    hashes = F.aggregate(
-        "_rows",
-        F.array("head"),
-        lambda acc, row: F.concat(acc, F.array(entry_hash(F.element_at(acc, -1), row))),
-    )
-    linked = computed_once(folded, [*CHAIN, "_rows"], {"_hashes": hashes})
+        if "entry_hash" in ends.columns:
+            ends = chain_ends(segment_states(ends))
+        folded = folded.join(ends.select(*CHAIN, "head"), CHAIN, "left").withColumn("head", F.coalesce("head", F.lit(GENESIS)))
+
+    def piece(state: Column, k: Column) -> Column:
+        rows = F.slice("_rows", k * PIECE + 1, F.lit(PIECE))
+        made = F.aggregate(rows, F.array(state["head"]), lambda acc, row: F.concat(acc, F.array(entry_hash(F.element_at(acc, -1), row))))
+        return F.struct(F.element_at(made, -1).alias("head"), F.concat(state["pieces"], F.array(made)).alias("pieces"))
+
+    start = F.struct(F.col("head").alias("head"), F.array().cast("array<array<string>>").alias("pieces"))
+    pieces = F.aggregate(F.sequence(F.lit(0), F.floor((F.size("_rows") - 1) / PIECE).cast("int")), start, piece, lambda state: state["pieces"])
+    linked = computed_once(folded, [*CHAIN, "_rows"], {"_hashes": pieces})
+    at = F.get("_hashes", F.floor(F.col("_at") / PIECE).cast("int"))
     return linked.select(*CHAIN, "_hashes", F.posexplode("_rows").alias("_at", "_row")).select(
         *CHAIN,
         "_row.*",
-        F.get("_hashes", F.col("_at") + 1).alias("entry_hash"),
-        F.get("_hashes", F.col("_at")).alias("previous_hash"),
+        F.get(at, F.col("_at") % PIECE + 1).alias("entry_hash"),
+        F.get(at, F.col("_at") % PIECE).alias("previous_hash"),
     )
 
 
@@ -141,11 +151,10 @@ def verify_chain(log: DataFrame) -> DataFrame:
     return chain_checks(log).agg(F.count("*").alias("entries"), bad.alias("broken"), (bad == 0).alias("is_valid"))
 
 
-def late_rows(new: DataFrame, stored: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """The new rows whose number is not above the last stored one of their segment."""
-    ends = stored.groupBy(*CHAIN).agg(F.max("seq").alias("_end"))
-    rows = new.withColumn("segment", F.floor(F.col("seq") / F.lit(segment)))
-    return rows.join(ends, CHAIN).where(F.col("seq") <= F.col("_end")).drop("_end", "segment")
+def late_rows(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """The new rows whose number is not above the last stored one of their chain."""
+    ends = stored.groupBy("chain_id").agg(F.max("seq").alias("_end"))
+    return salted_join(new, ends, ["chain_id"], "seq").where(F.col("seq") <= F.col("_end")).drop("_end")
 
 
 SEALED = ["first_seq", "last_seq", "entries", "head"]
@@ -158,11 +167,18 @@ def segment_states(log: DataFrame) -> DataFrame:
     )
 
 
+def chain_ends(states: DataFrame) -> DataFrame:
+    """The last state of every chain, from states of segments."""
+    last = F.max_by(F.struct("segment", *SEALED), F.struct("segment", "last_seq")).alias("_last")
+    return states.groupBy("chain_id").agg(last).select("chain_id", "_last.*")
+
+
 def seals(log: DataFrame) -> DataFrame:
     """The second level: one row for each segment of a chain, in order, each linked to the one before from 'GENESIS'.
 
-    A chain has a segment for thousands of entries, so its list of segments stays
-    short against its rows. Store the seals apart from the log.
+    For chains of some thousand segments, whose list is folded in one task;
+    ``auditlog`` keeps a tree over all segments of all chains instead. Store the
+    seals apart from the log.
     """
     listed = segment_states(log).groupBy("chain_id").agg(F.array_sort(F.collect_list(F.struct("segment", *SEALED))).alias("_rows"))
     seal = lambda acc, r: F.sha2(F.concat_ws("|", F.element_at(acc, -1), *[r[c].cast("string") for c in ("segment", *SEALED)]), 256)
@@ -228,8 +244,12 @@ def security_events(log: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     return log.where((F.col("level") == "CRITICAL") & _since(as_of, days))
 
 
-def audit_report(log: DataFrame, as_of: str, days: int = 7) -> DataFrame:
-    """One row: counters of the period, entries per action, state of the whole chain."""
+def audit_report(log: DataFrame, as_of: str, days: int = 7, state: DataFrame | None = None) -> DataFrame:
+    """One row: counters of the period, entries per action, state of the whole log.
+
+    ``state``: one row with ``is_valid`` (``auditlog.verify_log``, which also sees
+    what is missing); without it only the entries that are there are verified.
+    """
     period = log.where(_since(as_of, days))
     per_action = period.groupBy("action").agg(
         F.count("*").alias("n"),
@@ -248,15 +268,15 @@ def audit_report(log: DataFrame, as_of: str, days: int = 7) -> DataFrame:
         total(F.col("flags")).alias("total_security_flags"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("action", "n")))).alias("actions_breakdown"),
     )
-    state = verify_chain(log).select(F.col("is_valid").alias("chain_integrity"))
+    state = (verify_chain(log) if state is None else state).select(F.col("is_valid").alias("chain_integrity"))
     both = summary.unionByName(state, allowMissingColumns=True)
     return both.agg(F.lit(days).alias("period_days"), *[F.first(c, ignorenulls=True).alias(c) for c in both.columns])
 
 
-def integrity_report(log: DataFrame, leaks: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row: chain state, leaked fields, table counts as a map, verdict."""
+def integrity_report(log: DataFrame, leaks: DataFrame, counts: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """One row: state of the log (as in ``audit_report``), leaked fields, table counts as a map, verdict."""
     none = F.lit(None)
-    state = verify_chain(log).select("is_valid", none.cast("bigint").alias("leaks"), none.cast("map<string,bigint>").alias("tables"))
+    state = (verify_chain(log) if state is None else state).select("is_valid", none.cast("bigint").alias("leaks"), none.cast("map<string,bigint>").alias("tables"))
     leaked = leaks.agg(F.count("*").alias("leaks"))
     tables = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("table_name", "n_rows")))).alias("tables"))
     rows = state.unionByName(leaked, allowMissingColumns=True).unionByName(tables, allowMissingColumns=True)
@@ -264,15 +284,3 @@ def integrity_report(log: DataFrame, leaks: DataFrame, counts: DataFrame) -> Dat
     return joined.select(
         F.col("is_valid").alias("chain_valid"), "leaks", "tables", (F.col("is_valid") & (F.col("leaks") == 0)).alias("passed")
     )
-
-
-def append_audit(log: DataFrame, table_path: str, lines_path: str) -> None:
-    """Append to the Parquet table, then write the JSON lines from what was stored.
-
-    The second write reads the rows back by their segment and number, so both
-    copies hold the same entries even when an executor is lost in between.
-    """
-    log.write.mode("append").parquet(table_path)
-    stored = log.sparkSession.read.schema(log.schema).parquet(table_path)
-    added = stored.join(log.select("chain_id", "seq"), ["chain_id", "seq"], "left_semi")
-    added.write.mode("append").json(lines_path)

@@ -16,7 +16,8 @@ AMOUNT_STEP = 0.0099
 MICROS = HOURS * 3_600_000_000
 
 
-def _micros(date: Column) -> Column:
+def micros_of(date: Column) -> Column:
+    """Microseconds since 1970."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), date)
 
 
@@ -26,51 +27,125 @@ def _steps(value: Column, reach: Column, step: Column) -> Column:
 
 
 def _here() -> Column:
-    return F.struct("seq", "id", "amount", "micros")
+    return F.struct("seq", "id", "merchant", "amount", "micros")
 
 
-def _pairs(rows: DataFrame, cells: list[str], ask: Column, offer: Column, rare: bool = False) -> DataFrame:
-    """(latest offering row before it, asking row) in every cell both come near to.
+def _prepared(txn: DataFrame) -> DataFrame:
+    """Rows that can match, with the cells of amount and time they are in and near to."""
+    return (
+        txn.where((F.col("merchant") != "") & F.col("amount").isNotNull())
+        .select(
+            F.coalesce(F.lower("merchant"), F.lit("")).alias("key"), F.col("seq").cast("bigint").alias("seq"), "id", "merchant", "amount",
+            micros_of(F.col("date")).alias("micros"),
+        )
+        .withColumn("amount_own", F.floor(F.col("amount") / F.lit(AMOUNT_STEP)).cast("bigint"))
+        .withColumn("amount_near", _steps(F.col("amount"), F.lit(TOLERANCE + 1e-6), F.lit(AMOUNT_STEP)))
+        .withColumn("time_own", F.floor(F.col("micros") / F.lit(MICROS)).cast("bigint"))
+        .withColumn("time_near", F.coalesce(_steps(F.col("micros"), F.lit(MICROS), F.lit(MICROS)), F.array(F.lit(0))))
+    )
+
+
+# A row asks in all cells it comes near to and offers itself in its own cell only. In each lane the offering rows
+# of one cell match each other, so they cut the sequence into stretches: a row can only be the first later match
+# of the last row offered before it.
+DATED, UNDATED, NEXT = 0, 1, 2
+CELL = ["key", "lane", "cell", "time"]
+
+
+def _cell(lane: int, cell: Column, time: Column, offers: Column) -> Column:
+    return F.struct(F.lit(lane).alias("lane"), cell.alias("cell"), time.cast("bigint").alias("time"), offers.alias("offers"))
 
-    Each row asks in all its cells but offers itself in its own cell only. The
-    offering rows of one cell cut the sequence into disjoint stretches, so a row
-    is paired with at most one row per cell: the pairs grow linearly. Nothing is
-    missed, because two offering rows of one cell always match each other: the
-    first later match of ``i`` can have no other row of i's cell in between.
-    With ``rare`` offers only the cells that hold one are looked at.
+
+def _dated_cells() -> Column:
+    """Cells of a row with a date: amount step and 24 hours."""
+    own = lambda a, t: (a == F.col("amount_own")) & (t == F.col("time_own"))
+    return F.flatten(F.transform("amount_near", lambda a: F.transform("time_near", lambda t: _cell(DATED, a, t, own(a, t)))))
+
+
+def _all_cells() -> Column:
+    """Cells of any row: with a date those above and, for rows without one, cells of the amount alone.
+
+    In lane ``UNDATED`` every row looks back for a row without a date. In lane ``NEXT`` a row with a date looks forward for one.
     """
-    probes = rows.where(ask | offer)
-    own = offer
-    for name in cells:
-        probes = probes.withColumn(f"_{name}", F.explode(f"{name}_near"))
-        own = own & (F.col(f"_{name}") == F.col(f"{name}_own"))
-    keys = ["key", *[f"_{name}" for name in cells]]
-    probes = probes.select(
-        *keys, F.when(own, _here()).alias("_point"), ask.alias("_ask"), "seq", "id", "amount", "micros"
+    known = F.col("micros").isNotNull()
+    zero = F.lit(0)
+    back = F.transform("amount_near", lambda a: _cell(UNDATED, a, zero, ~known & (a == F.col("amount_own"))))
+    ahead = F.when(known, F.transform("amount_near", lambda a: _cell(NEXT, a, zero, F.lit(False)))).otherwise(F.array(_cell(NEXT, F.col("amount_own"), zero, F.lit(True))))
+    return F.when(known, F.concat(_dated_cells(), back, ahead)).otherwise(F.concat(back, ahead))
+
+
+def _probes(rows: DataFrame, cells: Column) -> DataFrame:
+    """One row for each cell: the row as ``_here``, as ``_point`` where it offers itself, and its place in the order."""
+    place = F.when(F.col("c.lane") == NEXT, -F.col("seq")).otherwise(F.col("seq"))
+    out = rows.select("key", _here().alias("_here"), "seq", F.explode(cells).alias("c"))
+    whole = [F.coalesce(F.col(f"c.{name}"), F.lit(0)).alias(name) for name in ("cell", "time")]
+    return out.select("key", "c.lane", *whole, "_here", F.when(F.col("c.offers"), F.col("_here")).alias("_point"), place.alias("_place"))
+
+
+def _close() -> Column:
+    apart = F.abs(F.col("i.micros") - F.col("j.micros"))
+    return (F.abs(F.col("i.amount") - F.col("j.amount")) <= TOLERANCE) & (apart.isNull() | (apart <= MICROS))
+
+
+# Amounts of a neighbouring cell are only partly near enough, and the next row there may be one that is not. For such
+# rows the cell is cut in halves LEVELS times: what is near enough is a few whole pieces and the pieces at the border.
+LEVELS = 20
+PIECES = 1 << LEVELS
+
+
+def _piece(amount: Column, cell: Column) -> Column:
+    return F.least(F.greatest(F.floor((amount / AMOUNT_STEP - cell) * PIECES), F.lit(0)), F.lit(PIECES - 1)).cast("bigint")
+
+
+def _node(level: Column, number: Column) -> Column:
+    return F.struct(level.cast("int").alias("level"), number.cast("bigint").alias("number"))
+
+
+def _pieces_within() -> Column:
+    """The pieces that cover the near part of a neighbouring cell: whole ones by the bits of the border, and the three at the border."""
+    above = F.col("cell") > F.col("amount_own")
+    border = _piece(F.when(above, F.col("i.amount") + TOLERANCE).otherwise(F.col("i.amount") - TOLERANCE), F.col("cell"))
+    # From the upper end the pieces are numbered backwards, so that in both cases all below the border are near.
+    # One less, as the piece before the border may hold rows that rounding puts on either side.
+    upto = F.greatest(F.when(above, border).otherwise(PIECES - 1 - border) - 1, F.lit(0))
+    level = lambda k: F.call_function("shiftright", upto, k)
+    whole = F.transform(
+        F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: level(k) % 2 == 1),
+        lambda k: _node(k, F.when(above, level(k) - 1).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(LEVELS) - k) - level(k))),
     )
-    if rare:
-        offered = rows.where(offer).select("key", *[F.col(f"{name}_own").alias(f"_{name}") for name in cells]).distinct()
-        probes = probes.join(offered, keys, "left_semi")
-    found = last_before(probes, keys, "seq", "_point").where(F.col("_ask") & F.col("found").isNotNull())
-    return found.select(F.col("found").alias("i"), _here().alias("j"))
+    edge = F.transform(F.filter(F.sequence(border - 1, border + 1), lambda p: (p >= 0) & (p < PIECES)), lambda p: _node(F.lit(0), p))
+    return F.array_distinct(F.concat(whole, edge))
+
 
+def _next_in_part(unsettled: DataFrame, rows: DataFrame) -> DataFrame:
+    """(i, j) for rows with a date whose next row without one in a neighbouring cell is too far off in amount.
 
-def _undated_successors(rows: DataFrame) -> DataFrame:
-    """(dated row, first later undated row) for every pair of exact amounts within the tolerance."""
-    dated = rows.where(F.col("micros").isNotNull())
+    Amounts of one border piece, which differ by less than 1e-8, are told apart only by the row that comes next.
+    """
+    asks = unsettled.withColumn("amount_own", F.floor(F.col("i.amount") / F.lit(AMOUNT_STEP)).cast("bigint"))
+    asks = asks.select("key", "cell", F.explode(_pieces_within()).alias("n"), F.col("i").alias("_here"), F.lit(False).alias("_offers"))
     undated = rows.where(F.col("micros").isNull())
-    cell = F.col("amount_own").alias("cell")
-    wanted = dated.select("key", cell, F.col("amount").alias("want")).distinct()
-    offered = undated.select("key", F.explode("amount_near").alias("cell"), "amount").distinct()
-    close = wanted.join(offered, ["key", "cell"]).where(F.abs(F.col("want") - F.col("amount")) <= TOLERANCE)
-    points = salted_join(undated, close.select("key", "amount", "want").distinct(), ["key", "amount"], "seq")
-    both = dated.select("key", F.col("amount").alias("want"), "seq", _here().alias("ask")).unionByName(
-        points.select("key", "want", "seq", _here().alias("point")), allowMissingColumns=True
+    own = _piece(F.col("amount"), F.col("amount_own"))
+    halves = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: _node(k, F.call_function("shiftright", own, k)))
+    offers = undated.select("key", F.col("amount_own").alias("cell"), F.explode(halves).alias("n"), _here().alias("_here"), F.lit(True).alias("_offers"))
+    both = asks.unionByName(offers).select(
+        "key", "cell", "n.level", "n.number", "_here", F.when(F.col("_offers"), F.col("_here")).alias("_point"), (-F.col("_here.seq")).alias("_place")
     )
-    backwards = both.withColumn("back", -F.col("seq"))
-    found = last_before(backwards, ["key", "want"], "back", "point")
-    return found.where(F.col("ask").isNotNull() & F.col("found").isNotNull()).select(
-        F.col("ask").alias("i"), F.col("found").alias("j")
+    found = last_before(both, ["key", "cell", "level", "number"], "_place", "_point")
+    return found.where(F.col("_point").isNull() & F.col("found").isNotNull()).select(F.col("_here").alias("i"), F.col("found").alias("j"))
+
+
+def _firsts(pairs: DataFrame) -> DataFrame:
+    """For each ``i`` the first ``j`` that matches."""
+    first = F.min_by(F.struct("i", "j"), F.col("j.seq")).alias("p")
+    return pairs.where((F.col("i.amount") != 0) & _close()).groupBy(F.col("i.seq").alias("seq")).agg(first).select(
+        "seq",
+        F.col("p.i.id").alias("id"),
+        F.col("p.j.seq").alias("dup_seq"),
+        F.col("p.j.id").alias("dup_id"),
+        F.col("p.i.merchant").alias("merchant"),
+        F.col("p.i.amount").alias("amount"),
+        (F.abs(F.col("p.i.micros") - F.col("p.j.micros")) / F.lit(3.6e9)).alias("hours"),
     )
 
 
@@ -79,49 +154,42 @@ def first_later_matches(txn: DataFrame) -> DataFrame:
     case, an amount within 0.01 and a time within 24 hours or unknown. A row
     without a merchant or with amount 0 has no match of its own.
 
-    Columns: seq, id, dup_seq, dup_id, amount, hours (NULL when a time is unknown).
+    Columns: seq, id, dup_seq, dup_id, merchant, amount, hours (NULL when a time is unknown).
+
+    One sweep over the cells of all rows serves dated and undated rows; pairs grow
+    linearly however dense the amounts or hot the merchant.
     """
-    known = F.col("micros").isNotNull()
-    rows = (
-        txn.where((F.col("merchant") != "") & F.col("amount").isNotNull())
-        .select(
-            F.lower("merchant").alias("key"), F.col("seq").cast("bigint").alias("seq"), "id", "amount",
-            _micros(F.col("date")).alias("micros"),
-        )
-        .withColumn("amount_own", F.floor(F.col("amount") / F.lit(AMOUNT_STEP)).cast("bigint"))
-        .withColumn("amount_near", _steps(F.col("amount"), F.lit(TOLERANCE + 1e-6), F.lit(AMOUNT_STEP)))
-        .withColumn("time_own", F.floor(F.col("micros") / F.lit(MICROS)).cast("bigint"))
-        .withColumn("time_near", F.coalesce(_steps(F.col("micros"), F.lit(MICROS), F.lit(MICROS)), F.array(F.lit(0))))
-    )
-    pairs = (
-        _pairs(rows, ["amount", "time"], known, known)
-        .unionByName(_pairs(rows, ["amount"], F.lit(True), ~known, rare=True))
-        .unionByName(_undated_successors(rows))
-    )
-    apart = F.abs(F.col("i.micros") - F.col("j.micros"))
-    close = F.abs(F.col("i.amount") - F.col("j.amount")) <= TOLERANCE
-    return (
-        pairs.where((F.col("i.amount") != 0) & close & (apart.isNull() | (apart <= MICROS)))
-        .select(F.col("i.seq").alias("seq"), "i", "j")
-        .groupBy("seq")
-        .agg(F.min_by(F.struct("i", "j"), F.col("j.seq")).alias("p"))
-        .select(
-            "seq",
-            F.col("p.i.id").alias("id"),
-            F.col("p.j.seq").alias("dup_seq"),
-            F.col("p.j.id").alias("dup_id"),
-            F.col("p.i.amount").alias("amount"),
-            (F.abs(F.col("p.i.micros") - F.col("p.j.micros")) / F.lit(3.6e9)).alias("hours"),
-        )
-    )
+    rows = _prepared(txn)
+    met = last_before(_probes(rows, _all_cells()), CELL, "_place", "_point")
+    met = met.where(F.col("found").isNotNull())
+    ahead = met.where((F.col("lane") == NEXT) & F.col("_point").isNull())
+    settled = F.when(F.col("lane") == NEXT, F.struct(F.col("_here").alias("i"), F.col("found").alias("j"))).otherwise(F.struct(F.col("found").alias("i"), F.col("_here").alias("j")))
+    pairs = met.where((F.col("lane") != NEXT) | F.col("_point").isNull()).select(F.inline(F.array(settled)))
+    far = F.abs(F.col("_here.amount") - F.col("found.amount")) > TOLERANCE
+    rest = _next_in_part(ahead.where(far).select("key", "cell", F.col("_here").alias("i")), rows)
+    return _firsts(pairs.unionByName(rest))
+
+
+def matches_of_arrivals(new: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Matches that arriving dated rows make with each other and with earlier ones, and the last row of every cell.
+
+    ``ends``: key, cell, time and ``last``, the last row that came before in each
+    cell. Nothing else of the earlier rows is needed, as the rows of one cell match
+    each other. "Later" is the order of arrival: all of ``ends`` before the new rows, these by ``seq``.
+    """
+    probes = _probes(_prepared(new), _dated_cells())
+    known = [F.coalesce(F.col(name), F.lit(zero)).alias(name) for name, zero in (("key", ""), ("cell", 0), ("time", 0))]
+    before = ends.select(*known, F.lit(DATED).alias("lane"), F.col("last").alias("_here"), F.col("last").alias("_point"), F.lit(-1).cast("bigint").alias("_place"))
+    both = probes.unionByName(before)
+    found = last_before(both, CELL, "_place", "_point").where((F.col("_place") >= 0) & F.col("found").isNotNull())
+    last = both.where(F.col("_point").isNotNull()).groupBy("key", "cell", "time").agg(F.max_by("_point", "_place").alias("last"))
+    return _firsts(found.select(F.col("found").alias("i"), F.col("_here").alias("j"))), last
 
 
 def duplicates(txn: DataFrame) -> DataFrame:
-    """``first_later_matches`` with the merchant as written and the description."""
-    found = first_later_matches(txn)
-    named = found.join(txn.select(F.col("seq").cast("bigint").alias("seq"), "merchant"), "seq")
+    """``first_later_matches`` with the description."""
     apart = F.when(F.col("hours") > 0, F.format_string(" (%.1fh apart)", "hours")).otherwise(F.lit(""))
-    return named.withColumn(
+    return first_later_matches(txn).withColumn(
         "description",
         F.concat(F.lit("Possible duplicate: "), F.col("merchant"), F.lit(" $"), money(F.col("amount")), apart),
     )

@@ -11,7 +11,7 @@ from ..functions.text import contains_any, text_or_empty
 from ..rules import extraction as R
 from ..schemas import HEADERS, mime_payload
 
-MIME_DEPTH = 12  # levels of nested parts that are read; an argument of mail_from_raw
+MIME_DEPTH = 2  # levels of nested parts that are parsed with one schema; deeper payloads are walked part by part
 
 
 def recent_mail(mail: DataFrame, as_of: str, days: int) -> DataFrame:
@@ -46,12 +46,15 @@ def mail_with_body(meta: DataFrame, body: DataFrame) -> DataFrame:
 
 
 def mail_from_raw(raw: DataFrame, depth: int = MIME_DEPTH, max_chars: int | None = None) -> DataFrame:
-    """Raw messages (id, headers and payload as JSON text) to the mail table."""
-    parsed = raw.select(
-        "id",
-        F.from_json("headers", HEADERS).alias("headers"),
-        F.from_json("payload", mime_payload(depth)).alias("payload"),
-    )
+    """Raw messages (id, headers and payload as JSON text) to the mail table.
+
+    Parts may nest to any depth. A payload with at most ``depth`` lists of parts is
+    parsed at once, any other one with a stack; the text is the same.
+    """
+    lists = (F.length("payload") - F.length(F.replace("payload", F.lit('"parts"'), F.lit("")))) / F.lit(len('"parts"'))
+    shallow = M.mime_text(F.from_json("payload", mime_payload(depth)), depth, max_chars)
+    text = F.when(lists <= depth, shallow).otherwise(F.coalesce(M.mime_text_of_json(F.col("payload"), max_chars), F.lit("")))
+    parsed = raw.select("id", F.from_json("headers", HEADERS).alias("headers"), text.alias("body"))
     source = M.parse_from(M.header(F.col("headers"), "From"))
     return parsed.select(
         "id",
@@ -59,7 +62,7 @@ def mail_from_raw(raw: DataFrame, depth: int = MIME_DEPTH, max_chars: int | None
         source["sender_email"].alias("sender_email"),
         M.header(F.col("headers"), "Subject").alias("subject"),
         M.header(F.col("headers"), "Date").alias("date"),
-        M.mime_text(F.col("payload"), depth, max_chars).alias("body"),
+        "body",
     )
 
 

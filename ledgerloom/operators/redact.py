@@ -31,6 +31,7 @@ GATES: dict[str, tuple[bool, str]] = {
     "plus": (False, "contains({t}, '+')"),
 }
 CARD_NUMBER = "entity_CREDIT_CARD"  # the one rule that also looks at the check digit
+IS_FIND = r"{m} RLIKE r'(?U)^\d'"
 
 
 def _matches(text: str, p: R.Pattern) -> str:
@@ -38,17 +39,24 @@ def _matches(text: str, p: R.Pattern) -> str:
     found = f"regexp_extract_all({text}, {sql_literal(p.regex)}, 0)"
     if p.name == CARD_NUMBER:
         return f"filter({found}, m -> luhn_check(regexp_replace(m, r'[ \\-]', '')))"
+    if p.skip_spans:
+        return f"filter({found}, m -> {IS_FIND.format(m='m')})"
     return found
 
 
-def _replaced(text: str, p: R.Pattern) -> str:
+def replaced(text: str, p: R.Pattern) -> str:
+    """``text`` with every match of ``p`` replaced, as SQL."""
+    if p.skip_spans:
+        # The texts between all matches, each followed by its match, or by the tag where that is a find.
+        between, found = f"split({text}, {sql_literal(p.regex)}, -1)", f"regexp_extract_all({text}, {sql_literal(p.regex)}, 0)"
+        return f"array_join(zip_with({between}, concat({found}, array('')), (t, m) -> concat(t, CASE WHEN {IS_FIND.format(m='m')} THEN '{p.replacement}' ELSE m END)), '')"
     if p.name == CARD_NUMBER:
         return f"aggregate(array_distinct({_matches(text, p)}), {text}, (acc, m) -> replace(acc, m, '{p.replacement}'))"
     return f"regexp_replace({text}, {sql_literal(p.regex)}, '{p.replacement}')"
 
 
 def _count(text: str, p: R.Pattern) -> str:
-    if p.name == CARD_NUMBER:
+    if p.name == CARD_NUMBER or p.skip_spans:
         return f"size({_matches(text, p)})"
     return f"regexp_count({text}, {sql_literal(p.regex)})"
 
@@ -56,20 +64,22 @@ def _count(text: str, p: R.Pattern) -> str:
 def _details(text: str, p: R.Pattern) -> str:
     """One struct per match; offsets refer to the text before this stage."""
     found = _matches(text, p)
+    shown = f"'{p.replacement}'"
     if p.name == CARD_NUMBER:
         start = f"instr({text}, m) - 1"
-        shown = f"'{p.replacement}'"
     else:
+        found = f"regexp_extract_all({text}, {sql_literal(p.regex)}, 0)"
         size = "0, (acc, s) -> acc + length(s)"
         start = (
             f"aggregate(slice(split({text}, {sql_literal(p.regex)}, -1), 1, k + 1), {size})"
             f" + aggregate(slice({found}, 1, k), {size})"
         )
-        shown = _replaced("m", p)
-    return (
+        shown = shown if p.skip_spans else replaced("m", p)
+    details = (
         f"transform({found}, (m, k) -> named_struct('pattern', '{p.name}', 'original', m, 'replacement', {shown},"
         f" 'start', {start}, 'end', {start} + length(m)))"
     )
+    return f"filter({details}, d -> {IS_FIND.format(m='d.original')})" if p.skip_spans else details
 
 
 def _run_stages(
@@ -94,7 +104,7 @@ def _run_stages(
             if p.words:
                 gate += f" AND _w_{p.name}"
             names.append(f"_stage_{len(names)}")
-            df = df.withColumn(names[-1], F.expr(f"CASE WHEN {gate} THEN {_replaced(before, p)} ELSE {before} END"))
+            df = df.withColumn(names[-1], F.expr(f"CASE WHEN {gate} THEN {replaced(before, p)} ELSE {before} END"))
     return df, names
 
 
@@ -129,13 +139,14 @@ def redact_entities(df: DataFrame, column: str, out: str = "clean_text") -> Data
 
 
 def validate(df: DataFrame, column: str) -> DataFrame:
-    """Pass 3: adds ``clean_text``, ``fixes``, ``is_valid`` and ``issues`` (the rule and where it matched; never the match itself)."""
+    """Pass 3: adds ``clean_text``, ``fixes``, ``is_valid`` and ``issues`` (the rule and where it matched, counted from 0 in
+    the text that its stage reads; never the match itself)."""
     keep = df.columns
     staged, names = _run_stages(df, column, [R.LEAKS])
     counts = [_stage_count(names, i, p) for i, p in enumerate(R.LEAKS)]
     fixes = sum(counts[1:], counts[0])
     issues = ", ".join(
-        f"CASE WHEN {names[i + 1]} != {names[i]} THEN transform({_matches(names[i], p)}, m -> concat('{p.name} at ', locate(m, {names[i]})))"
+        f"CASE WHEN {names[i + 1]} != {names[i]} THEN transform({_details(names[i], p)}, d -> concat('{p.name} at ', d.start))"
         " ELSE cast(array() AS array<string>) END"
         for i, p in enumerate(R.LEAKS)
     )
@@ -207,6 +218,9 @@ def fail_closed(redacted: DataFrame, strict: bool = False) -> tuple[DataFrame, D
     return redacted.where(~bad), redacted.where(bad).drop(*texts)
 
 
+NAME_BITS = 20  # the broadcast table of first words has at most 2**NAME_BITS rows, however long the list is
+
+
 def redact_names(
     df: DataFrame, column: str, key: str, gazetteer: DataFrame, out: str = "clean_text", small: int = 100_000
 ) -> DataFrame:
@@ -214,28 +228,29 @@ def redact_names(
 
     Names of several words are looked up as runs of as many words with one blank between.
 
-    Every text is cut into its distinct words and joined with the list. The list
-    is broadcast only when it has at most ``small`` rows; beyond that both sides
-    are shuffled with the words salted, because one name may be very frequent.
-    Only matched words travel back to their text, at most one row per text.
+    The hashes of the names' first words, ``NAME_BITS`` bits each, are the first
+    filter: a word whose hash no name starts with goes no further, so of most texts
+    nothing is shuffled. Where a name may start, the runs of words of the sizes in
+    use are joined with the list, salted, because one name may be very frequent (a
+    list of at most ``small`` names is broadcast). Only matched names travel back to
+    their text, at most one row per text.
     """
     word = r"(?U)[\w'\-#]+"
     names = gazetteer.select("name", "tag").groupBy("name").agg(F.min("tag").alias("tag"))
-    sizes = [r[0] for r in names.select(F.size(F.split("name", " "))).distinct().collect()]  # a few numbers of words
-    all_words = F.regexp_extract_all(F.col(column), F.lit(word), F.lit(0))
-
-    def runs(size: int) -> Column:
-        if size == 1:
-            return F.col("_w")
-        starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - size + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.array_join(F.slice("_w", i, size), " "))
-
-    probes = F.array_distinct(F.flatten(F.array(*[runs(n) for n in sorted(sizes)]))) if sizes else F.array().cast("array<string>")
-    words = df.select(key, all_words.alias("_w")).select(key, F.explode(probes).alias("name"))
+    bits = lambda text: F.shiftright(F.hash(text), 32 - NAME_BITS)
+    listed = names.select(F.split("name", " ").alias("_n")).select(bits(F.get("_n", 0)).alias("_bits"), F.size("_n").alias("_size"))
+    # A few sizes for each hash: the runs to look at where a word has it.
+    starts = listed.groupBy("_bits").agg(F.array_sort(F.collect_set("_size")).alias("_sizes"))
+    words = df.select(key, F.regexp_extract_all(F.col(column), F.lit(word), F.lit(0)).alias("_w"))
+    places = words.select(key, "_w", F.posexplode(F.transform("_w", bits)).alias("_at", "_bits"))
+    places = places.join(F.broadcast(starts), "_bits")  # at most 2**NAME_BITS rows
+    runs = F.transform("_sizes", lambda n: F.array_join(F.slice("_w", F.col("_at") + 1, n), " "))
+    asked = places.select(key, F.explode(runs).alias("name"))
     if is_small(gazetteer, small):
-        hits = words.join(F.broadcast(names), "name")
+        hits = asked.join(F.broadcast(names), "name")
     else:
-        hits = salted_join(words, names, ["name"], key)
+        hits = salted_join(asked, names, ["name"], key)
+    hits = hits.groupBy(key, "name").agg(F.first("tag").alias("tag"))
     found = hits.groupBy(key).agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct((-F.length("name")).alias("n"), "name", "tag"))), lambda x: F.struct(x["name"], x["tag"]))).alias("_names"))
     tagged = F.aggregate(
         F.map_entries("_names"),

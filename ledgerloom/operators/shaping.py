@@ -113,25 +113,32 @@ def sums_before(df: DataFrame, keys: list[str], block: str, order: list[str], va
 def last_before(df: DataFrame, keys: list[str], seq: str, point: str, block_rows: int = 1 << 20) -> DataFrame:
     """Latest non-NULL ``point`` with a smaller ``seq`` under the same key, as ``found``.
 
-    ``seq`` is a unique whole number over the table, so a block ``seq div
-    block_rows`` never holds more than ``block_rows`` source rows of a key. A row
-    without a point in its own block takes the last one of the earlier blocks.
+    ``seq`` is a unique whole number under a key, so a block ``seq div block_rows``
+    never holds more than ``block_rows`` rows of a key. A row without a point in its
+    own block takes the last one of the earlier blocks: each block hands its last
+    point on, which is one row for each block that holds rows. Keys are not NULL.
     """
     block_keys = [*keys, "_block"]
+    inside = W.partitionBy(*block_keys).orderBy(seq)
     blocks = df.withColumn("_block", F.floor(F.col(seq) / F.lit(block_rows)))
-    ends = (
-        blocks.where(F.col(point).isNotNull())
-        .groupBy(*block_keys)
-        .agg(F.max_by(point, seq).alias("_end"))
-    )
-    # Only blocks that hold rows are ever asked for, so the ends are lined up with them.
-    asked = null_safe_join(blocks.select(*block_keys).distinct(), ends, block_keys, "left")
-    earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    carried = asked.select(*block_keys, F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
-    inside = W.partitionBy(*block_keys).orderBy(seq).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        blocks.withColumn("_near", F.last(point, ignorenulls=True).over(inside))
-        .transform(lambda left: null_safe_join(left, carried, block_keys))
-        .withColumn("found", F.coalesce("_near", "_carried"))
-        .drop("_block", "_near", "_carried")
-    )
+    near = blocks.withColumn("_near", F.last(point, ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, -1)))
+    last = near.withColumn("_more", F.lead(F.lit(True)).over(inside)).where(F.col("_more").isNull())
+    ends = last.select(*[F.col(k).alias(f"_b_{k}") for k in block_keys], F.coalesce(point, "_near").alias("_end"))
+    earlier = W.partitionBy(*[f"_b_{k}" for k in keys]).orderBy("_b__block").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).where(F.col("_carried").isNotNull()).drop("_end")
+    nullable = {f.name for f in df.schema if f.nullable}
+    same = [F.col(k).eqNullSafe(F.col(f"_b_{k}")) if k in nullable else F.col(k) == F.col(f"_b_{k}") for k in block_keys]
+    return near.join(carried, same, "left").withColumn("found", F.coalesce("_near", "_carried")).drop("_block", "_near", "_carried", *[f"_b_{k}" for k in block_keys])
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``number``: the place of each row in ``order`` (which tells all rows apart), from 0 without gaps.
+
+    Rows before a range partition plus the place inside it; only one count for each partition is put in order.
+    """
+    ranged = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
+    placed = ranged.withColumn("_inside", inside).join(F.broadcast(starts), "_part")  # one row a partition
+    return placed.withColumn("number", (F.col("_start") + F.col("_inside")).cast("bigint")).drop("_part", "_start", "_inside")

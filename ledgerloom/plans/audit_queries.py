@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.sql import Row
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
+from ..operators import auditlog as AL
 from ..operators import ledger as L
 from ..operators import redact as RD
 from ..operators.shaping import shared_dir
@@ -23,6 +28,18 @@ def chained(spark, sf_dir):
     return A.append_chain(V.audit_events(spark, sf_dir))
 
 
+EARLY = "2024-01-15"
+
+
+def kept_log(spark, sf_dir, segment: int = A.SEGMENT) -> str:
+    """Folder of a log that was appended in two steps, the second one repeated."""
+    folder = shared_dir(spark, "audit-log")
+    events = V.audit_events(spark, sf_dir)
+    for number, part in ((0, F.col("timestamp") < EARLY), (1, F.col("timestamp") >= EARLY), (1, F.col("timestamp") >= EARLY)):
+        AL.append_log(spark, folder, events.where(part), number, segment=segment)
+    return folder
+
+
 def tampered(spark, sf_dir):
     """The chain with the details of some entries changed after the fact."""
     hit = F.col("redactions_applied") + F.col("security_flags") == 3
@@ -104,9 +121,9 @@ def _(spark, sf_dir):
 @query("AUD4_append_chain", CHAIN + "\nSELECT id, chain_id, entry_hash, previous_hash FROM chain")
 def _(spark, sf_dir):
     events = V.audit_events(spark, sf_dir)
-    early = F.col("timestamp") < "2024-01-15"
+    early = F.col("timestamp") < EARLY
     stored = A.append_chain(events.where(early))
-    added = A.append_chain(events.where(~early), stored)
+    added = A.append_chain(events.where(~early), A.chain_ends(A.segment_states(stored)))
     return stored.unionByName(added).select("id", "chain_id", "entry_hash", "previous_hash")
 
 
@@ -135,9 +152,9 @@ _FIELDS = ["tool_used", "details", "action"]
     "SELECT true AS chain_valid, (SELECT count(*) FROM leaks) AS leaks, (SELECT count(*) FROM events) AS audit_rows, (SELECT count(*) FROM leaks) = 0 AS passed",
 )
 def _(spark, sf_dir):
-    log = chained(spark, sf_dir)
-    leaks = RD.leak_scan(V.audit_events(spark, sf_dir), "id", _FIELDS)
-    report = A.integrity_report(log, leaks, L.table_stats(ledger_tables(spark, sf_dir)))
+    log = AL.stored_log(spark, kept_log(spark, sf_dir))
+    leaks = RD.leak_scan(log.entries, "id", _FIELDS)
+    report = A.integrity_report(log.entries, leaks, L.table_stats(ledger_tables(spark, sf_dir)), AL.verify_log(log))
     return report.select("chain_valid", "leaks", F.col("tables")["audit_log"].alias("audit_rows"), "passed")
 
 
@@ -163,22 +180,90 @@ def _(spark, sf_dir):
     " (SELECT string_agg(concat(action, '=', n), ';' ORDER BY action) FROM (SELECT action, count(*) AS n FROM p GROUP BY 1)) AS actions_breakdown, true AS chain_integrity FROM p",
 )
 def _(spark, sf_dir):
-    out = A.audit_report(chained(spark, sf_dir), AS_OF)
+    log = AL.stored_log(spark, kept_log(spark, sf_dir))
+    out = A.audit_report(log.entries, AS_OF, state=AL.verify_log(log))
     text = F.array_join(F.transform(F.map_entries("actions_breakdown"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
     return out.withColumn("actions_breakdown", text)
 
 
 @query("SNK5_append_audit", CHAIN + "\nSELECT id, entry_hash, previous_hash FROM chain")
 def _(spark, sf_dir):
-    folder = shared_dir(spark, "audit")
-    log = chained(spark, sf_dir)
-    A.append_audit(log, folder + "/table", folder + "/lines")
-    table = spark.read.schema(log.schema).parquet(folder + "/table")
-    lines = spark.read.schema(log.schema).json(folder + "/lines")
+    folder = kept_log(spark, sf_dir)
+    table = AL.stored_log(spark, folder).entries
+    lines = spark.read.schema(table.schema).option("recursiveFileLookup", True).json(folder + "/lines")
     keys = ["id", "entry_hash", "previous_hash"]
     return table.select(keys).join(lines.select(keys), keys, "left_semi")
 
 
+_SEGMENTS = (
+    ", g AS (SELECT DISTINCT chain_id, seq // 64 AS segment FROM audit_events),"
+    " s AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY segment) AS k, count(*) OVER (PARTITION BY chain_id) AS n FROM g),"
+    " d AS (SELECT 'first' AS deleted, count(*) FILTER (WHERE k = 1) AS missing_segments FROM s UNION ALL SELECT 'middle', count(*) FILTER (WHERE k = n // 2 + 1) FROM s"
+    " UNION ALL SELECT 'last', count(*) FILTER (WHERE k = n) FROM s)"
+)
+
+
+def without_segments(spark, sf_dir) -> dict[str, AL.StoredLog]:
+    """The log without the first, a middle or the last segment of every chain."""
+    log = AL.stored_log(spark, kept_log(spark, sf_dir, segment=64))
+    chain = W.partitionBy("chain_id")
+    listed = log.states.select(*A.CHAIN).distinct().withColumn("k", F.row_number().over(chain.orderBy("segment"))).withColumn("n", F.count("*").over(chain))
+    which = {"first": F.col("k") == 1, "middle": F.col("k") == F.floor(F.col("n") / 2) + 1, "last": F.col("k") == F.col("n")}
+    return {name: replace(log, entries=log.entries.join(listed.where(gone).select(*A.CHAIN), A.CHAIN, "left_anti")) for name, gone in which.items()}
+
+
+@query("AGG14_deleted_segments", EVENTS.rstrip() + _SEGMENTS + " SELECT deleted, missing_segments, missing_segments = 0 AS chain_integrity FROM d")
+def _(spark, sf_dir):
+    """Each segment that is left verifies by itself; the report still says that the log is not whole."""
+    out = None
+    for name, log in without_segments(spark, sf_dir).items():
+        state = AL.verify_log(log)
+        row = A.audit_report(log.entries, AS_OF, state=state).select("chain_integrity").unionByName(state.select("missing_segments"), allowMissingColumns=True)
+        row = row.agg(F.first("chain_integrity", ignorenulls=True).alias("chain_integrity"), F.first("missing_segments", ignorenulls=True).alias("missing_segments"))
+        row = row.select(F.lit(name).alias("deleted"), "missing_segments", "chain_integrity")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("AUD6_deleted_segments", EVENTS.rstrip() + _SEGMENTS + " SELECT deleted, missing_segments = 0 AS chain_valid, missing_segments = 0 AS passed FROM d")
+def _(spark, sf_dir):
+    counts = spark.createDataFrame([("audit_log", 0)], "table_name string, n_rows long")
+    out = None
+    for name, log in without_segments(spark, sf_dir).items():
+        report = A.integrity_report(log.entries, log.entries.limit(0), counts, AL.verify_log(log)).select(F.lit(name).alias("deleted"), "chain_valid", "passed")
+        out = report if out is None else out.unionByName(report)
+    return out
+
+
+_STATES = (
+    EVENTS.rstrip() + f", g AS (SELECT DISTINCT timestamp >= '{EARLY}' AS late, chain_id, seq // 64 AS segment FROM audit_events),"
+    " s AS (SELECT *, row_number() OVER (ORDER BY late, chain_id, segment) - 1 AS number, count(*) OVER () AS size FROM g)"
+)
+
+
+@query(
+    "AUD5_inclusion_proofs",
+    _STATES + " SELECT number, chain_id, segment, CASE WHEN number < size // 4096 * 4096 THEN 2 WHEN number < size // 64 * 64 THEN 1 ELSE 0 END AS steps, true AS proven FROM s",
+)
+def _(spark, sf_dir):
+    """Every state of every segment with a proof that it is in the tree."""
+    log = AL.stored_log(spark, kept_log(spark, sf_dir, segment=64))
+    proofs = AL.inclusion_proofs(log, log.states).select("number", F.size("path").alias("steps"), AL.proven(log.record).alias("proven"))
+    return log.states.select("number", "chain_id", "segment").join(proofs, "number")
+
+
+@query("AUD5_consistency", _STATES + " SELECT count(*) FILTER (WHERE NOT late) AS older_size, count(*) AS size, true AS is_consistent, false AS forged FROM s")
+def _(spark, sf_dir):
+    """The record of the first append against the log after the second, and a record with a changed hash."""
+    folder = kept_log(spark, sf_dir, segment=64)
+    log, old = AL.stored_log(spark, folder), AL.record_of(spark, folder, 0)
+    forged = Row(size=old["size"], root=old["root"], open=[Row(level=n["level"], number=n["number"], hash=n["hash"][::-1]) for n in old["open"]])
+    found = AL.is_consistent(old, log).select("is_consistent", F.lit(None).cast("boolean").alias("forged"))
+    other = AL.is_consistent(forged, log).select(F.lit(None).cast("boolean").alias("is_consistent"), F.col("is_consistent").alias("forged"))
+    sizes = [F.lit(n).cast("bigint").alias(name) for n, name in ((old["size"], "older_size"), (log.record["size"], "size"))]
+    return found.unionByName(other).agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("is_consistent", "forged")]).select(*sizes, "is_consistent", "forged")
+
+
 @query(
     "AUD3_deleted_segments",
     EVENTS.rstrip()

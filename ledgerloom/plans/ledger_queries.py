@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import anomalies as A
+from ..operators import audit as AU
 from ..operators import duplicates as D
 from ..operators import injection as I
 from ..operators import ledger as L
@@ -472,3 +476,30 @@ def _(spark, sf_dir):
     L.export_ledger({"transactions": V.txn(spark, sf_dir)}, folder)
     back = L.from_json_lines(spark.read.text(f"{folder}/transactions"), TRANSACTIONS)
     return back.withColumn("date", stamp("date")).withColumn("created_at", stamp("created_at"))
+
+
+@query(
+    "SNK7_four_tables",
+    f"WITH {V.txn_cte()},\n{V.subscriptions_cte()},\n{V.txn_orders_cte()},\n{V.audit_events_cte()},\n{LARGE_ANOMALIES}\n"
+    "SELECT 'transactions' AS table_name, id, concat_ws('|', merchant, category, source_email_id, cast(is_subscription as varchar)) AS fields FROM txn"
+    " UNION ALL SELECT 'subscriptions', id, concat_ws('|', merchant, frequency, status) FROM subs"
+    " UNION ALL SELECT 'anomalies', id, concat_ws('|', tx, cast(resolved as varchar)) FROM large"
+    " UNION ALL SELECT 'audit_log', id, concat_ws('|', chain_id, cast(seq as varchar), action, details) FROM audit_events",
+)
+def _(spark, sf_dir):
+    """The whole ledger out to JSON lines and back; the audit chain that comes back still verifies."""
+    folder = shared_dir(spark, "export-all")
+    tables = ledger_tables(spark, sf_dir) | {"audit_log": AU.append_chain(V.audit_events(spark, sf_dir))}
+    subs = tables["subscriptions"]
+    tables["subscriptions"] = subs if "created_at" in subs.columns else subs.withColumn("created_at", F.col("first_seen"))
+    L.export_ledger(tables, folder)
+    back = L.import_ledger(spark, folder)
+    fields = {
+        "transactions": ["merchant", "category", "source_email_id", F.col("is_subscription").cast("string")],
+        "subscriptions": ["merchant", "frequency", "status"],
+        "anomalies": [F.array_join("transaction_ids", ","), F.col("resolved").cast("string")],
+        "audit_log": ["chain_id", F.col("seq").cast("string"), "action", "details"],
+    }
+    parts = [back[name].select(F.lit(name).alias("table_name"), "id", F.concat_ws("|", *columns).alias("fields")) for name, columns in fields.items()]
+    valid = AU.verify_chain(back["audit_log"]).where("is_valid").select("is_valid")
+    return reduce(DataFrame.unionByName, parts).join(F.broadcast(valid), F.lit(True) == F.col("is_valid")).drop("is_valid")  # one row

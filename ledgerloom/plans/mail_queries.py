@@ -157,6 +157,18 @@ def _(spark, sf_dir):
     return MO.mail_from_raw(raw_messages(spark, sf_dir).drop("payload").join(V.mail(spark, sf_dir).select("id", part.alias("payload")), "id")).select("id", "body")
 
 
+@query("SRC5_mime_any_depth", MAIL + "SELECT id, CASE WHEN body = '' THEN 'Old text' ELSE body END AS body FROM mail")
+def _(spark, sf_dir):
+    """The body lies below none to 24 multiparts, each with an HTML part beside the next one."""
+    data = lambda text: F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_")
+    part = lambda kind, text: F.to_json(F.struct(F.lit(kind).alias("mimeType"), F.struct(data(text).alias("data")).alias("body")))
+    around = F.concat(F.lit('{"mimeType":"multipart/mixed","parts":['), part("text/html", F.lit("<p>Old</p>")), F.lit(","))
+    text = F.when(F.col("body") == "", "Old text").otherwise(F.col("body"))
+    wrapped = F.aggregate(F.slice(F.sequence(F.lit(1), F.lit(24)), F.lit(1), (F.col("seq") % 25).cast("int")), part("text/plain", text), lambda inner, _: F.concat(around, inner, F.lit("]}")))
+    mails = V.mail(spark, sf_dir).select("id", F.lit("[]").alias("headers"), wrapped.alias("payload"))
+    return MO.mail_from_raw(mails).select("id", "body")
+
+
 @query("SRC5_mime_text_whole", MAIL + f"SELECT id, {_raw_body(None)} AS body FROM mail")
 def _(spark, sf_dir):
     return MO.mail_from_raw(raw_messages(spark, sf_dir), max_chars=None).select("id", "body")
@@ -226,6 +238,23 @@ def _(spark, sf_dir):
     return pages.select("page_id", M.html_to_text(F.col("html"), None).alias("text"))
 
 
+@query(
+    "SRC10_html_tables",
+    "SELECT c_custkey, concat('Dear ', c_name, chr(10), 'Key | Segment', chr(10), cast(c_custkey as varchar), CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat(' | ', c_mktsegment, '\u2019s\u00a9') END, chr(10),"
+    " 'Nation | ', cast(c_nationkey as varchar), chr(10), 'In all', chr(10), cast(c_acctbal as varchar), '\u20ac <b>') AS text FROM customer",
+)
+def _(spark, sf_dir):
+    """Tables with tags, blanks and nothing in cells, a table inside a cell, cells without an end, entities by name and number."""
+    table = "</p><TABLE class='t'><caption>Accounts</caption><tr><th>Key</th><th> &nbsp;</th><th>Seg<b>ment</b></th></tr>\n<tr><td><i>"
+    segment = F.when(F.col("c_custkey") % 3 == 0, "&#160; ").otherwise(F.concat("c_mktsegment", F.lit("&#8217;<b>s</b>&copy;")))
+    html = F.concat(
+        F.lit("<style>td{}</style><p><!-- x --><img src=a>Dear "), "c_name", F.lit(table), F.col("c_custkey").cast("string"), F.lit("</i></td><td>"), segment,
+        F.lit("<tr><td><table><tr><td>Nation<td><span> "), F.col("c_nationkey").cast("string"), F.lit(" </span></table></td></tr></table>In all<br>"), F.col("c_acctbal").cast("string"), F.lit("&#x20AC; &lt;b&gt;"),
+    )
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return customers.select("c_custkey", M.html_to_text(html).alias("text"))
+
+
 REASONS = MAIL.rstrip() + f",\nreasons AS (SELECT *, {O.block_reason()} AS reason FROM mail)\n"
 
 
@@ -501,6 +530,17 @@ def _(spark, sf_dir):
     return V.mail(spark, sf_dir).selectExpr("id", "category_of(sender_name, subject) AS category", "payment_method(body) AS method")
 
 
+@query(
+    "FN_redact_and_risk",
+    f"WITH {V.mail_cte()},\n{O.redacted('mail', 'body', 'done')},\nscanned AS (SELECT id, {_FOUND} AS found FROM mail)\n"
+    f"SELECT id, clean_text, {O.risk('found')} AS risk FROM done JOIN scanned USING (id)",
+)
+def _(spark, sf_dir):
+    """The SQL functions run all passes of the operators."""
+    register(spark)
+    return V.mail(spark, sf_dir).selectExpr("id", "redact_text(body) AS clean_text", "injection_risk(body) AS risk")
+
+
 # --- joins and counters over mail -----------------------------------------------------------------------
 
 
@@ -509,6 +549,29 @@ def _(spark, sf_dir):
     return B.block_reason_join(V.mail(spark, sf_dir), B.Blocklist.default().table(spark)).select("id", "reason")
 
 
+_PHRASES = (
+    "phrases AS (SELECT concat('#', lpad(cast(c_custkey % 1000 as varchar), 3, '0')) AS phrase FROM customer UNION SELECT concat('firmation #', lpad(cast(c_custkey % 100 as varchar), 2, '0')) FROM customer"
+    " UNION SELECT lpad(cast(c_custkey * 7 as varchar), 5, '0') FROM customer UNION SELECT lower(concat('for you in ', left(c_mktsegment, 4))) FROM customer UNION SELECT concat('never ', c_name, ' seen') FROM customer),\n"
+)
+
+
+@query(
+    "JN3_many_phrases",
+    f"WITH {_PHRASES}{V.mail_cte()}\nSELECT id, CASE WHEN EXISTS (SELECT 1 FROM phrases WHERE contains(lower(subject), phrase)) THEN 'subject' ELSE '' END AS reason FROM mail",
+)
+def _(spark, sf_dir):
+    """Phrases that start and end inside words, one word or several, most of them in no subject."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    key = F.col("c_custkey")
+    padded = lambda n, size: F.lpad(n.cast("string"), size, "0")
+    values = [
+        F.concat(F.lit("#"), padded(key % 1000, 3)), F.concat(F.lit("firmation #"), padded(key % 100, 2)), padded(key * 7, 5),
+        F.lower(F.concat(F.lit("for you in "), F.left("c_mktsegment", F.lit(4)))), F.concat(F.lit("Never "), "c_name", F.lit(" seen")),
+    ]
+    rules = customer.select(F.lit("subject").alias("kind"), F.explode(F.array(*values)).alias("value"))
+    return B.block_reason_join(V.mail(spark, sf_dir), rules).select("id", "reason")
+
+
 @query("JN4_meta_body", MAIL + "SELECT id, sender_email, length(body) AS n FROM mail")
 def _(spark, sf_dir):
     mail = V.mail(spark, sf_dir)

@@ -6,7 +6,6 @@ and the replacement runs twice because neighbours of adjacent matches overlap.
 
 from __future__ import annotations
 
-from ..functions.mime import HTML_ENTITIES, HTML_RULES
 from ..operators.blocklist import Blocklist
 from ..rules import categories as C
 from ..rules import extraction as X
@@ -282,16 +281,15 @@ def risk(found: str) -> str:
 
 
 def html_to_text(html: str, max_chars: int | None) -> str:
+    """Lines of a page without tables: what stands between its tags, a line for each piece."""
     text = html
-    for regex, replacement in HTML_RULES:
-        if r"\1" in regex:
-            for tag in ("script", "style", "head", "svg", "noscript"):
-                text = f"regexp_replace({text}, {q(rf'(?is)<{tag}\b[^>]*>.*?</{tag}\s*>')}, {q(replacement)}, 'g')"
-        else:
-            text = f"regexp_replace({text}, {q(regex)}, {q(replacement)}, 'g')"
-    for entity, char in HTML_ENTITIES:
-        text = f"replace({text}, {q(entity)}, {q(char)})"
-    lines = f"list_transform(string_split({text}, chr(10)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g'))"
+    for unread in (r"(?s)<!--.*?-->", *(rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>" for tag in ("script", "style", "head", "svg", "noscript"))):
+        text = f"regexp_replace({text}, {q(unread)}, chr(1), 'g')"
+    pieces = f"list_filter(string_split_regex({text}, '<[/!?a-zA-Z][^>]*>|' || chr(1)), lambda s: NOT regexp_matches(s, '(?i)data:image|content-transfer-encoding:\\s*base64'))"
+    text = f"array_to_string({pieces}, chr(10))"
+    for entity, code in (("nbsp", 160), ("lt", 60), ("gt", 62), ("quot", 34), ("#39", 39), ("middot", 183), ("copy", 169), ("amp", 38)):
+        text = f"replace({text}, '&{entity};', chr({code}))"
+    lines = f"list_transform(string_split_regex({text}, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e]'), lambda s: regexp_replace(s, '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g'))"
     joined = f"array_to_string(list_filter({lines}, lambda s: s <> ''), chr(10))"
     return truncated(joined, max_chars)
 

@@ -131,16 +131,38 @@ def gazetteer(spark, sf_dir):
     return people.unionByName(places)
 
 
-@query(
-    "RED14_redact_names",
-    MAIL
-    + r"SELECT id, regexp_replace(regexp_replace(body, '(^|[^\w''\-#\[])Customer#\d{9}', '\1[PERSON_REDACTED]', 'g'),"
-    r" '(^|[^\w''\-#\[])NATION_\d+', '\1[LOCATION_REDACTED]', 'g') AS clean_text FROM mail",
-)
+def _named(names: str) -> str:
+    """Texts with the names that a look-up of their words and pairs of words finds replaced, longer names first."""
+    edge = r"[^\w''\-#"
+    found = rf"'(^|{edge}\[])' || regexp_escape(x.name) || '($|{edge}])', '\1' || x.tag || '\2', 'g'"
+    return (
+        MAIL.rstrip()
+        + f",\nnames AS ({names}),\n"
+        r"words AS (SELECT id, regexp_extract_all(body, '[\w''\-#]+') AS w FROM mail),"
+        "\nruns AS (SELECT id, unnest(w) AS run FROM words UNION SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words),\n"
+        "hits AS (SELECT id, list({'n': -length(name), 'name': name, 'tag': tag} ORDER BY -length(name), name) AS found FROM runs JOIN names ON run = name GROUP BY id)\n"
+        "SELECT id, list_reduce(list_prepend({'n': 0::BIGINT, 'name': '', 'tag': body}, coalesce(found, [])),"
+        f" lambda a, x: {{'n': 0::BIGINT, 'name': '', 'tag': regexp_replace(regexp_replace(a.tag, {found}), {found})}}).tag AS clean_text FROM mail LEFT JOIN hits USING (id)"
+    )
+
+
+_NAMES = "SELECT c_name AS name, '[PERSON_REDACTED]' AS tag FROM customer UNION ALL SELECT n_name, '[LOCATION_REDACTED]' FROM nation"
+
+
+@query("RED14_redact_names", _named(_NAMES))
 def _(spark, sf_dir):
     return RD.redact_names(V.mail(spark, sf_dir), "body", "id", gazetteer(spark, sf_dir)).select("id", "clean_text")
 
 
+@query("RED14_names_of_two_words", _named(_NAMES + " UNION ALL SELECT concat('Cafe ', n_name), '[SHOP_REDACTED]' FROM nation"))
+def _(spark, sf_dir):
+    """The longer name goes first: a shop named after a nation is a shop."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    shops = nation.select(F.concat(F.lit("Cafe "), "n_name").alias("name"), F.lit("[SHOP_REDACTED]").alias("tag"))
+    names = gazetteer(spark, sf_dir).unionByName(shops)
+    return RD.redact_names(V.mail(spark, sf_dir), "body", "id", names).select("id", "clean_text")
+
+
 _LEAK_SQL = (
     "\nSELECT key, t_last AS clean_text, " + " + ".join(f"n_{k}" for k in O.LEAKS) + " AS fixes, "
     + "(" + " + ".join(f"n_{k}" for k in O.LEAKS) + ") = 0 AS is_valid FROM st"

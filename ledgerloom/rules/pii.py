@@ -14,6 +14,7 @@ class Pattern(NamedTuple):
     replacement: str
     gate: str  # cheap necessary condition, a name in operators.redact.GATES
     words: tuple[str, ...] = ()  # and one of these words must occur
+    skip_spans: bool = False  # matches that do not start with a digit are harmless spans, not finds
 
 
 # --- fixed values: pass 1 patterns in the order they are applied ---------------
@@ -69,17 +70,15 @@ PATTERNS = (
 REDACTION_ERROR = "[REDACTION_ERROR: content withheld for safety]"
 LEAK_TAG = "[UNKNOWN_PII_REDACTED]"
 
+# --- fixed values: spans in which a run of digits is harmless (amounts, tags, order numbers) ---
+HARMLESS = (r"\$[\d,]+\.?\d*", r"\[[\w*]+\]", r"#\d+")
+
 # --- leak rules of pass 3, in order ---------------------------------------------
-# A leak inside a harmless span stays. Only the digit-run rule can lie inside one:
-# behind "#", in the decimals of a "$" amount, or between "*" signs of a tag; the
-# look-arounds after the first look-ahead state exactly these three cases.
+# Of these only the digit-run rule can lie inside a harmless span. Its regex therefore also matches
+# those spans, whole and from the left, so that a run of digits that is found lies in none of them;
+# matches that do not start with a digit are spans and stay (``skip_spans``).
 LEAKS = (
-    Pattern(
-        "long_number",
-        r"(?U)(?<![\[$,#])\b(?=\d{6})(?<!\$[\d,]{1,200}\.)(?!(?<=\[[\w*]{0,200})\d+[\w*]*\])\d{6,}\b(?!\])",
-        LEAK_TAG,
-        "five_digits",
-    ),
+    Pattern("long_number", rf"(?U)(?:{'|'.join(HARMLESS)})|(?<![\[$,])\b\d{{6,}}\b(?!\])", LEAK_TAG, "five_digits", skip_spans=True),
     Pattern("ssn_like", r"(?U)(?<!\[)\b\d{3}\-\d{2}\-\d{4}\b(?!\])", LEAK_TAG, "long_run"),
     Pattern("partial_ssn", r"(?U)\*+\-\*+\-\d{4}", LEAK_TAG, "stars"),
     Pattern(

@@ -59,3 +59,9 @@ def drop_old_versions(spark: SparkSession, path: str) -> int:
     for folder in old:
         files.delete(folder, True)
     return len(old)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder if it is there."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)

@@ -172,3 +172,13 @@ def test_names_of_several_words(spark):
     names = spark.createDataFrame([("Mary Ann Smith", "[PERSON]"), ("Mary", "[NAME]"), ("New York", "[PLACE]")], "name string, tag string")
     got = {r["id"]: r["clean_text"] for r in RD.redact_names(texts, "t", "id", names).collect()}
     assert got == {1: "[PERSON] met [NAME] in [PLACE], not in York.", 2: "MaryAnn"}
+
+
+@pytest.mark.parametrize("digits", [3, 150, 260, 5000])
+def test_harmless_spans_of_any_length(spark, digits):
+    run = "1" * digits
+    rows = [(0, f"${run}.123456 ok"), (1, f"[{run}*123456*] ok"), (2, f"#{run}123456 ok"), (3, f"${run} 123456 x"), (4, f"[{run} 123456 x"), (5, f"${run}.5.123456 7654321")]
+    out = {r["k"]: r for r in RD.validate(spark.createDataFrame(rows, "k int, t string"), "t").collect()}
+    assert [out[k]["fixes"] for k in range(6)] == [0, 0, 0, 1, 1, 2]
+    assert out[3]["issues"] == [f"long_number at {digits + 2}"] and out[3]["clean_text"] == f"${run} [UNKNOWN_PII_REDACTED] x"
+    assert out[5]["issues"] == [f"long_number at {digits + 4}", f"long_number at {digits + 11}"]
