@@ -9,12 +9,14 @@ cut to the room, unless that is below ``min_piece`` tokens.
 Nulls and empty texts are examples of the end id alone. Ties go to the piece that
 came first. Rows that repeat are packed each on its own. Long texts are tokenised
 in parts that meet where tokens meet, so memory is bounded by the ids of one text.
+Without a prompt column every token bears loss, and the limit on loss is the one on tokens.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import re
 
 import numpy as np
 import public_tokenizers
@@ -30,6 +32,8 @@ from .storage import keyed, row_type, unpacked
 RESULTS = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
 POOL = 4096  # pieces that wait in a task
 PART = 1 << 20  # characters tokenised at once
+BLANKS = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_RUN = re.compile(BLANKS + "{65536,}")  # runs of blanks that the pattern's matcher is spared
 END_ID = 1
 END_OF_TEXT = "<|endoftext|>"  # the tokenizer's one special token
 
@@ -55,6 +59,20 @@ def _parts(text: str):
     yield text[lo:]
 
 
+def _ids(text: str, encoding: tiktoken.Encoding):
+    """Ids of the text part by part. A long run of blanks is cut as the tokenizer's pattern cuts it: one piece, but for its
+    last character where something else follows."""
+    lo = 0
+    for run in LONG_RUN.finditer(text):
+        cut = run.end() - (run.end() < len(text))
+        for part in _parts(text[lo : run.start()]):
+            yield encoding.encode_ordinary(part)
+        yield encoding._encode_single_piece(text[run.start() : cut])
+        lo = cut
+    for part in _parts(text[lo:]):
+        yield encoding.encode_ordinary(part)
+
+
 def token_ids(text: str, ranks_path: str) -> np.ndarray:
     """The ids that the tokenizer file gives the text, without an end id."""
     encoding, special = _encoding(ranks_path)
@@ -62,7 +80,7 @@ def token_ids(text: str, ranks_path: str) -> np.ndarray:
     for i, plain in enumerate(text.split(END_OF_TEXT)):
         if i:
             out.append(np.array([special], dtype="<u4"))
-        out.extend(np.array(encoding.encode_ordinary(p), dtype="<u4") for p in _parts(plain) if p)
+        out.extend(np.array(ids, dtype="<u4") for ids in _ids(plain, encoding) if ids)
     return np.concatenate(out) if len(out) > 1 else out[0] if out else np.empty(0, "<u4")
 
 
@@ -177,8 +195,8 @@ def pack_sequences(
         packer.pack()
         yield from drained()
 
-    prompt = F.lit("") if prompt_col is None else F.coalesce(F.col(prompt_col).cast("string"), F.lit(""))
-    rows = keyed(docs.withColumn("_prompt", prompt), id_col, text_col).select("_row", F.col("_row._prompt").alias("_prompt"), "_text")
+    prompt = F.lit("") if prompt_col is None else F.coalesce(F.col("_row")[prompt_col].cast("string"), F.lit(""))
+    rows = keyed(docs, id_col, text_col).select("_row", prompt.alias("_prompt"), "_text")
     kind = f"_row {row_type(rows)}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, loss_tokens long"
     return unpacked(rows.mapInArrow(pack, kind), docs.columns, text_col, RESULTS)
 
