@@ -11,7 +11,9 @@ spread over tasks. Only the table of cells (at most 2**(bits * dimensions) rows)
 is sent to all.
 
 Nulls are a cell's value of their own (the lowest); texts that are null or empty
-have no bytes. Rows that repeat are placed each on its own. Empty tables give no rows.
+have no bytes. Rows that repeat are placed each on its own: equal texts lie in one shard
+only where their cells are the same, as the law of equal counts goes first. A kept
+column that is named as a result gives way to it. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -101,7 +103,8 @@ def hilbert_shards(rows: DataFrame, cells: dict[str, Column], order: list[str],
     if len(cells) * bits > 20:
         raise ValueError("at most 2**20 cells")
     spread = F.xxhash64(*order)
-    placed = rows.select(*keep, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], hilbert_index(list(cells.values()), bits).alias("curve"), spread.alias("_h"))
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row")
+    placed = rows.select(row, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], hilbert_index(list(cells.values()), bits).alias("curve"), spread.alias("_h"))
     counts = placed.groupBy("curve").agg(F.count("*").alias("_n"))
     # Rows before a cell: over groups of 256 cells, then within the group.
     group = F.shiftright("curve", 8).alias("_g")
@@ -120,7 +123,8 @@ def hilbert_shards(rows: DataFrame, cells: dict[str, Column], order: list[str],
     placed = placed.join(parts, ["curve", "_part"]).withColumn("_rank", F.col("_start") + F.col("_skip") + number)
     shard = F.floor(F.col("_rank") * shards / F.col("_all"))
     first = F.ceil(shard * F.col("_all") / shards)
-    return placed.select(*keep, "curve", shard.cast("int").alias("shard"), (F.col("_rank") - first).cast("long").alias("slot"))
+    kept = [F.col("_row")[c].alias(c) for c in keep if c.lower() not in ("curve", "shard", "slot")]
+    return placed.select(*kept, "curve", shard.cast("int").alias("shard"), (F.col("_rank") - first).cast("long").alias("slot"))
 
 
 def document_cells(docs: DataFrame, id_col: str, text_col: str, names: list[str], bits: int = 4) -> dict[str, Column]:
