@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .registry import query, table
 from .rolling import U, mix
-from .storage import keyed, row_type, unpacked
+from .storage import keyed, row_type, unpacked, windows_over
 
 BUCKETS = 1 << 15
 SWITCH = 12.0  # what a change of language costs, in nats
@@ -173,15 +173,20 @@ def identify(texts: list[str], model: Model):
         lo = hi
 
 
+MOST = 16_000  # texts that a model is learned from
+
+
 def sample(docs: DataFrame, text_col: str, lang_col: str, rows: int, chars: int) -> tuple[list[str], list[str]]:
-    """About ``rows`` texts of each language, chosen by a hash of the text, of which ``chars`` characters each come to the driver."""
+    """About ``rows`` texts of each language, chosen by a hash of the text; of a text of more than ``chars`` characters windows
+    over all of it. At most ``MOST`` texts come to the driver, however many languages there are."""
     known = docs.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).dropna()
     counts = known.groupBy("_lang").count().collect()  # a row for each language
+    rows = max(1, min(rows, MOST // max(1, len(counts))))
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col("_lang") == r["_lang"], F.lit(min(1.0, rows / r["count"]))).otherwise(share)
     picked = known.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 30)) < share * (1 << 30))
-    found = picked.select("_lang", F.substring("_text", 1, chars).alias("_text")).dropDuplicates().orderBy(F.xxhash64("_text")).limit(2 * rows * max(1, len(counts))).collect()
+    found = picked.select("_lang", windows_over(F.col("_text"), chars).alias("_text")).dropDuplicates().orderBy(F.xxhash64("_text")).limit(2 * rows * max(1, len(counts))).collect()
     return [r["_text"] for r in found], [r["_lang"] for r in found]
 
 

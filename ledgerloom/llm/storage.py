@@ -57,3 +57,11 @@ def row_type(rows: DataFrame) -> str:
 
 def shown_id(column: str = "_id"):
     return F.when(F.col(column) != F.lit(NO_ID), F.col(column))
+
+
+def windows_over(text, chars: int, windows: int = 10):
+    """A text of at most ``chars`` characters whole; of a longer one as many characters, in windows spread evenly from its start to its end."""
+    size = chars // windows
+    at = F.sequence(F.lit(0), F.lit(windows - 1))
+    cut = F.transform(at, lambda k: F.substr(text, (F.floor(k * (F.length(text) - size) / (windows - 1)) + 1).cast("int"), F.lit(size)))
+    return F.when(text.isNull() | (F.length(text) <= chars), text).otherwise(F.array_join(cut, " "))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .registry import query, table
-from .storage import keyed, row_type, unpacked
+from .storage import keyed, row_type, unpacked, windows_over
 
 WINDOW, STEP = 12, 6  # words
 FELT = 3  # bytes by which a window must be shorter to count
@@ -150,12 +150,13 @@ def train(texts: list[str], toxic: list[bool]) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, chars: int) -> tuple[list[str], list[bool]]:
-    """At most ``rows`` labelled rows of each class, in the order of a hash of their ids; no more is brought to the driver."""
+    """At most ``rows`` labelled rows of each class, in the order of a hash of their ids; of a text of more than ``chars``
+    characters windows over all of it. No more is brought to the driver."""
     known = labels.select(F.col(id_col).alias("_id"), (F.col(label_col) == 1).alias("_toxic")).dropna()
     picked = [known.where(F.col("_toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(rows) for c in (True, False)]
     picked = F.broadcast(picked[0].unionByName(picked[1]).distinct())  # 2 * rows ids at most
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).dropna().join(picked, "_id")
-    found = texts.select("_id", F.substring("_text", 1, chars).alias("_text"), "_toxic").orderBy("_toxic", F.xxhash64("_id", "_text")).limit(4 * rows).collect()
+    found = texts.select("_id", windows_over(F.col("_text"), chars).alias("_text"), "_toxic").orderBy("_toxic", F.xxhash64("_id", "_text")).limit(4 * rows).collect()
     return [r["_text"] for r in found], [r["_toxic"] for r in found]
 
 
