@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import money
-from .shaping import last_before, salted_join
+from .shaping import last_before, salted_join, written
 
 TOLERANCE = 0.01
 HOURS = 24
@@ -149,6 +149,12 @@ def _firsts(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _sweep(rows: DataFrame) -> DataFrame:
+    """For every row and cell the last row offered before it."""
+    met = last_before(_probes(rows, _all_cells()), CELL, "_place", "_point")
+    return met.where(F.col("found").isNotNull()).select("key", "lane", "cell", "_here", "_point", "found")
+
+
 def first_later_matches(txn: DataFrame) -> DataFrame:
     """For each row the first later row (by ``seq``) with the same merchant in any
     case, an amount within 0.01 and a time within 24 hours or unknown. A row
@@ -157,11 +163,11 @@ def first_later_matches(txn: DataFrame) -> DataFrame:
     Columns: seq, id, dup_seq, dup_id, merchant, amount, hours (NULL when a time is unknown).
 
     One sweep over the cells of all rows serves dated and undated rows; pairs grow
-    linearly however dense the amounts or hot the merchant.
+    linearly however dense the amounts or hot the merchant. What it finds is written
+    once, as two branches read it.
     """
     rows = _prepared(txn)
-    met = last_before(_probes(rows, _all_cells()), CELL, "_place", "_point")
-    met = met.where(F.col("found").isNotNull())
+    met = written(_sweep(rows), "duplicate-sweep")
     ahead = met.where((F.col("lane") == NEXT) & F.col("_point").isNull())
     settled = F.when(F.col("lane") == NEXT, F.struct(F.col("_here").alias("i"), F.col("found").alias("j"))).otherwise(F.struct(F.col("found").alias("i"), F.col("_here").alias("j")))
     pairs = met.where((F.col("lane") != NEXT) | F.col("_point").isNull()).select(F.inline(F.array(settled)))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
+from ..operators import auditlog as AL
 from ..operators import duplicates as D
 from ..operators import injection as I
 from ..operators import mail as M
@@ -14,6 +17,7 @@ from ..operators.blocklist import Blocklist, with_reason
 from ..operators.extraction import extract_transactions, ledger_rows
 from ..operators.ledger import ledger_total
 from ..operators.redact import redact, redaction_stats
+from ..operators.shaping import numbered
 
 
 def staged_mail(mail: DataFrame, rules: Blocklist | DataFrame | None = None, details: bool = False) -> DataFrame:
@@ -31,14 +35,40 @@ def passed(staged: DataFrame) -> DataFrame:
     return staged.where((F.col("reason") == "") & ~F.col("redaction_error"))
 
 
-def scan(mail: DataFrame, as_of: str, out: str, days: int = 30, rules: Blocklist | DataFrame | None = None, financial_only: bool = False) -> dict[str, DataFrame]:
+def scan_events(good: DataFrame, transactions: DataFrame, anomalies: DataFrame, as_of: str, days: int) -> DataFrame:
+    """Audit entries of a scan, numbered from 0: its start, each mail, each transaction, each anomaly."""
+    spark = good.sparkSession
+    keep = ["chain_id", "timestamp", "kind", "place", "id"]
+
+    def placed(df: DataFrame, kind: int, place: Column) -> DataFrame:
+        return df.withColumns({"chain_id": F.lit("scan"), "timestamp": F.lit(as_of), "kind": F.lit(kind), "place": place.cast("bigint")})
+
+    none = F.lit(None)
+    start = placed(spark.range(1).select(F.concat(F.lit("scan "), F.lit(as_of)).alias("id")), 0, none)
+    parts = [
+        A.scan_start(start, keep, F.lit(days), F.lit("all")),
+        A.email_processed(placed(good, 1, F.col("seq")), keep, F.col("id"), F.col("redaction_count"), F.col("is_suspicious")),
+        A.categorized(placed(transactions, 2, F.col("seq")), keep, F.col("merchant"), F.col("amount"), F.col("category")),
+        A.anomaly_detected(placed(anomalies, 3, none), keep, F.col("type"), F.col("severity"), F.col("description")),
+    ]
+    events = reduce(DataFrame.unionByName, parts)
+    # The digest tells apart what agrees in all else.
+    rows = events.withColumn("digest", F.xxhash64(*events.columns))
+    return numbered(rows, ["kind", "place", "id", "digest"], "scan-events").withColumnRenamed("number", "seq").drop("kind", "place", "digest")
+
+
+def scan(
+    mail: DataFrame, as_of: str, out: str, days: int = 30, rules: Blocklist | DataFrame | None = None, financial_only: bool = False, run: int | None = None
+) -> dict[str, DataFrame]:
     """Run every stage over the mail of the last ``days`` days and write one table per result under ``out``.
 
     ``financial_only`` takes only mail of financial senders or subjects.
 
     The clean mail is written first and everything else reads it, so the long
     regex chain runs once and a lost executor only repeats its own part. The raw
-    body is stored nowhere.
+    body is stored nowhere. The audit log under ``out/audit`` goes on from scan to
+    scan: ``run`` is the number of its append, by default the next one; the number of
+    an append that is complete adds nothing.
     """
     spark = mail.sparkSession
 
@@ -54,14 +84,10 @@ def scan(mail: DataFrame, as_of: str, out: str, days: int = 30, rules: Blocklist
     flags = stored("security_flags", I.security_flags(good))
     found = anomaly_table(transactions, D.duplicates(transactions), as_of, I.security_anomalies(flags, as_of))
     anomalies = stored("anomalies", found)
-    events = A.email_processed(
-        good.withColumn("chain_id", F.lit("scan")).withColumn("timestamp", F.lit(as_of)).withColumn("mail_id", F.col("id")),
-        ["chain_id", "seq", "id", "timestamp"],
-        F.col("mail_id"),
-        F.col("redaction_count"),
-        F.col("is_suspicious"),
-    )
-    log = stored("audit_log", A.append_chain(events))
+    events = scan_events(good, transactions, anomalies, as_of, days)
+    folder = f"{out}/audit"
+    AL.append_log(spark, folder, events, AL.appends(spark, folder) if run is None else run, late="renumber")
+    log = AL.stored_log(spark, folder).entries
     stats = M.pipeline_stats(staged, transactions)
     report = stored(
         "report",

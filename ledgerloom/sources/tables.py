@@ -65,3 +65,9 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder if it is there."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write into the folder came to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)

@@ -15,7 +15,7 @@ from ..functions.text import money_sum
 from ..operators.duplicates import HOURS, MICROS, matches_of_arrivals, micros_of
 from ..operators.ledger import upsert
 from ..operators.subscriptions import upsert_subscriptions
-from ..sources.tables import drop_folder, write_table
+from ..sources.tables import drop_folder, is_complete, write_table
 from .runs import run_batches
 
 
@@ -115,7 +115,7 @@ def run_duplicates(txn: DataFrame, folder: str, checkpoint: str, delay_hours: in
             F.max(micros).alias("last"), F.count("*").alias("rows"), F.count_if(late).alias("late"), F.count_if(F.col("date").isNull()).alias("undated")
         ).first()
         batch.where(late | F.col("date").isNull()).write.mode("overwrite").parquet(_part(f"{folder}/late", number))
-        found, last = matches_of_arrivals(batch.where(~late), ends)
+        found, last = matches_of_arrivals(batch.where(~late & F.col("date").isNotNull()), ends)
         found.write.mode("overwrite").parquet(_part(f"{folder}/matches", number))
         reached = [m for m in (mark, None if counted["last"] is None else counted["last"] - delay_hours * HOUR) if m is not None]
         mark = max(reached) if reached else None
@@ -158,15 +158,18 @@ def run_upserts(txn: DataFrame, folder: str, checkpoint: str, compact_every: int
     Each batch is stored as it came; the latest row per id is taken when the table
     is read. Every ``compact_every`` batches the current rows are written as one
     base, and what went into it is dropped: a reader sees the newest base and the
-    batches after it. Bases and batches carry the batch number, so that a repeated
-    batch writes the same again.
+    batches after it. Bases and batches carry the batch number; a repeated batch
+    writes the same again, and a base that is complete stays.
     """
     spark, schema = txn.sparkSession, txn.schema
 
     def step(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(_part(folder, number))
         if (number + 1) % compact_every == 0:
-            current_ledger(spark, folder, schema).write.mode("overwrite").parquet(f"{folder}/base={number}")
+            base = f"{folder}/base={number}"
+            if not is_complete(spark, base):
+                drop_folder(spark, base)
+                current_ledger(spark, folder, schema).write.parquet(base)
             for old in range(number - compact_every + 1, number + 1):
                 drop_folder(spark, _part(folder, old))
             drop_folder(spark, f"{folder}/base={number - compact_every}")

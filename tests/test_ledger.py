@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,3 +191,30 @@ def test_audit_report(spark):
     row = AU.audit_report(AU.append_chain(entries(spark, 10)), "2025-02-21 00:00:00", 30).first()
     assert (row["total_actions"], row["emails_processed"], row["security_events"], row["total_redactions"]) == (10, 5, 5, 10)
     assert row["chain_integrity"] and row["actions_breakdown"] == {"categorize": 5, "email_processed": 5}
+
+
+@pytest.mark.parametrize("seed,spread", [(1, 0.03), (2, 0.011), (3, 0.2)])
+def test_dense_undated_amounts_against_brute_force(spark, seed, spread):
+    rnd = random.Random(seed)
+    rows = [("Hot", 10 + rnd.random() * spread, "x", None if rnd.random() < 0.5 else NOW + dt.timedelta(hours=rnd.randrange(0, 2000))) for _ in range(900)]
+    df = spark.createDataFrame([(i, str(i), m, a, c, t) for i, (m, a, c, t) in enumerate(rows)], SCHEMA)
+    assert {r["seq"]: r["dup_seq"] for r in D.first_later_matches(df).collect()} == brute_force(rows)
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    names = {re.sub(r"#\d+L?", "", line.split("Exchange", 1)[1].split("[plan_id")[0]) for line in plan.splitlines() if "Exchange hashpartitioning" in line}
+    return len(names)
+
+
+def test_duplicates_take_few_shuffles(spark):
+    t = txn(spark, [("Hot", 1.0, "x", 1)])
+    assert exchanges(D._sweep(D._prepared(t))) + exchanges(D.duplicates(t)) <= 10
+
+
+def test_a_merchant_day_is_cut_into_many_blocks(spark):
+    days = spark.range(300_000).selectExpr("id AS seq", "timestamp_ntz'2025-01-01' AS date")
+    noon = spark.range(5).selectExpr("300000 + id AS seq", "timestamp_ntz'2025-01-01 00:00:30' AS date")
+    blocks = days.union(noon).withColumn("b", A.date_blocks("MINUTE", F.col("date"), F.col("seq")))
+    counts = blocks.groupBy("b").count().orderBy("b").collect()
+    assert len(counts) == 6 and max(r["count"] for r in counts) <= A.TIED_ROWS and counts[-1]["count"] == 5

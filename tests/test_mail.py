@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import category as C
 from ledgerloom.functions import extract as E
 from ledgerloom.functions import mime as M
+from ledgerloom.operators import auditlog as AL
 from ledgerloom.operators import blocklist as B
 from ledgerloom.operators import injection as I
 from ledgerloom.operators import mail as MO
@@ -235,6 +236,12 @@ def test_extraction_and_scan(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "clean_mail"))
     assert "body" not in stored.columns and stored.where("clean_text LIKE '%4532%'").count() == 0
     assert out["audit_log"].where("action = 'email_processed'").count() == 3
+    once = out["audit_log"].count()
+    again = scan(mail, "2025-02-02 00:00:00", str(tmp_path))
+    log = AL.stored_log(spark, str(tmp_path / "audit"))
+    assert again["audit_log"].count() == 2 * once and AL.verify_log(log).first()["is_valid"]
+    assert {r[0] for r in log.entries.select("action").collect()} == {"scan_start", "email_processed", "categorize", "anomaly_detected"}
+    assert scan(mail, "2025-02-02 00:00:00", str(tmp_path), run=1)["audit_log"].count() == 2 * once
 
 
 def test_local_summary(spark):
