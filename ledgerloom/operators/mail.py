@@ -69,7 +69,7 @@ def mail_from_raw(raw: DataFrame, depth: int = MIME_DEPTH, max_chars: int | None
 def mail_detail(redacted: DataFrame, ids: DataFrame) -> DataFrame:
     """Chosen mails with a redaction report that never shows an original.
 
-    ``redacted`` carries ``redaction_details``; error rows keep only an error text.
+    ``redacted`` carries ``redaction_details`` and, where known, ``issues``; error rows keep only an error text.
     """
     chosen = redacted.join(ids.select("id").distinct(), "id", "left_semi")
     report = F.struct(
@@ -78,6 +78,7 @@ def mail_detail(redacted: DataFrame, ids: DataFrame) -> DataFrame:
         F.transform(
             "redaction_details", lambda d: F.struct(d["pattern"].alias("type"), d["replacement"].alias("replacement"))
         ).alias("details"),
+        *(["issues"] if "issues" in redacted.columns else []),
     )
     ok = ~F.col("redaction_error")
     note = F.concat(
@@ -111,14 +112,20 @@ def pipeline_stats(staged: DataFrame, extracted: DataFrame) -> DataFrame:
     return rows.agg(*[F.first(c, ignorenulls=True).alias(c) for c in rows.columns])
 
 
-def scan_report(stats: DataFrame, redactions: DataFrame, total: DataFrame, days: int) -> DataFrame:
-    """One JSON text: totals, pipeline and redaction counters, query days; the transactions stay a table."""
+def scan_report(stats: DataFrame, redactions: DataFrame, total: DataFrame, days: int, example: DataFrame | None = None) -> DataFrame:
+    """One JSON text: totals, pipeline and redaction counters, query days; the transactions stay a table.
+
+    ``example`` (before, after) is shown where it is given; its first text is not redacted.
+    """
     parts = (
         total.select(F.struct("*").alias("totals"))
         .unionByName(stats.select(F.struct("*").alias("pipeline_stats")), allowMissingColumns=True)
         .unionByName(redactions.select(F.struct("*").alias("redaction_stats")), allowMissingColumns=True)
     )
+    if example is not None:
+        parts = parts.unionByName(example.select(F.struct("before", "after").alias("redaction_example")), allowMissingColumns=True)
     row = parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in parts.columns])
+    shown = [c for c in ("redaction_example",) if c in row.columns]
     return row.select(
         F.to_json(
             F.struct(
@@ -126,6 +133,7 @@ def scan_report(stats: DataFrame, redactions: DataFrame, total: DataFrame, days:
                 F.col("totals.total").alias("total_amount"),
                 "pipeline_stats",
                 "redaction_stats",
+                *shown,
                 F.lit(days).alias("query_days"),
             )
         ).alias("report")

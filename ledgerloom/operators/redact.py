@@ -63,22 +63,19 @@ def _count(text: str, p: R.Pattern) -> str:
 
 def _details(text: str, p: R.Pattern) -> str:
     """One struct per match; offsets refer to the text before this stage."""
-    found = _matches(text, p)
-    shown = f"'{p.replacement}'"
-    if p.name == CARD_NUMBER:
-        start = f"instr({text}, m) - 1"
-    else:
-        found = f"regexp_extract_all({text}, {sql_literal(p.regex)}, 0)"
-        size = "0, (acc, s) -> acc + length(s)"
-        start = (
-            f"aggregate(slice(split({text}, {sql_literal(p.regex)}, -1), 1, k + 1), {size})"
-            f" + aggregate(slice({found}, 1, k), {size})"
-        )
-        shown = shown if p.skip_spans else replaced("m", p)
+    found = f"regexp_extract_all({text}, {sql_literal(p.regex)}, 0)"
+    size = "0, (acc, s) -> acc + length(s)"
+    start = (
+        f"aggregate(slice(split({text}, {sql_literal(p.regex)}, -1), 1, k + 1), {size})"
+        f" + aggregate(slice({found}, 1, k), {size})"
+    )
+    shown = f"'{p.replacement}'" if p.name == CARD_NUMBER or p.skip_spans else replaced("m", p)
     details = (
         f"transform({found}, (m, k) -> named_struct('pattern', '{p.name}', 'original', m, 'replacement', {shown},"
         f" 'start', {start}, 'end', {start} + length(m)))"
     )
+    if p.name == CARD_NUMBER:
+        return f"filter({details}, d -> luhn_check(regexp_replace(d.original, r'[ \\-]', '')))"
     return f"filter({details}, d -> {IS_FIND.format(m='d.original')})" if p.skip_spans else details
 
 
@@ -138,6 +135,12 @@ def redact_entities(df: DataFrame, column: str, out: str = "clean_text") -> Data
     return apply_patterns(df, column, R.ENTITIES, out)
 
 
+def _issues(names: list[str], patterns: tuple[R.Pattern, ...]) -> str:
+    """Rule and place of every match, as SQL; ``names``: the text before each stage and behind the last one."""
+    parts = ", ".join(f"transform({_stage_details(names, i, p)}, d -> concat('{p.name} at ', d.start))" for i, p in enumerate(patterns))
+    return f"flatten(array({parts}))"
+
+
 def validate(df: DataFrame, column: str) -> DataFrame:
     """Pass 3: adds ``clean_text``, ``fixes``, ``is_valid`` and ``issues`` (the rule and where it matched, counted from 0 in
     the text that its stage reads; never the match itself)."""
@@ -145,11 +148,6 @@ def validate(df: DataFrame, column: str) -> DataFrame:
     staged, names = _run_stages(df, column, [R.LEAKS])
     counts = [_stage_count(names, i, p) for i, p in enumerate(R.LEAKS)]
     fixes = sum(counts[1:], counts[0])
-    issues = ", ".join(
-        f"CASE WHEN {names[i + 1]} != {names[i]} THEN transform({_details(names[i], p)}, d -> concat('{p.name} at ', d.start))"
-        " ELSE cast(array() AS array<string>) END"
-        for i, p in enumerate(R.LEAKS)
-    )
     return computed_once(
         staged,
         keep,
@@ -157,7 +155,7 @@ def validate(df: DataFrame, column: str) -> DataFrame:
             "clean_text": F.col(names[-1]),
             "fixes": fixes,
             "is_valid": fixes == 0,
-            "issues": F.expr(f"flatten(array({issues}))"),
+            "issues": F.expr(_issues(names, R.LEAKS)),
         },
     )
 
@@ -175,7 +173,7 @@ def redact(
     Adds ``clean_text``, ``redaction_count`` (matches of pass 1 and 2 plus fixes
     of pass 3), ``by_type`` (map of pass 1 and 2 counts above 0), ``by_pass``
     (map), ``fixes``, ``is_valid`` and ``redaction_error``; with ``details`` also
-    ``redaction_details``. A NULL text is an error row: sentinel text, count 0.
+    ``redaction_details`` and ``issues`` (as ``validate``). A NULL text is an error row: sentinel text, count 0.
     """
     keep = df.columns
     text = "_text"
@@ -205,9 +203,48 @@ def redact(
     if details:
         parts = ", ".join(_stage_details(names, i, p) for i, p in enumerate(patterns[:found]))
         computed["redaction_details"] = F.expr(f"flatten(array({parts}))")
+        computed["issues"] = F.expr(_issues(names[found:], R.LEAKS))
     return computed_once(staged, keep, computed)
 
 
+PLACE = "array<struct<pattern:string,start:int,end:int>>"
+
+
+def _back(place: str, edits: str, end: bool) -> str:
+    """A place in the text behind a stage as a place in the text before it, as SQL; inside a replacement the start or end of what was replaced.
+
+    ``edits``: start, end and size of the replacement, from left to right. The fold carries how much shorter the text has become so far.
+    """
+    inside = "e.end" if end else "e.start"
+    beyond = f"{place} >= e.start - s.less + e.size" if not end else f"{place} > e.start - s.less + e.size"
+    return (
+        f"aggregate({edits}, named_struct('less', 0, 'at', cast(null AS int)), (s, e) -> CASE WHEN s.at IS NOT NULL THEN s"
+        f" WHEN {beyond} THEN named_struct('less', s.less + e.end - e.start - e.size, 'at', s.at)"
+        f" WHEN {place} > e.start - s.less THEN named_struct('less', s.less, 'at', {inside}) ELSE s END,"
+        f" s -> coalesce(s.at, {place} + s.less))"
+    )
+
+
+def redaction_places(df: DataFrame, column: str = "body", *, entities: bool = True, out: str = "places") -> DataFrame:
+    """Adds ``places``: pattern, start and end of every match of the passes 1 and 2 in the text as it came in, without the text itself.
+
+    Each stage reads what the one before left, so its places are carried back
+    through the edits of all earlier stages, last one first.
+    """
+    keep = df.columns
+    patterns = R.PATTERNS + (R.ENTITIES if entities else ())
+    staged, names = _run_stages(df, column, [R.PATTERNS, R.ENTITIES] if entities else [R.PATTERNS])
+    shown = "transform({d}, d -> named_struct('pattern', d.pattern, 'start', d.start, 'end', d.end, 'size', length(d.replacement)))"
+    staged = staged.withColumns({f"_e_{i}": F.expr(shown.format(d=_stage_details(names, i, p))) for i, p in enumerate(patterns)})
+    staged = staged.withColumn("_edits", F.array(*[F.col(f"_e_{i}") for i in range(len(patterns))]))
+    # A stage that found something carries its places back; ``k`` counts the stages before it.
+    both = "named_struct('start', d.start, 'end', d.end)"
+    step = f"named_struct('start', {_back('p.start', 'get(_edits, i - k)', False)}, 'end', {_back('p.end', 'get(_edits, i - k)', True)})"
+    carried = f"aggregate(if(i = 0, cast(array() AS array<int>), sequence(1, i)), {both}, (p, k) -> {step})"
+    places = f"flatten(transform(_edits, (es, i) -> transform(es, d -> named_struct('pattern', d.pattern, 'start', {carried}.start, 'end', {carried}.end))))"
+    return computed_once(staged, keep, {out: F.coalesce(F.expr(places), F.array().cast(PLACE))})
+
+
 def fail_closed(redacted: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows that may go on, and the quarantine without any text column.
 

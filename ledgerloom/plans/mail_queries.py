@@ -24,7 +24,7 @@ from ..sources import files
 from ..sources import views as V
 from . import oracle as O
 from .registry import query
-from .scan import passed, staged_mail
+from .scan import details_of, passed, staged_mail
 
 AS_OF = V.MAIL_AS_OF
 MAIL = f"WITH {V.mail_cte()}\n"
@@ -95,7 +95,7 @@ _DETAIL_TYPES = " ".join(
 def _(spark, sf_dir):
     wanted = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'R'")
     ids = wanted.select(F.concat(F.lit("m-"), F.col("l_orderkey").cast("string")).alias("id"))
-    out = MO.mail_detail(clean(spark, sf_dir, details=True), ids)
+    out = details_of(V.mail(spark, sf_dir), ids)
     types = F.array_join(F.transform("redaction_report.details", lambda d: F.concat(d["type"], F.lit(";"))), "")
     return out.select(
         "id", "sender", "sender_email", "subject", "date", "redacted_body",

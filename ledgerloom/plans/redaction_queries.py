@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import ledger as L
+from ..operators import mail as MO
 from ..operators import redact as RD
-from ..operators.shaping import spread
+from ..operators.shaping import spread, written
 from ..rules import pii as P
 from ..sources import views as V
 from . import oracle as O
 from .mail_queries import CLEAN, MAIL, clean, ledger, LEDGER
 from .registry import query
-from .scan import staged_mail
+from .scan import example_of, passed, staged_mail
 
 
 def _docs(spark, sf_dir):
@@ -124,6 +126,24 @@ def _(spark, sf_dir):
     )
 
 
+_COUNTED = {k: v for k, v in (O.PASS1 | O.ENTITIES).items() if k != "entity_CREDIT_CARD"}
+
+
+@query(
+    "RED12_places",
+    f"WITH {V.mail_cte()},\nsrc AS (SELECT id AS key, body FROM mail),\n" + O.stages("src", "body", O.PASS1 | O.ENTITIES, "st")
+    + "\n" + " UNION ALL ".join(f"SELECT '{k}' AS pattern, cast(sum(n_{k}) as bigint) AS n, cast(sum(n_{k}) as bigint) AS n_matching FROM st HAVING sum(n_{k}) > 0" for k in _COUNTED),
+)
+def _(spark, sf_dir):
+    """Where each redaction stood in the mail as it came in: what stands there is what the pattern matches."""
+    found = RD.redaction_places(V.mail(spark, sf_dir).select("id", "body"), "body").select("body", F.explode("places").alias("p"))
+    there = F.substr("body", F.col("p.start") + 1, F.col("p.end") - F.col("p.start"))
+    regexes = {p.name: p.regex for p in P.PATTERNS + P.ENTITIES}
+    matches = F.coalesce(*[F.when(F.col("p.pattern") == name, there.rlike(regex)) for name, regex in regexes.items()])
+    counts = found.select("p.pattern", matches.alias("ok")).groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_matching"))
+    return counts.where("pattern <> 'entity_CREDIT_CARD'")
+
+
 def gazetteer(spark, sf_dir):
     """Names from the given tables: customers as persons, nations as places."""
     people = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_name").alias("name"), F.lit("[PERSON_REDACTED]").alias("tag"))
@@ -235,8 +255,7 @@ def _plain(text: str) -> str:
     return f"regexp_replace(regexp_replace(regexp_replace({text}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
-@query(
-    "RED19_redaction_example",
+_EXAMPLE = (
     CLEAN
     + f",\nfirst_mail AS (SELECT seq, {_plain('body')} AS o, {_plain('clean_text')} AS r, redaction_count,"
     f" instr({_plain('clean_text')}, '[CARD_****') AS tag_at, regexp_extract(body, {O.q(O.CARD)}) AS v"
@@ -246,13 +265,26 @@ def _plain(text: str) -> str:
     "SELECT seq, concat(CASE WHEN os > 0 THEN '...' ELSE '' END, substr(o, os + 1, oe - os), CASE WHEN oe < length(o) THEN '...' ELSE '' END,"
     " CASE WHEN re < length(r) AND oe < length(o) THEN '...' ELSE '' END) AS before,"
     " concat(CASE WHEN rs > 0 THEN '...' ELSE '' END, substr(r, rs + 1, re - rs), CASE WHEN re < length(r) THEN '...' ELSE '' END) AS after,"
-    " redaction_count FROM cut",
+    " redaction_count FROM cut"
 )
+
+
+@query("RED19_redaction_example", _EXAMPLE)
+def _(spark, sf_dir):
+    mail = V.mail(spark, sf_dir)
+    return example_of(mail, written(passed(staged_mail(mail)), "passed"))
+
+
+@query("SNK6_report_with_example", f"SELECT before, after, 30 AS query_days FROM ({_EXAMPLE})")
 def _(spark, sf_dir):
-    staged = staged_mail(V.mail(spark, sf_dir), details=True)
-    bodies = V.mail(spark, sf_dir).select("id", "body")
-    shown = staged.where((F.col("reason") == "") & ~F.col("redaction_error")).join(bodies, "id")
-    return RD.redaction_example(shown)
+    """The report of a scan that shows one redaction before and after."""
+    mail = V.mail(spark, sf_dir)
+    staged = written(staged_mail(mail), "staged")
+    good = passed(staged)
+    rows = ledger(spark, sf_dir)
+    report = MO.scan_report(MO.pipeline_stats(staged, rows), RD.redaction_stats(good), L.ledger_total(rows), 30, example_of(mail, good))
+    back = F.from_json("report", "query_days int, redaction_example struct<before:string,after:string>")
+    return report.select(back.alias("r")).select("r.redaction_example.*", "r.query_days")
 
 
 @query(

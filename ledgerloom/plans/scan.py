@@ -16,7 +16,7 @@ from ..operators.anomalies import anomaly_table
 from ..operators.blocklist import Blocklist, with_reason
 from ..operators.extraction import extract_transactions, ledger_rows
 from ..operators.ledger import ledger_total
-from ..operators.redact import redact, redaction_stats
+from ..operators.redact import redact, redaction_example, redaction_stats
 from ..operators.shaping import numbered
 
 
@@ -35,6 +35,31 @@ def passed(staged: DataFrame) -> DataFrame:
     return staged.where((F.col("reason") == "") & ~F.col("redaction_error"))
 
 
+def details_of(mail: DataFrame, ids: DataFrame, rules: Blocklist | DataFrame | None = None) -> DataFrame:
+    """Redaction reports of the chosen mails; only these are redacted."""
+    chosen = mail.join(ids.select("id").distinct(), "id", "left_semi")
+    return M.mail_detail(passed(staged_mail(chosen, rules, details=True)), ids)
+
+
+def example_of(mail: DataFrame, good: DataFrame, rules: Blocklist | DataFrame | None = None, first: int = 64) -> DataFrame:
+    """The first mail whose redaction can be shown before and after (``redaction_example``).
+
+    ``good``: mails that passed, with ``redaction_count``. Details are made for the
+    first mails with a redaction, and for eight times as many more while none of them will do.
+    """
+    after, number = None, first
+    while True:
+        rest = good.where("redaction_count > 0") if after is None else good.where((F.col("redaction_count") > 0) & (F.col("seq") > after))
+        some = rest.select("seq").orderBy("seq").limit(number)
+        few = mail.join(some, "seq", "left_semi")
+        shown = passed(staged_mail(few, rules, details=True)).join(few.select("id", "body"), "id")
+        found = redaction_example(shown)
+        after = some.agg(F.max("seq")).first()[0]
+        if after is None or not found.isEmpty():
+            return found
+        number *= 8
+
+
 def scan_events(good: DataFrame, transactions: DataFrame, anomalies: DataFrame, as_of: str, days: int) -> DataFrame:
     """Audit entries of a scan, numbered from 0: its start, each mail, each transaction, each anomaly."""
     spark = good.sparkSession
@@ -58,7 +83,8 @@ def scan_events(good: DataFrame, transactions: DataFrame, anomalies: DataFrame,
 
 
 def scan(
-    mail: DataFrame, as_of: str, out: str, days: int = 30, rules: Blocklist | DataFrame | None = None, financial_only: bool = False, run: int | None = None
+    mail: DataFrame, as_of: str, out: str, days: int = 30, rules: Blocklist | DataFrame | None = None, financial_only: bool = False, run: int | None = None,
+    example: bool = False,
 ) -> dict[str, DataFrame]:
     """Run every stage over the mail of the last ``days`` days and write one table per result under ``out``.
 
@@ -68,7 +94,8 @@ def scan(
     regex chain runs once and a lost executor only repeats its own part. The raw
     body is stored nowhere. The audit log under ``out/audit`` goes on from scan to
     scan: ``run`` is the number of its append, by default the next one; the number of
-    an append that is complete adds nothing.
+    an append that is complete adds nothing. ``example`` puts a redaction before and
+    after into the report, the one text that is shown as it came in.
     """
     spark = mail.sparkSession
 
@@ -91,7 +118,7 @@ def scan(
     stats = M.pipeline_stats(staged, transactions)
     report = stored(
         "report",
-        M.scan_report(stats, redaction_stats(good), ledger_total(transactions), days),
+        M.scan_report(stats, redaction_stats(good), ledger_total(transactions), days, example_of(chosen, good, rules) if example else None),
     )
     return {
         "clean_mail": staged,

@@ -182,3 +182,19 @@ def test_harmless_spans_of_any_length(spark, digits):
     assert [out[k]["fixes"] for k in range(6)] == [0, 0, 0, 1, 1, 2]
     assert out[3]["issues"] == [f"long_number at {digits + 2}"] and out[3]["clean_text"] == f"${run} [UNKNOWN_PII_REDACTED] x"
     assert out[5]["issues"] == [f"long_number at {digits + 4}", f"long_number at {digits + 11}"]
+
+
+def test_places_refer_to_the_text_as_it_came_in(spark):
+    text = (
+        "Mail a.b@c.example then card 4532-8821-0093-4892, SSN 478-39-6781 and x@y.example, IBAN DE44 5001 0517 5407 3249 31, "
+        "call (415) 555-8291 from 10.0.0.17; card 4532015112830366 again card 4532015112830366. Account Number: 839204718"
+    )
+    df = spark.createDataFrame([(1, text), (2, "nothing"), (3, None), (4, "")], "k int, body string")
+    rows = {r["k"]: r["places"] for r in RD.redaction_places(df).collect()}
+    got = [text[p["start"] : p["end"]] for p in rows[1]]
+    for want in ("a.b@c.example", "x@y.example", "478-39-6781", "10.0.0.17", "DE44 5001 0517 5407 3249 31", "4532-8821-0093-4892"):
+        assert sum(want in g for g in got) == 1, (want, got)
+    assert sum("4532015112830366" in g for g in got) == 2 and sum("839204718" in g for g in got) == 1
+    spans = sorted((p["start"], p["end"]) for p in rows[1])
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert rows[2] == rows[3] == rows[4] == []
