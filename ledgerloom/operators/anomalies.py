@@ -33,15 +33,20 @@ def anomaly_rows(
 TIED_ROWS = 1 << 16  # numbers of rows of one date that are summed together
 
 
+PART_BITS = 20
+
+
 def date_blocks(unit: str, date: Column, seq: Column) -> Column:
-    """Blocks that never decrease along (date, seq): a unit of time, and parts of it where dates stand at its start.
+    """Numbers of blocks that never decrease along (date, seq): a unit of time, and parts of it where dates stand at its start.
 
     Dates without a time of day all stand at the start of their unit; they are cut
-    by ``seq``, so that one merchant's day is many blocks. Later dates of the unit follow as one.
+    by ``seq``, so that one merchant's day is many blocks. Later dates of the unit
+    follow as one. Unknown dates come first and are cut like a unit's start.
     """
-    start = F.date_trunc(unit, date)
-    tied = date.eqNullSafe(start.cast("timestamp_ntz"))
-    return F.struct(start.alias("start"), (~tied).alias("inside"), F.when(tied, F.floor(seq / TIED_ROWS)).otherwise(0).alias("part"))
+    start = F.date_trunc(unit, date).cast("timestamp_ntz")
+    number = F.coalesce(F.timestamp_diff(unit, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), start), F.lit(-1 << 40))
+    part = F.when(date.eqNullSafe(start), F.least(F.floor(seq / TIED_ROWS), F.lit((1 << PART_BITS) - 1))).otherwise(1 << PART_BITS)
+    return number * (2 << PART_BITS) + part
 
 
 def spikes(txn: DataFrame, factor: float = 3.0, block: str = "MINUTE") -> DataFrame:
