@@ -237,7 +237,10 @@ def test_extraction_and_scan(spark, tmp_path):
     assert "body" not in stored.columns and stored.where("clean_text LIKE '%4532%'").count() == 0
     assert out["audit_log"].where("action = 'email_processed'").count() == 3
     once = out["audit_log"].count()
-    again = scan(mail, "2025-02-02 00:00:00", str(tmp_path))
+    again = scan(mail, "2025-02-02 00:00:00", str(tmp_path), example=True)
+    shown = json.loads(again["report"].first()["report"])["redaction_example"]
+    assert "4532-8821-0093-4892" in shown["before"] and "4532-8821-0093-4892" not in shown["after"]
+    assert "redaction_example" not in report
     log = AL.stored_log(spark, str(tmp_path / "audit"))
     assert again["audit_log"].count() == 2 * once and AL.verify_log(log).first()["is_valid"]
     assert {r[0] for r in log.entries.select("action").collect()} == {"scan_start", "email_processed", "categorize", "anomaly_detected"}
