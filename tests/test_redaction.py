@@ -159,6 +159,16 @@ def test_names_small_and_large_list(spark):
         assert out[2] == "nobody" and out[3] == "[Ann] Ann-Lee"
 
 
+def test_a_long_list_of_names_is_not_broadcast(spark):
+    texts = spark.createDataFrame([(1, "Ann-7 met Bob and Name00017 Lee, not Name00018 Lee or Name00017.")], "k int, t string")
+    names = spark.range(2000).selectExpr("if(id % 2 = 0, concat('Name', lpad(id, 5, '0')), concat('Name', lpad(id, 5, '0'), ' Lee')) AS name", "'[N]' AS tag")
+    out = RD.redact_names(texts, "t", "k", names, small=10)
+    assert out.first()["clean_text"] == "Ann-7 met Bob and [N], not [N] Lee or Name00017."
+    # Only the marks of the first words; repeated for the salts, the list would take as much of the driver as it is long.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 1
+    assert out._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") >= 1
+
+
 def test_redaction_runs_once_in_the_plan(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = RD.redact(docs, "text").where("is_valid").select("doc_id", "clean_text")
