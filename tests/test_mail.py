@@ -252,3 +252,15 @@ def test_local_summary(spark):
     df = spark.createDataFrame(rows, "seq long, merchant string, amounts array<string>, category_hint string")
     row = local_summary(df).first()
     assert row["total_spent"] == 51.43 and row["top_merchants"][0]["name"] == "Amazon" and row["by_category"]["dining"] == 5.45
+
+
+def test_words_are_tested_before_the_regexes(spark):
+    rows = [("You paİd Bob $1,250.50 on MAR 5, 1996",), ("ſold by Corner Shop, 12.30 uſd, paıd 7 on 3/4/2001",), ("Dıſcover card STATEMENT",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    sender = F.lit("noreply@x")
+    got = df.select(E.merchant(sender, F.lit(""), F.col("t")), E.amounts(F.col("t"), F.lit("")), E.body_date(F.col("t")), C.category(F.lit(""), F.col("t")))
+    want = [("Bob", [1250.5], "1996-03-05", "Other"), ("Corner Shop", [7.0, 12.3], "2001-03-04", "Other"), (None, [], None, "Bills/Utilities"), (None, [], None, "Other"), (None, [], None, "Other")]
+    assert [tuple(r) for r in got.collect()] == want
+    # One pattern for each rule that needs one: a plain word is no regex.
+    plan = df.select(C.is_subscription(F.lit(""), F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan
