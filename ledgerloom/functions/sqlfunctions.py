@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ..operators.redact import CARD_NUMBER, replaced
+from ..operators.redact import GATES, replaced
 from ..rules import categories, extraction, injection, pii
 from .text import IGNORE_CASE, quoted_alternation, sql_literal
 
 
 def _redact(expression: str) -> str:
-    """All three passes, stage by stage as in ``operators.redact``; a stage that reads its text more than once is given it by name."""
+    """All three passes, stage by stage as in ``operators.redact``; a stage is given its text by name and passes it on where its gate is shut."""
     for p in pii.PATTERNS + pii.ENTITIES + pii.LEAKS:
-        if p.name == CARD_NUMBER or p.skip_spans:
-            expression = f"transform(array({expression}), whole -> {replaced('whole', p)})[0]"
-        else:
-            expression = replaced(expression, p)
+        gate = GATES[p.gate][1].format(t="whole")
+        expression = f"transform(array({expression}), whole -> CASE WHEN {gate} THEN {replaced('whole', p)} ELSE whole END)[0]"
     return f"coalesce({expression}, '{pii.REDACTION_ERROR}')"
 
 
@@ -25,7 +23,7 @@ def _risk() -> str:
     order = " AND ".join(words("d", listed) for listed in (injection.PAYLOAD_KEYWORDS, injection.PAYLOAD_COMMANDS, injection.PAYLOAD_TARGETS))
     runs = f"filter(regexp_extract_all(x, {sql_literal(injection.BASE64_RUN)}, 0), r -> length(r) % 4 = 0)"
     decoded = f"transform({runs}, r -> lower(make_valid_utf8(cast(try_to_binary(r, 'base64') AS string))))"
-    tests[injection.BASE64] = f"(NOT {words('x', injection.MIME_MARKS)} AND exists({decoded}, d -> coalesce({order}, false)))"
+    tests[injection.BASE64] = f"(x RLIKE '[A-Za-z0-9+/]{{60}}' AND NOT {words('x', injection.MIME_MARKS)} AND exists({decoded}, d -> coalesce({order}, false)))"
     any_of = lambda names: " OR ".join(tests[n] for n in names) or "false"
     rest = [n for n in tests if n not in injection.HIGH_RISK + injection.MEDIUM_RISK]
     return f"CASE WHEN {any_of(injection.HIGH_RISK)} THEN 'high' WHEN {any_of(injection.MEDIUM_RISK)} THEN 'medium' WHEN {any_of(rest)} THEN 'low' ELSE 'none' END"
