@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -213,59 +214,69 @@ PART = "mimeType string, body struct<data:string>, parts array<string>"
 def mime_text_of_json(payload: Column, max_chars: int | None = None) -> Column:
     """``mime_text`` of a payload given as JSON text, nested to any depth.
 
-    A walk with a stack of the multiparts that are open: each holds the parts that
-    are still to be read, as JSON texts, and what was found in it. A closed one
-    hands its text to the one around it. Every part and every multipart takes one
-    step, and neither is without a brace, so the braces bound the steps.
+    The text is parsed once, as a variant, whose parts are cut out of it without
+    another parse. What no strict parser takes (single quotes, names that come twice,
+    a list instead of a part) is read by ``from_json``, level by level.
     """
-    parse = lambda text: F.from_json(text, PART)
-    text_of = lambda data: F.when(text_or_empty(data) != "", b64url_text(data))
-    no_parts = F.array().cast("array<string>")
-
-    def single(p: Column) -> Column:
-        """The text of a part by itself; a multipart that has one is not opened."""
-        text = text_of(p["body"]["data"])
-        return F.when(p["mimeType"] == "text/plain", truncated(text, max_chars)).when(p["mimeType"] == "text/html", html_to_text(text, max_chars))
-
-    def frame(rest: Column, plain: Column, html: Column) -> Column:
-        return F.struct(rest.alias("rest"), plain.alias("plain"), html.alias("html"))
-
-    def found(f: Column) -> Column:
-        return F.when(f["plain"] != "", truncated(f["plain"], max_chars)).otherwise(html_to_text(f["html"], max_chars))
-
-    def with_part(f: Column, p: Column) -> Column:
-        """The frame after its next part ``p``: the last plain or HTML sibling wins."""
-        text = text_of(p["body"]["data"])
-        plain = F.when((p["mimeType"] == "text/plain") & text.isNotNull(), text).otherwise(f["plain"])
-        html = F.when((p["mimeType"] == "text/html") & text.isNotNull(), text).otherwise(f["html"])
-        return frame(F.slice(f["rest"], F.lit(2), F.greatest(F.size(f["rest"]), F.lit(1))), plain, html)
-
-    def step(stack: Column, _: Column) -> Column:
-        top = F.get(stack, F.size(stack) - 1)
-        below = F.slice(stack, F.lit(1), F.size(stack) - 1)
-        # The last multipart stays on the stack when it is done; its text is taken at the end.
-        outer = F.get(below, F.size(below) - 1)
-        filled = frame(outer["rest"], F.when(outer["plain"] == "", found(top)).otherwise(outer["plain"]), outer["html"])
-        closed = F.concat(F.slice(below, F.lit(1), F.size(below) - 1), F.array(filled))
-
-        def read(p: Column) -> Column:
-            inner = F.coalesce(p["parts"], no_parts)
-            return let(F.struct(with_part(top, p).alias("after"), F.when(F.size(inner) > 0, single(p)).alias("alone"), inner.alias("inner")), grown)
-
-        def grown(x: Column) -> Column:
-            after = x["after"]
-            filled = frame(after["rest"], F.when(after["plain"] == "", F.coalesce(x["alone"], F.lit(""))).otherwise(after["plain"]), after["html"])
-            own = F.concat(below, F.array(filled))
-            opens = (F.size(x["inner"]) > 0) & x["alone"].isNull()
-            return F.when(opens, F.concat(own, F.array(frame(x["inner"], F.lit(""), F.lit(""))))).otherwise(own)
-
-        opened = let(parse(F.get(top["rest"], 0)), read)
-        return F.when(F.size(top["rest"]) > 0, opened).when(F.size(stack) > 1, closed).otherwise(stack)
+    value = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    fields = lambda v: F.struct(value(v, "$.mimeType", "string").alias("mimeType"), F.struct(value(v, "$.body.data", "string").alias("data")).alias("body"), value(v, "$.parts", "array<variant>").alias("parts"))
+    strict = F.when(payload.startswith("{"), F.try_parse_json(payload))
+    by_text = _walked(payload, payload, lambda text: F.from_json(text, PART), "string", max_chars)
+    return let(strict, lambda v: F.when(v.isNull(), by_text).otherwise(_walked(payload, v, fields, "variant", max_chars)))
+
+
+def _walked(payload: Column, whole: Column, parse: Callable[[Column], Column], kind: str, max_chars: int | None) -> Column:
+    """Body text of the part ``whole``; ``parse`` opens a part of type ``kind`` one level deep.
+
+    Of a multipart's own plain parts the last one wins. Without a text there, the
+    multiparts behind it are tried in order, then its last HTML part. So what is
+    still to be tried is a list, and the first text found is the body. A step tries
+    one entry: a multipart or the HTML of one, and each needs a bracket of
+    ``payload``, so twice the brackets bound the steps.
+    """
+    data_of = lambda p, k: F.when((p["mimeType"] == k) & (text_or_empty(p["body"]["data"]) != ""), p["body"]["data"])
+    entry = f"struct<parts:array<{kind}>,html:string>"
+    nothing = F.array().cast(f"array<{entry}>")
+    no_parts, no_html = F.lit(None).cast(f"array<{kind}>"), F.lit(None).cast("string")
+
+    def seen(p: Column) -> Column:
+        return F.struct(data_of(p, "text/plain").alias("plain"), data_of(p, "text/html").alias("html"), p["parts"].alias("parts"))
+
+    def to_try(parts: Column, html: Column) -> Column:
+        return F.struct(parts.alias("parts"), html.alias("html"))
+
+    def state(text: Column, todo: Column) -> Column:
+        """Once a text is found nothing is left to try."""
+        return F.struct(text.alias("text"), F.when(text != "", nothing).otherwise(todo).alias("todo"))
+
+    def read(parts: Column, rest: Column) -> Column:
+        """The state after the multipart of these parts."""
+        last = F.array_max(F.transform(parts, lambda p, i: F.when(p["plain"].isNotNull(), i).otherwise(-1)))
+        html = F.array_compact(parts["html"])
+
+        def after(at: Column) -> Column:
+            text = F.when(at >= 0, b64url_text(F.get(parts, at)["plain"])).otherwise(F.lit(""))
+            behind = F.filter(F.slice(parts, at + 2, F.size(parts)), lambda p: F.size(p["parts"]) > 0)
+            # A multipart that has an HTML text of its own is not opened.
+            inner = F.transform(behind, lambda p: to_try(F.when(p["html"].isNull(), p["parts"]).otherwise(no_parts), p["html"]))
+            own = F.when(F.size(html) > 0, F.array(to_try(no_parts, F.get(html, F.size(html) - 1)))).otherwise(nothing)
+            return let(text, lambda t: state(t, F.concat(inner, own, rest)))
+
+        return let(last, after)
+
+    def step(s: Column, _: Column) -> Column:
+        first, rest = F.get(s["todo"], 0), F.slice(s["todo"], F.lit(2), F.greatest(F.size(s["todo"]), F.lit(1)))
+        shown = let(html_to_text(b64url_text(first["html"]), max_chars), lambda t: state(t, rest))
+        opened = let(F.transform(first["parts"], lambda c: let(parse(c), seen)), lambda parts: read(parts, rest))
+        return F.when(F.size(s["todo"]) == 0, s).when(first["html"].isNotNull(), shown).otherwise(opened)
 
     def body(p: Column) -> Column:
-        braces = F.length(payload) - F.length(F.replace(payload, F.lit("{"), F.lit("")))
-        start = F.array(frame(F.coalesce(p["parts"], no_parts), F.lit(""), F.lit("")))
-        walked = F.aggregate(F.sequence(F.lit(1), F.greatest(2 * braces, F.lit(1))), start, step, lambda stack: found(stack[0]))
-        return F.coalesce(single(p), walked, F.lit(""))
+        single = F.when(data_of(p, "text/plain").isNotNull(), truncated(b64url_text(p["body"]["data"]), max_chars)).when(
+            data_of(p, "text/html").isNotNull(), html_to_text(b64url_text(p["body"]["data"]), max_chars)
+        )
+        brackets = F.length(payload) - F.length(F.replace(payload, F.lit("["), F.lit("")))
+        start = state(F.lit(""), F.when(F.size(p["parts"]) > 0, F.array(to_try(p["parts"], no_html))).otherwise(nothing))
+        walked = F.aggregate(F.sequence(F.lit(1), F.greatest(2 * brackets, F.lit(1))), start, step, lambda s: truncated(s["text"], max_chars))
+        return F.coalesce(single, walked, F.lit(""))
 
-    return let(parse(payload), body)
+    return let(parse(whole), body)

@@ -131,6 +131,25 @@ def test_walk_gives_the_text_of_the_schema(spark):
     assert all(r["a"] == r["b"] for r in both) and len({r["a"] for r in both}) > 100
 
 
+def test_walk_reads_what_only_a_lenient_parser_takes(spark):
+    leaf = "{'mimeType':'text/plain','body':{'data':'%s'}}" % _b64("quoted")
+    single = "{'parts':[{'parts':[{'parts':[%s]}]}]}" % leaf
+    twice = '{"parts":[],"parts":[{"parts":[{"parts":[%s]}]}]}' % leaf.replace("'", '"')
+    raw = spark.createDataFrame([(1, single), (2, twice)], "id int, payload string")
+    assert [r[0] for r in raw.orderBy("id").select(M.mime_text_of_json(F.col("payload"))).collect()] == ["quoted", "quoted"]
+
+
+def test_a_deep_payload_is_parsed_once(spark):
+    import time
+
+    payload = json.dumps(_nested(400, {"mimeType": "text/plain", "body": {"data": _b64("x" * 300_000)}}))
+    raw = spark.createDataFrame([(i, "[]", payload) for i in range(16)], "id int, headers string, payload string")
+    sizes = MO.mail_from_raw(raw).select(F.length("body"))
+    start = time.perf_counter()
+    assert [r[0] for r in sizes.collect()] == [300_000] * 16
+    assert time.perf_counter() - start < 15  # parsed level by level: several times as long
+
+
 @pytest.mark.parametrize(
     "html,want",
     [
