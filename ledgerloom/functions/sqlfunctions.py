@@ -12,7 +12,7 @@ from .text import IGNORE_CASE, quoted_alternation, sql_literal
 def _redact(expression: str) -> str:
     """All three passes, stage by stage as in ``operators.redact``; a stage is given its text by name and passes it on where its gate is shut."""
     for p in pii.PATTERNS + pii.ENTITIES + pii.LEAKS:
-        gate = GATES[p.gate][1].format(t="whole")
+        gate = GATES[p.gate].format(t="whole", d="whole")
         expression = f"transform(array({expression}), whole -> CASE WHEN {gate} THEN {replaced('whole', p)} ELSE whole END)[0]"
     return f"coalesce({expression}, '{pii.REDACTION_ERROR}')"
 

@@ -20,14 +20,18 @@ from ..operators.redact import redact, redaction_example, redaction_stats
 from ..operators.shaping import numbered
 
 
+def redacted_mail(mail: DataFrame, rules: Blocklist | DataFrame | None = None, details: bool = False) -> DataFrame:
+    """Every mail with its block reason; unblocked ones redacted. Blocked mail keeps no text."""
+    seen = with_reason(mail, rules).withColumn("_seen", F.when(F.col("reason") == "", F.col("body")))
+    return redact(seen.drop("body"), "_seen", details=details)
+
+
 def staged_mail(mail: DataFrame, rules: Blocklist | DataFrame | None = None, details: bool = False) -> DataFrame:
     """Every mail with its block reason; unblocked ones redacted and scanned.
 
     Blocked mail keeps no text. One pass over the mail; only a table of rules is joined.
     """
-    seen = with_reason(mail, rules).withColumn("_seen", F.when(F.col("reason") == "", F.col("body")))
-    clean = redact(seen.drop("body"), "_seen", details=details)
-    return I.injection_scan(clean, "clean_text").drop("_seen")
+    return I.injection_scan(redacted_mail(mail, rules, details), "clean_text").drop("_seen")
 
 
 def passed(staged: DataFrame) -> DataFrame:

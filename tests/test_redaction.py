@@ -208,3 +208,29 @@ def test_places_refer_to_the_text_as_it_came_in(spark):
     spans = sorted((p["start"], p["end"]) for p in rows[1])
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
     assert rows[2] == rows[3] == rows[4] == []
+
+
+def test_gates_and_counts_against_the_bare_patterns(spark):
+    import random
+
+    rng = random.Random(5)
+    pieces = [*"0123456789", "12", "4532", "99-", "123-45-6789", "(415) ", "555", "-", ".", " ", "\n", "\u0664\u0665\u0666", "AB", "DE44", " CA 94105", "order #", "Account no ", "routing ", "passport ",
+              "driver license D", "bank ", "@", "a@b.co", "+44 ", "https://x.y/?id=", "***-**-1234", "[SSN_REDACTED]", "[CARD_****1234]", "[UNKNOWN_PII_REDACTED]", "$", "[", "]", "#", "\u00e9", " 12 Elm St, Big Town,"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 40))) for _ in range(3000)] + [p[0] for p in PAIRS] + EXTRA
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, body string")
+    patterns = P.PATTERNS + P.ENTITIES + P.LEAKS
+    bare = df.withColumn("t0", F.col("body"))
+    for i, p in enumerate(patterns):
+        bare = bare.withColumn(f"t{i + 1}", F.expr(RD.replaced(f"t{i}", p))).withColumn(f"n{i}", F.expr(f"CASE WHEN t{i + 1} != t{i} THEN {RD._count(f't{i}', p)} ELSE 0 END"))
+    want = {r["k"]: (r[f"t{len(patterns)}"], sum(r[f"n{i}"] for i in range(len(patterns)))) for r in bare.collect()}
+    got = {r["k"]: (r["clean_text"], r["redaction_count"]) for r in RD.redact(df, "body").collect()}
+    assert got == want
+    assert sum(n for _, n in want.values()) > 1000
+
+
+def test_figures_of_redaction_run_what_they_need_once(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    plan = lambda name: entry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("AGG10_redaction_stats", "SRT6_redactions_by_type"):
+        assert "patterns_found" not in plan(name)
