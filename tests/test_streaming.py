@@ -112,3 +112,19 @@ def test_weeks_close_when_a_later_row_arrives(spark, tmp_path):
     stream = LS.weekly_spending(arriving(spark, folder, df.schema, files_per_batch=1))
     table = run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     assert sum(r["n"] for r in table.collect()) == 20 and table.where("category is null").count() == 0
+
+
+def test_a_late_slice_is_a_batch_of_many_files(spark, tmp_path, monkeypatch):
+    from ledgerloom.plans import stream_queries as SQ
+    from ledgerloom.plans.registry import QUERIES
+
+    monkeypatch.setattr(SQ, "shared_dir", lambda spark, name: str(tmp_path / "run"))
+    events = spark.range(4000).selectExpr(
+        "id AS event_id", "cast('2024-01-01' AS timestamp_ntz) + make_dt_interval(0, 0, cast(id AS int)) AS ts", "id % 7 AS user_id", "'view' AS event_type", "cast(id % 50 AS double) AS value", "'' AS props"
+    )
+    events.repartitionByRange(4, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    late = QUERIES["STR3_late_charges"](spark, str(tmp_path)).count()
+    # Rows of 4,000 minutes: of those that come last, all that lie a day before the end were passed by the watermark.
+    assert late == len([i for i in range(0, 4000, 20) if i < 3999 - 1440])
+    assert len(list((tmp_path / "run" / "in").glob("*.parquet"))) > 5
+    assert len(list((tmp_path / "run" / "out" / "progress").glob("batch=*"))) == 5
