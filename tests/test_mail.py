@@ -275,6 +275,21 @@ def test_local_summary(spark):
     assert row["total_spent"] == 51.43 and row["top_merchants"][0]["name"] == "Amazon" and row["by_category"]["dining"] == 5.45
 
 
+def test_local_summary_reads_its_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(text):
+        read.add(1)
+        return text
+
+    rows = [(k, f"M{k % 3}", "food", ["$1.50", "$2"]) for k in range(40)]
+    df = spark.createDataFrame(rows, "seq long, name string, category_hint string, amounts array<string>")
+    row = local_summary(df.withColumn("merchant", noted.asNondeterministic()("name")).drop("name")).first()
+    assert row["total_spent"] == 140.0 and [m["count"] for m in row["top_merchants"]] == [28, 26, 26]
+    assert read.value == 40
+
+
 def test_words_are_tested_before_the_regexes(spark):
     rows = [("You paİd Bob $1,250.50 on MAR 5, 1996",), ("ſold by Corner Shop, 12.30 uſd, paıd 7 on 3/4/2001",), ("Dıſcover card STATEMENT",), ("",), (None,)]
     df = spark.createDataFrame(rows, "t string")
