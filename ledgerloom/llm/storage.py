@@ -24,11 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back; ``free``: the shuffle files of the write go with its end."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLES_GO, None)
+    if free:
+        spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free and before is None:
+            spark.conf.unset(SHUFFLES_GO)
+        elif free:
+            spark.conf.set(SHUFFLES_GO, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
