@@ -74,12 +74,16 @@ def _all_cells() -> Column:
     return F.when(known, F.concat(_dated_cells(), back, ahead)).otherwise(F.concat(back, ahead))
 
 
+def _point() -> Column:
+    return F.when(F.col("_offers"), F.col("_here"))
+
+
 def _probes(rows: DataFrame, cells: Column) -> DataFrame:
-    """One row for each cell: the row as ``_here``, as ``_point`` where it offers itself, and its place in the order."""
+    """One row for each cell: the row as ``_here``, whether it offers itself (then it is the point), and its place in the order."""
     place = F.when(F.col("c.lane") == NEXT, -F.col("seq")).otherwise(F.col("seq"))
     out = rows.select("key", _here().alias("_here"), "seq", F.explode(cells).alias("c"))
     whole = [F.coalesce(F.col(f"c.{name}"), F.lit(0)).alias(name) for name in ("cell", "time")]
-    return out.select("key", "c.lane", *whole, "_here", F.when(F.col("c.offers"), F.col("_here")).alias("_point"), place.alias("_place"))
+    return out.select("key", "c.lane", *whole, "_here", F.col("c.offers").alias("_offers"), place.alias("_place"))
 
 
 def _close() -> Column:
@@ -128,10 +132,8 @@ def _next_in_part(unsettled: DataFrame, rows: DataFrame) -> DataFrame:
     own = _piece(F.col("amount"), F.col("amount_own"))
     halves = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: _node(k, F.call_function("shiftright", own, k)))
     offers = undated.select("key", F.col("amount_own").alias("cell"), F.explode(halves).alias("n"), _here().alias("_here"), F.lit(True).alias("_offers"))
-    both = asks.unionByName(offers).select(
-        "key", "cell", "n.level", "n.number", "_here", F.when(F.col("_offers"), F.col("_here")).alias("_point"), (-F.col("_here.seq")).alias("_place")
-    )
-    found = last_before(both, ["key", "cell", "level", "number"], "_place", "_point")
+    both = asks.unionByName(offers).select("key", "cell", "n.level", "n.number", "_here", "_offers", (-F.col("_here.seq")).alias("_place"))
+    found = last_before(both, ["key", "cell", "level", "number"], "_place", "_point", made=_point())
     return found.where(F.col("_point").isNull() & F.col("found").isNotNull()).select(F.col("_here").alias("i"), F.col("found").alias("j"))
 
 
@@ -150,9 +152,17 @@ def _firsts(pairs: DataFrame) -> DataFrame:
 
 
 def _sweep(rows: DataFrame) -> DataFrame:
-    """For every row and cell the last row offered before it."""
-    met = last_before(_probes(rows, _all_cells()), CELL, "_place", "_point")
-    return met.where(F.col("found").isNotNull()).select("key", "lane", "cell", "_here", "_point", "found")
+    """(key, cell, i, j, ahead): every row and cell with the last row offered before it, where the two match or, ``ahead``,
+    the row looks forward for one without a date."""
+    met = last_before(_probes(rows, _all_cells()), CELL, "_place", "_point", made=_point()).where(F.col("found").isNotNull())
+    onward = F.col("lane") == NEXT
+    pair = F.when(onward, F.struct(F.col("_here").alias("i"), F.col("found").alias("j"))).otherwise(F.struct(F.col("found").alias("i"), F.col("_here").alias("j")))
+    met = met.where(~onward | ~F.col("_offers")).select("key", "cell", onward.alias("ahead"), F.inline(F.array(pair)))
+    return met.where(((F.col("i.amount") != 0) & _close()) | (F.col("ahead") & _far()))
+
+
+def _far() -> Column:
+    return F.abs(F.col("i.amount") - F.col("j.amount")) > TOLERANCE
 
 
 def first_later_matches(txn: DataFrame) -> DataFrame:
@@ -163,17 +173,13 @@ def first_later_matches(txn: DataFrame) -> DataFrame:
     Columns: seq, id, dup_seq, dup_id, merchant, amount, hours (NULL when a time is unknown).
 
     One sweep over the cells of all rows serves dated and undated rows; pairs grow
-    linearly however dense the amounts or hot the merchant. What it finds is written
-    once, as two branches read it.
+    linearly however dense the amounts or hot the merchant. The matches it finds are written
+    once, as two branches read them.
     """
     rows = _prepared(txn)
-    met = written(_sweep(rows), "duplicate-sweep")
-    ahead = met.where((F.col("lane") == NEXT) & F.col("_point").isNull())
-    settled = F.when(F.col("lane") == NEXT, F.struct(F.col("_here").alias("i"), F.col("found").alias("j"))).otherwise(F.struct(F.col("found").alias("i"), F.col("_here").alias("j")))
-    pairs = met.where((F.col("lane") != NEXT) | F.col("_point").isNull()).select(F.inline(F.array(settled)))
-    far = F.abs(F.col("_here.amount") - F.col("found.amount")) > TOLERANCE
-    rest = _next_in_part(ahead.where(far).select("key", "cell", F.col("_here").alias("i")), rows)
-    return _firsts(pairs.unionByName(rest))
+    met = written(_sweep(rows), "duplicate-sweep", free=True)
+    rest = _next_in_part(met.where(F.col("ahead") & _far()).select("key", "cell", "i"), rows)
+    return _firsts(met.select("i", "j").unionByName(written(rest, "duplicate-rest", free=True)))
 
 
 def matches_of_arrivals(new: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -185,8 +191,8 @@ def matches_of_arrivals(new: DataFrame, ends: DataFrame) -> tuple[DataFrame, Dat
     """
     probes = _probes(_prepared(new), _dated_cells())
     known = [F.coalesce(F.col(name), F.lit(zero)).alias(name) for name, zero in (("key", ""), ("cell", 0), ("time", 0))]
-    before = ends.select(*known, F.lit(DATED).alias("lane"), F.col("last").alias("_here"), F.col("last").alias("_point"), F.lit(-1).cast("bigint").alias("_place"))
-    both = probes.unionByName(before)
+    before = ends.select(*known, F.lit(DATED).alias("lane"), F.col("last").alias("_here"), F.lit(True).alias("_offers"), F.lit(-1).cast("bigint").alias("_place"))
+    both = probes.unionByName(before).withColumn("_point", _point())
     found = last_before(both, CELL, "_place", "_point").where((F.col("_place") >= 0) & F.col("found").isNotNull())
     last = both.where(F.col("_point").isNotNull()).groupBy("key", "cell", "time").agg(F.max_by("_point", "_place").alias("last"))
     return _firsts(found.select(F.col("found").alias("i"), F.col("_here").alias("j"))), last

@@ -218,3 +218,13 @@ def test_a_merchant_day_is_cut_into_many_blocks(spark):
     blocks = days.union(noon).withColumn("b", A.date_blocks("MINUTE", F.col("date"), F.col("seq")))
     counts = blocks.groupBy("b").count().orderBy("b").collect()
     assert len(counts) == 6 and max(r["count"] for r in counts) <= A.TIED_ROWS and counts[-1]["count"] == 5
+
+
+def test_the_sweep_of_duplicates_keeps_matches_only(spark):
+    rows = [(k, str(k), "Shop", 1.0 + k % 40 / 100, None if k % 5 == 0 else f"2024-01-0{1 + k % 3} 00:00:00") for k in range(400)]
+    txn = spark.createDataFrame(rows, "seq long, id string, merchant string, amount double, date string").withColumn("date", F.col("date").cast("timestamp_ntz"))
+    met = D._sweep(D._prepared(txn))
+    assert met.where("not ahead and abs(i.amount - j.amount) > 0.01").count() == 0 < met.count()
+    # A row travels once: the point is made of it behind the shuffle.
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and plan.index("AS _point#") < plan.index("RepartitionByExpression")
