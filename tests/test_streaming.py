@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -128,3 +129,18 @@ def test_a_late_slice_is_a_batch_of_many_files(spark, tmp_path, monkeypatch):
     assert late == len([i for i in range(0, 4000, 20) if i < 3999 - 1440])
     assert len(list((tmp_path / "run" / "in").glob("*.parquet"))) > 5
     assert len(list((tmp_path / "run" / "out" / "progress").glob("batch=*"))) == 5
+
+
+def test_a_slice_of_arriving_mail_is_one_batch(spark, sf_dir, monkeypatch):
+    from ledgerloom.operators.shaping import shared_dir
+    from ledgerloom.plans import registry, stream_queries
+
+    registry.load()
+    folder = []
+    monkeypatch.setattr(stream_queries, "shared_dir", lambda s, name: folder.append(str(shared_dir(s, name))) or folder[0])
+    mail = stream_queries.V.mail
+    monkeypatch.setattr(stream_queries.V, "mail", lambda s, d: mail(s, d).repartition(20))
+    n = registry.QUERIES["STR1_mail_stream"](spark, sf_dir).count()
+    assert n > 0
+    batches = [f for f in os.listdir(folder[0].removeprefix("file://") + "/checkpoint/commits") if f.isdigit()]
+    assert len(batches) == stream_queries.SLICES
